@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weftline.llm import pairs, patterns, runs
+from weftline.llm import packing, pairs, patterns, runs, splitting, tokens
 
 QUERIES = {
     f.__name__: f
     for f in (
         patterns.p1_found, patterns.p1_patterns, runs.p2_found, runs.p2_runs, runs.p2_event_runs, pairs.p6_found, pairs.p6_pairs,
+        tokens.p8_ids, packing.p9_bins, splitting.p10_pieces,
     )
 }
 ORACLES: dict = {}
