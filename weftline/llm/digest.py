@@ -189,7 +189,7 @@ def once(rows: DataFrame, metrics: list[str]) -> DataFrame:
     clean = [F.when((F.col(m) >= 0) & ~F.isnan(F.col(m).cast("double")), F.col(m).cast("double")).alias(m) for m in metrics]
     kept = rows.select("workflow_id", "snapshot_day", lone.alias("lone"), code.alias("code"), *clean)
     merged_rows = kept.groupBy("workflow_id", "snapshot_day", "lone").agg(F.max("code").alias("code"), *(F.max(m).alias(m) for m in metrics))
-    named = F.element_at(F.array(*map(F.lit, ("Python", "Java", "C++"))), F.expr("nullif(code, 0)")).alias("language")
+    named = F.when(F.col("code") == 1, "Python").when(F.col("code") == 2, "Java").when(F.col("code") == 3, "C++").alias("language")
     return merged_rows.select("snapshot_day", named, *metrics)
 
 
