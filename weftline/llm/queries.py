@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import digest, packing, pairs, patterns, runs, sampling, splitting, tokens, yaml_check
+from weftline.llm import digest, packing, pairs, patterns, runs, sampling, secrets, splitting, tokens, yaml_check
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         yaml_check.p4_found, yaml_check.p4_files, yaml_check.p4_rates,
         digest.p5_found, digest.p5_percentiles, digest.p5_digests,
         pairs.p6_found, pairs.p6_pairs,
+        secrets.p7_found, secrets.p7_places, secrets.p7_masked,
         tokens.p8_ids, packing.p9_bins, splitting.p10_pieces,
     )
 }
