@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from weftline.plans import metrics
+
+_PARTS = (metrics,)
+QUERIES = {name: run for part in _PARTS for name, run in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
