@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +22,19 @@ SPAN, DIMENSIONS = 64, 64
 STRETCH = 8_192
 
 
+#: What a byte tells about the place next to it.
+_INSIDE, _BLANK, _STOP, _WIDE, _FEED = 1, 2, 4, 8, 16
+_TRAITS = np.zeros(256, np.uint8)
+_TRAITS[0x80:0xC0] |= _INSIDE
+_TRAITS[[9, 10, 13, 32]] |= _BLANK
+_TRAITS[[10, 13]] |= _FEED
+_TRAITS[[33, 46, 63]] |= _STOP
+_TRAITS[[0x81, 0x82, 0x9F]] |= _WIDE
+_EDGE = b"   "
+#: Bytes of texts whose places are classified at a time.
+TOGETHER = 1_000_000
+
+
 @lru_cache(4)
 def _words(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Of every id: its number of bytes, and its dimension, or -1 where it holds no letter or digit."""
@@ -32,24 +46,35 @@ def _words(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def kinds(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The kind of the place behind each token but the last; data: the text's bytes, ends: the tokens' ends in it."""
-    p = ends[:-1]
-    padded = np.concatenate([[32, 32, 32], data, [32, 32]]).astype(np.int64)
-    at = p + 3
-    b3, b2, b1, n1, n2 = padded[at - 3], padded[at - 2], padded[at - 1], padded[at], padded[at + 1]
-    feed = lambda x: (x == 10) | (x == 13)
-    blank = lambda x: (x == 32) | (x == 9) | feed(x)
-    out = np.ones(len(p), np.int8)
-    out[(n1 & 0xC0) == 0x80] = 0
-    out[blank(n1) | blank(b1)] = 2
-    stop = (b1 == 46) | (b1 == 33) | (b1 == 63)
-    wide = ((b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x82)) | ((b3 == 0xEF) & (b2 == 0xBC) & ((b1 == 0x81) | (b1 == 0x9F)))
-    out[(stop & blank(n1)) | (wide & (out > 0))] = 3
-    out[(n1 == 10) | feed(b1) | ((n1 == 13) & (n2 == 10))] = 4
-    out[((n1 == 10) & (n2 == 10)) | ((b1 == 10) & ((b2 == 10) | (b2 == 13)) & ~feed(n1)) | ((b1 == 10) & (n1 == 10))] = 5
+    """The kind of the place behind each token; data: bytes with three blanks before and behind them, ends: the tokens' ends, without those blanks."""
+    b1, n1 = data[ends + 2], data[ends + 3]
+    before, after = _TRAITS[b1], _TRAITS[n1]
+    out = np.ones(len(ends), np.int8)
+    out[after & _INSIDE > 0] = 0
+    out[(before | after) & _BLANK > 0] = 2
+    out[(before & _STOP > 0) & (after & _BLANK > 0)] = 3
+    wide = np.flatnonzero((before & _WIDE > 0) & (out == 1))
+    if len(wide):
+        at = ends[wide]
+        b3, b2, b = data[at], data[at + 1], b1[wide]
+        out[wide[((b3 == 0xE3) & (b2 == 0x80) & (b == 0x82)) | ((b3 == 0xEF) & (b2 == 0xBC) & (b != 0x82))]] = 3
+    line = np.flatnonzero((before | after) & _FEED > 0)
+    at = ends[line]
+    b2, b, n, n2 = data[at + 1], b1[line], n1[line], data[at + 4]
+    out[line[(n == 10) | (before[line] & _FEED > 0) | ((n == 13) & (n2 == 10))]] = 4
+    fed = (b2 == 10) | (b2 == 13)
+    out[line[((n == 10) & (n2 == 10)) | ((b == 10) & fed & (n != 10) & (n != 13)) | ((b == 10) & (n == 10))]] = 5
     return out
 
 
+def _climb(like: np.ndarray) -> np.ndarray:
+    """The value reached from each place by going left as long as the values do not fall."""
+    stops = np.empty(len(like), bool)  # no step to the left of here
+    stops[0] = True
+    np.less(like[:-1], like[1:], out=stops[1:])
+    return like[np.maximum.accumulate(np.where(stops, np.arange(len(like)), 0))]
+
+
 def valleys(places: np.ndarray, dims: np.ndarray) -> np.ndarray:
     """How far the likeness of the texts before and after each place (a number of tokens) lies below its surroundings."""
     out = np.zeros(len(places))
@@ -61,43 +86,38 @@ def valleys(places: np.ndarray, dims: np.ndarray) -> np.ndarray:
         held = window >= 0
         segment = np.searchsorted(some - first, np.arange(len(window)), "right")
         seen = np.bincount(segment[held] * DIMENSIONS + window[held], minlength=(len(some) + 1) * DIMENSIONS)
-        sums = np.vstack([np.zeros(DIMENSIONS), np.cumsum(seen.reshape(-1, DIMENSIONS), axis=0)])
+        sums = np.zeros((len(some) + 2, DIMENSIONS), np.float32)
+        np.cumsum(seen.reshape(-1, DIMENSIONS), axis=0, out=sums[1:])
         j = np.arange(1, len(some) + 1)
         left = sums[j] - sums[np.minimum(np.searchsorted(some, some - SPAN, "left"), j - 1)]
         right = sums[np.maximum(np.searchsorted(some, some + SPAN, "right"), j) + (some[-1] < some + SPAN)] - sums[j]
-        norm = np.sqrt((left**2).sum(1) * (right**2).sum(1))
-        like = np.divide((left * right).sum(1), norm, out=np.zeros(len(some)), where=norm > 0)
-        peak_l, peak_r = like.copy(), like.copy()
-        for i in range(1, len(some)):
-            if like[i - 1] >= like[i]:
-                peak_l[i] = peak_l[i - 1]
-        for i in range(len(some) - 2, -1, -1):
-            if like[i + 1] >= like[i]:
-                peak_r[i] = peak_r[i + 1]
-        depth = peak_l + peak_r - 2 * like
+        dot = lambda x, y: np.einsum("ij,ij->i", x, y).astype(np.float64)
+        norm = np.sqrt(dot(left, left) * dot(right, right))
+        like = np.divide(dot(left, right), norm, out=np.zeros(len(some)), where=norm > 0)
+        depth = _climb(like) + _climb(like[::-1])[::-1] - 2 * like
         out[lo : lo + STRETCH] = depth[lo - a : lo - a + STRETCH]
     return out
 
 
-def cuts(kind: np.ndarray, dims: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, str]]:
-    """(first token, end token, kind of the end) of the pieces of a text of len(dims) tokens.
+def cuts(kind: np.ndarray, lines: np.ndarray, depth: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, str]]:
+    """(first token, end token, kind of the end) of the pieces of a text; lines: the places of its line ends, depth: their valleys.
 
     A piece ends in the second half of what the limit allows, at the deepest valley among the line
     ends there; without a line end at the latest sentence end, without one behind the latest word,
     else between characters. Where possible the next piece, which repeats the last `overlap` tokens,
     does not begin inside a character.
     """
-    n, start, out = len(dims), 0, []
-    lines = np.flatnonzero(kind >= 4) + 1
-    depth = valleys(lines, dims) if len(lines) else np.zeros(0)
+    n, start, out = len(kind), 0, []
+    ends = lines.tolist()
     depth = depth + 0.25 * (kind[lines - 1] == 5)
+    starts_whole = kind[np.maximum(lines - overlap - 1, 0)] > 0 if overlap else np.ones(len(lines), bool)
     while n - start > limit:
         low, high = start + max(overlap + 1, limit // 2), start + limit
-        i, j = np.searchsorted(lines, [low, high + 1])
-        fits = lines[i:j][kind[lines[i:j] - overlap - 1] > 0] if overlap else lines[i:j]
-        if len(fits):
-            deep = depth[i:j][np.isin(lines[i:j], fits)]
-            end = int(fits[len(fits) - 1 - int(np.argmax(deep[::-1]))])
+        i, j = bisect_left(ends, low), bisect_left(ends, high + 1)
+        fits = starts_whole[i:j]
+        if fits.any():
+            deep = np.where(fits, depth[i:j], -1.0)
+            end = int(lines[j - 1 - int(deep[::-1].argmax())])
         else:
             spots = np.arange(low, high + 1)
             whole = kind[spots - overlap - 1] > 0 if overlap else 1
@@ -116,24 +136,42 @@ def _split(path: str, limits: list[tuple[int, int]]):
         lengths, dimension = _words(path)
         encode = encoder(path)[0]
         for batch in batches:
-            rows: dict[str, list] = {n: [] for n in names}
-            for doc, text, listed in zip(batch.column("doc"), batch.column("text"), batch.column("ids")):
-                raw, ids = text.as_py().encode(), listed.values.to_numpy(zero_copy_only=False)
-                ends = np.cumsum(lengths[ids])
-                kind = kinds(np.frombuffer(raw, np.uint8), ends)
-                dims = dimension[ids]
-                for limit, overlap in limits:
-                    if len(ids) <= limit:
-                        continue
-                    found = cuts(kind, dims, limit, overlap)
-                    for k, (a, b, at) in enumerate(found):
-                        piece = raw[ends[a - 1] if a else 0 : ends[b - 1]].decode(errors="replace")
-                        for n, v in zip(names, (limit, doc, k, len(found), a, b, b - a, at, piece)):
-                            rows[n].append(v)
-                    if sum(map(len, rows["text"])) > 4_000_000:
-                        yield _batch(rows, batch)
-                        rows = {n: [] for n in names}
-            yield _batch(rows, batch)
+            docs = list(zip(batch.column("doc"), (t.as_py().encode() for t in batch.column("text")), batch.column("ids")))
+            while docs:
+                some, held = [], 0
+                while docs and held < TOGETHER:
+                    some.append(docs.pop())
+                    held += len(some[-1][1]) + len(_EDGE)
+                rows: dict[str, list] = {n: [] for n in names}
+                data = np.frombuffer(_EDGE + _EDGE.join(raw for _, raw, _ in some) + _EDGE, np.uint8)
+                all_ids = [x.values.to_numpy(zero_copy_only=False) for *_, x in some]
+                flat = np.concatenate(all_ids)
+                sizes, dims = lengths[flat], dimension[flat]
+                first = place = 0
+                for (_, raw, _), ids in zip(some, all_ids):
+                    last = first + len(ids)
+                    ends = np.cumsum(sizes[first:last])
+                    sizes[first:last] = ends + place
+                    place += len(raw) + len(_EDGE)
+                    first = last
+                kind_of_all = kinds(data, sizes)
+                first = 0
+                for (doc, raw, _), ids in zip(some, all_ids):
+                    last = first + len(ids)
+                    kind = kind_of_all[first:last]
+                    lines = np.flatnonzero(kind[:-1] >= 4) + 1
+                    depth = valleys(lines, dims[first:last])
+                    ends = sizes[first:last] - (sizes[last - 1] - len(raw))
+                    first = last
+                    for limit, overlap in limits:
+                        if len(ids) <= limit:
+                            continue
+                        found = cuts(kind, lines, depth, limit, overlap)
+                        for k, (a, b, at) in enumerate(found):
+                            piece = raw[ends[a - 1] if a else 0 : ends[b - 1]].decode(errors="replace")
+                            for n, v in zip(names, (limit, doc, k, len(found), a, b, b - a, at, piece)):
+                                rows[n].append(v)
+                yield _batch(rows, batch)
 
     def _batch(rows: dict[str, list], batch: pa.RecordBatch) -> pa.RecordBatch:
         kind = {"doc": batch.schema.field("doc").type, "cut": pa.string(), "text": pa.string()}
