@@ -16,7 +16,7 @@ ARROWS = "â\u0086\u0092| -> |->| => |=>| > "
 def steps(text: Column) -> Column:
     """The trimmed, non-blank labels of a sequence written with any kind of arrow; empty for null."""
     parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), ARROWS, "→"), "→")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def first_occurrences(labels: Column) -> Column:

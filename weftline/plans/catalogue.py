@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftline.plans import metrics
+from weftline.plans import metrics, sequence
 
-_PARTS = (metrics,)
+_PARTS = (metrics, sequence)
 QUERIES = {name: run for part in _PARTS for name, run in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
