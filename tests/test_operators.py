@@ -24,6 +24,7 @@ def shipped(spark):
 
 def measured(spark, *texts):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").withColumn("doc", workflow.parsed(F.col("text")))
+    rows = workflow.prepared(rows)
     return rows.select("id", "doc", *(c.alias(n) for n, c in workflow.metrics("doc", "text").items()), *(c.alias(f"p_{n}") for n, c in workflow.profile("doc").items())).orderBy("id").collect()
 
 

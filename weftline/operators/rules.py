@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.workflow import prepared
+
 
 class Rule(NamedTuple):
     """A rule holds for a file where `condition` (SQL on `doc` and `text`) does; evidence is SQL for what shows it."""
@@ -20,8 +22,7 @@ class Rule(NamedTuple):
     enabled: bool = True
 
 
-_JOBS = "filter(doc.jobs, j -> j.is_mapping)"
-_STEPS = f"flatten(transform({_JOBS}, j -> j.steps))"
+_JOBS, _STEPS = "_jobs", "_steps"
 _TRIGGER = "array('push', 'pull_request', 'pull_request_target')"
 
 
@@ -42,7 +43,7 @@ _BRANCH = "u rlike '^[^/]+/[^@]+@(main|master|HEAD|develop|dev)$'"
 _TAG = "u rlike '^[^/]+/[^@]+@v[0-9]+([.][0-9]+)*$' and u not like 'actions/%' and u not like 'github/%'"
 _INSTALL = "(?i)(pip3? install|mvn install|gradle build|apt-get install|npm install|yarn install|conan install|vcpkg install)"
 #: Carried over the lines of a file: whether a cache step was met, and the keys without a hash.
-_CACHE = (
+CACHE_KEYS = (
     "aggregate(split(text, '\\n'), named_struct('open', false, 'keys', cast(array() as array<string>)), (a, l) -> named_struct("
     "'open', (a.open or contains(l, 'actions/cache')) and not (l rlike '(?i)key:[ \\t]*[^ \\t\\r]'), "
     "'keys', case when (a.open or contains(l, 'actions/cache')) and l rlike '(?i)key:[ \\t]*[^ \\t\\r]' and not (regexp_extract(l, '(?i)key:[ \\t]*(.+)', 1) rlike '(?i)hashFiles[(]') "
@@ -58,7 +59,7 @@ RULES = (
     Rule("REL-02", "Failures ignored", "Reliability", 4, f"exists({_STEPS}, s -> s.continue_on_error)", f"array_join(transform(filter({_STEPS}, s -> s.continue_on_error), s -> coalesce(s.name, s.uses, 'unnamed')), '; ')"),
     Rule("WA-01", "Privileged trigger", "Workflow Activator", 5, "array_contains(doc.events, 'pull_request_target') and coalesce(doc.permissions_json in ('\"write-all\"', '{}', 'null'), true)"),
     Rule("EFF-01", "Installs without cache", "Efficiency", 3, f"text rlike '{_INSTALL}' and not (text rlike '(?i)(actions/cache|cache:)')", f"array_join(array_distinct(regexp_extract_all(text, '{_INSTALL}', 0)), ', ')"),
-    Rule("EFF-02", "Cache key without hash", "Efficiency", 3, f"size({_CACHE}) > 0", f"array_join({_CACHE}, '; ')"),
+    Rule("EFF-02", "Cache key without hash", "Efficiency", 3, f"size({CACHE_KEYS}) > 0", f"array_join({CACHE_KEYS}, '; ')"),
     Rule("MAINT-01", "Long and not reused", "Maintainability", 3, f"size({_STEPS}) > 15 and not array_contains(doc.events, 'workflow_call') and not exists({_STEPS}, s -> coalesce(contains(s.uses, '.github/workflows'), false))", f"cast(size({_STEPS}) as string)"),
     # known, but not part of the score
     Rule("D1", "Broad permissions", "Security", 4, f"coalesce(doc.permissions_json rlike '\"write(-all)?\"', false) or exists({_JOBS}, j -> coalesce(j.permissions_json rlike '\"write(-all)?\"', false))", enabled=False),
@@ -95,7 +96,7 @@ def evaluate(files: DataFrame, keys: list[str], rules: tuple[Rule, ...] = RULES,
         )
         for r in used
     ]
-    return files.select(*keys, F.col("doc.status").alias("status"), F.inline(F.array(*rows)))
+    return prepared(files).select(*keys, F.col("doc.status").alias("status"), F.inline(F.array(*rows)))
 
 
 def scores(detail: DataFrame, keys: list[str]) -> DataFrame:

@@ -161,7 +161,15 @@ def parsed(text: Column) -> Column:
     def parse(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_document(t) for t in texts], columns=list(_COLUMNS)).astype({c: "Int32" for c in ("max_nesting_depth", "full_depth", "vertical_depth", "cycle_depth")})
 
-    return parse(text)
+    # not to be evaluated again where a filter on the result is pushed down
+    return parse.asNondeterministic()(text)
+
+
+def prepared(files: DataFrame, doc: str = "doc") -> DataFrame:
+    """`files` with the arrays that metrics, profile and rules share: _jobs (mappings only), _steps, _uses."""
+    jobs = files.withColumn("_jobs", F.expr(f"filter({doc}.jobs, j -> j.is_mapping)"))
+    steps = jobs.withColumn("_steps", F.expr("flatten(transform(_jobs, j -> j.steps))"))
+    return steps.withColumn("_uses", F.expr("filter(transform(_steps, s -> s.uses), u -> u is not null)"))
 
 
 def line_count(text: Column) -> Column:
@@ -188,10 +196,8 @@ def unescaped(text: Column) -> Column:
 
 
 def metrics(doc: str, text: str) -> dict[str, Column]:
-    """The metrics of a parsed document (column `doc`, status ok) by name."""
-    jobs = f"filter({doc}.jobs, j -> j.is_mapping)"
-    steps = f"flatten(transform({jobs}, j -> j.steps))"
-    uses = f"filter(transform({steps}, s -> s.uses), u -> u is not null)"
+    """The metrics of a parsed document (column `doc`, status ok) of prepared() files by name."""
+    jobs, steps, uses = "_jobs", "_steps", "_uses"
     local = f"array_distinct(filter({uses}, u -> u like './%' or left(u, 2) = concat('.', chr(92))))"
     external = f"array_distinct(transform(filter({uses}, u -> not (u like './%' or left(u, 2) = concat('.', chr(92))) and contains(u, '/')), u -> substring_index(u, '@', 1)))"
     reusable = f"array_distinct(filter(transform({jobs}, j -> j.uses), u -> u is not null))"
@@ -237,10 +243,8 @@ def pin_kind(uses: str) -> str:
 
 
 def profile(doc: str) -> dict[str, Column]:
-    """The profile of a parsed document: events, caches, modularity, pins, commands."""
-    jobs = f"filter({doc}.jobs, j -> j.is_mapping)"
-    steps = f"flatten(transform({jobs}, j -> j.steps))"
-    uses = f"filter(transform({steps}, s -> s.uses), u -> u is not null)"
+    """The profile of a parsed document of prepared() files: events, caches, modularity, pins, commands."""
+    jobs, steps, uses = "_jobs", "_steps", "_uses"
     called = f"filter(transform({jobs}, j -> j.uses), u -> u is not null)"
     caches = f"filter({steps}, s -> contains(s.uses, 'actions/cache'))"
     pinned = f"array_distinct(filter({uses}, u -> u not like './%'))"

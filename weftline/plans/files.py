@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import canonical_language
 from weftline.operators import bands, classify, dag, rules, sampling, workflow
-from weftline.session import cut
+from weftline.session import cut, spread
 from weftline.sources.tables import table
 
 #: File names by which one workflow of a project is chosen, best first. Fixed values.
@@ -15,7 +15,7 @@ PREFERRED = ("ci.yml", "ci.yaml", "build.yml", "build.yaml", "main.yml", "main.y
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "yaml_reference")
+    rows = spread(table(spark, folder, "yaml_reference").select("workflow_id", "collected_at", "language", "full_workflow_yaml"))
     return rows.select("workflow_id", "collected_at", canonical_language(F.col("language")).alias("language"), F.col("full_workflow_yaml").alias("text"), workflow.parsed(F.col("full_workflow_yaml")).alias("doc"))
 
 
@@ -29,12 +29,12 @@ def escape_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def yaml_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _files(spark, folder).where("doc.status = 'ok'")
+    docs = workflow.prepared(_files(spark, folder).where("doc.status = 'ok'"))
     return docs.select("workflow_id", "collected_at", "language", *(c.alias(n) for n, c in workflow.metrics("doc", "text").items()))
 
 
 def yaml_profile(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _files(spark, folder).where("doc.status = 'ok'")
+    docs = workflow.prepared(_files(spark, folder).where("doc.status = 'ok'"))
     return docs.select("workflow_id", "collected_at", F.array_join("doc.job_order", ", ").alias("job_order"), *(c.alias(n) for n, c in workflow.profile("doc").items()))
 
 
@@ -55,7 +55,7 @@ def classified_steps(spark: SparkSession, folder: str) -> DataFrame:
 
 def classify_lines(spark: SparkSession, folder: str) -> DataFrame:
     """label, lines: our catalogue of names over the lines of the run logs."""
-    lines = table(spark, folder, "documents").where("source = 'run_log'").select(F.explode(F.split("text", "\n")).alias("line")).groupBy("line").agg(F.count("*").alias("w"))
+    lines = spread(table(spark, folder, "documents").where("source = 'run_log'").select("text")).select(F.explode(F.split("text", "\n")).alias("line")).groupBy("line").agg(F.count("*").alias("w"))
     return lines.groupBy(classify.classify_text(F.col("line")).alias("label")).agg(F.sum("w").alias("lines"))
 
 
@@ -80,7 +80,7 @@ def stateful_line_scan(spark: SparkSession, folder: str) -> DataFrame:
     """workflow_id, collected_at, install_without_cache, static_keys: the rules that read lines of text."""
     rows = table(spark, folder, "yaml_reference").select("workflow_id", "collected_at", F.coalesce("full_workflow_yaml", F.lit("")).alias("text"))
     by_id = {r.rule_id: r for r in rules.RULES}
-    return rows.select("workflow_id", "collected_at", F.expr(by_id["EFF-01"].condition).alias("install_without_cache"), F.expr(f"size({rules._CACHE})").alias("static_keys"))
+    return rows.select("workflow_id", "collected_at", F.expr(by_id["EFF-01"].condition).alias("install_without_cache"), F.expr(f"size({rules.CACHE_KEYS})").alias("static_keys"))
 
 
 def action_usage_distinct(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,6 +93,8 @@ def action_usage_distinct(spark: SparkSession, folder: str) -> DataFrame:
 def yaml_roundtrip_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Orders written as workflow files, parsed again, and measured: jobs are suppliers, steps line items."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_returnflag")
+    # one shuffle for both levels; its number of partitions is kept for the parser
+    lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
     item = F.concat(F.lit("      - uses: shop/part-"), F.col("l_partkey"), F.lit("@v1\n"), F.when(F.col("l_returnflag") == "R", "        if: returned\n").otherwise(""))
     job = lines.groupBy("l_orderkey", "l_suppkey").agg(F.array_join(F.sort_array(F.collect_list(item)), "").alias("steps"))
     head = F.concat(F.lit("  s"), F.col("l_suppkey"), F.lit(":\n    runs-on: x\n"))
@@ -100,6 +102,7 @@ def yaml_roundtrip_metrics(spark: SparkSession, folder: str) -> DataFrame:
     needs = "transform(j, (x, i) -> concat(x.head, case when i > 0 then concat('    needs: s', cast(j[i - 1].l_suppkey as string), '\\n') else '' end, '    steps:\\n', x.steps))"
     text = F.concat(F.lit("on: push\njobs:\n"), F.array_join(F.expr(needs), ""))
     docs = order.select("l_orderkey", text.alias("text")).withColumn("doc", workflow.parsed(F.col("text")))
+    docs = workflow.prepared(docs)
     measured = workflow.metrics("doc", "text")
     names = ("lines_of_yaml", "num_jobs", "num_steps", "max_sequential_steps", "vertical_depth", "num_conditionals", "num_job_dependencies", "num_unique_external_actions", "num_marketplace_actions", "avg_steps_per_job", "conditional_density", "has_job_dependencies")
     return docs.select("l_orderkey", *(measured[n].alias(n) for n in names))

@@ -49,3 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = jvm.org.apache.hadoop.fs.Path(target)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(target)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a plain scan over all cores, for costly row-local work.
+
+    Files that make fewer partitions than there are cores are small; only those are shuffled. A large
+    input stays as it is read.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from weftline.operators.workflow import metrics, parsed
+from weftline.operators.workflow import metrics, parsed, prepared
 
 
 def stream_metrics(spark: SparkSession, folder: str, schema: StructType, text: str, keep: list[str], files_per_batch: int = 64) -> DataFrame:
     """keep, status and the metrics of the texts in the Parquet files that arrive in a folder; metrics are null unless the status is ok."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    docs = rows.select(*keep, F.col(text).alias("text"), parsed(F.col(text)).alias("doc"))
+    docs = prepared(rows.select(*keep, F.col(text).alias("text"), parsed(F.col(text)).alias("doc")))
     ok = F.col("doc.status") == "ok"
     return docs.select(*keep, F.col("doc.status").alias("status"), *(F.when(ok, c).alias(n) for n, c in metrics("doc", "text").items()))
 
