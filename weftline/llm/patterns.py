@@ -97,7 +97,8 @@ def frequent_patterns(
         for s, tree in _trees(batches, codes):
             floor = math.ceil(least(totals[s]) * int(tree.count[0]) / totals[s] - 1e-9)
             found = [p for p, _ in tree.mine(lambda _, n: n >= floor, lengths[1], different) if len(p) >= lengths[0]]
-            yield pd.DataFrame({"scope": s, "pattern": found})
+            if found:
+                yield pd.DataFrame({"scope": s, "pattern": found})
 
     candidates = cut(pruned.mapInPandas(local, "scope string, pattern string").distinct())
     n_candidates = candidates.count()
@@ -113,7 +114,8 @@ def frequent_patterns(
             for s, tree in _trees(batches, codes):
                 inside, of = prefixes.get(s, ()), wanted.get(s, ())
                 found = [(p, n) for p, n in tree.mine(lambda p, _: p in inside, lengths[1], different) if p in of]
-                yield pd.DataFrame({"scope": s, "pattern": [p for p, _ in found], "n": [n for _, n in found]})
+                if found:
+                    yield pd.DataFrame({"scope": s, "pattern": [p for p, _ in found], "n": [n for _, n in found]})
 
         parts.append(pruned.mapInPandas(exact, "scope string, pattern string, n bigint"))
     counted = parts[0]

@@ -28,18 +28,20 @@ def systematic(units: DataFrame, unit: str, category: str, probability: str, see
     The order is cut into buckets by the hash, as many per category as its size asks for. Sums run
     inside the buckets, and the buckets' totals are summed per category, so no task orders a whole
     category. Null probabilities count as 0, null categories are a category of their own; units
-    should be distinct (equal rows get neighbouring places).
+    should be distinct (equal rows get neighbouring places). Columns `draw` and `chosen` of the
+    units are replaced.
     """
-    drawn = units.withColumn("draw", F.xxhash64(F.lit(seed), F.col(unit)))
-    drawn = drawn.withColumn("part", F.floor(F.least(F.greatest(F.coalesce(probability, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * UNIT).cast("decimal(38,0)"))
-    sizes = drawn.groupBy(F.col(category).alias("c")).agg(F.count("*").alias("size"), F.sum("part").alias("total"))
+    own = [F.col(c) for c in units.columns if c not in ("draw", "chosen")]
+    part = F.floor(F.least(F.greatest(F.coalesce(probability, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * UNIT).cast("decimal(38,0)")
+    # the row travels as one column, so that its names cannot clash with those used here
+    drawn = units.select(F.struct(*own).alias("row"), F.col(category).alias("c"), F.col(unit).alias("id"), part.alias("part"), F.xxhash64(F.lit(seed), F.col(unit)).alias("draw"))
+    sizes = drawn.groupBy("c").agg(F.count("*").alias("size"), F.sum("part").alias("total"))
     ordered = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     # one row per category: as many as have targets
-    sizes = sizes.select("c", F.greatest(F.lit(1), F.ceil(F.col("size") / BUCKET)).alias("buckets"), F.coalesce(F.sum("total").over(ordered), F.lit(0)).alias("base"))
-    placed = drawn.join(F.broadcast(sizes), F.col(category).eqNullSafe(F.col("c")))
-    high = F.shiftrightunsigned("draw", 33)  # 31 bits, in the order of `spot`
-    placed = placed.withColumn("spot", high).withColumn("bucket", F.expr("(spot * buckets) div 2147483648L"))
-    inside = Window.partitionBy("c", "bucket").orderBy("spot", "draw", unit).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = sizes.select(F.col("c").alias("c1"), F.greatest(F.lit(1), F.ceil(F.col("size") / BUCKET)).alias("buckets"), F.coalesce(F.sum("total").over(ordered), F.lit(0)).alias("base"))
+    placed = drawn.join(F.broadcast(sizes), F.col("c").eqNullSafe(F.col("c1"))).withColumn("spot", F.shiftrightunsigned("draw", 33))  # 31 bits
+    placed = placed.withColumn("bucket", F.expr("(spot * buckets) div 2147483648L"))
+    inside = Window.partitionBy("c", "bucket").orderBy("spot", "draw", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("c").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("c", "bucket").agg(F.sum("part").alias("t"))
     totals = totals.select(F.col("c").alias("c2"), F.col("bucket").alias("bucket2"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("ahead"))
@@ -47,7 +49,7 @@ def systematic(units: DataFrame, unit: str, category: str, probability: str, see
     start = F.pmod(F.xxhash64(F.lit(seed), F.lit("start")), F.lit(UNIT)).cast("decimal(38,0)")
     until = F.col("base") + F.col("ahead") + F.col("upto") + start
     crossed = F.floor(until / UNIT) > F.floor((until - F.col("part")) / UNIT)
-    return summed.withColumn("chosen", crossed).drop("part", "c", "c2", "bucket", "bucket2", "buckets", "base", "ahead", "upto", "spot")
+    return summed.select("row.*", "draw", crossed.alias("chosen"))
 
 
 def proportional_sample(units: DataFrame, unit: str, category: str, targets: DataFrame, share: float = 0.1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
