@@ -9,9 +9,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from weftline.functions.numbers import ratio
 
@@ -157,9 +159,11 @@ def parse_document(text: str | None) -> dict:
 def parsed(text: Column) -> Column:
     """The parsed document of a YAML text."""
 
-    @F.pandas_udf(DOCUMENT)
-    def parse(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_document(t) for t in texts], columns=list(_COLUMNS)).astype({c: "Int32" for c in ("max_nesting_depth", "full_depth", "vertical_depth", "cycle_depth")})
+    kind = to_arrow_type(_parse_datatype_string(DOCUMENT))
+
+    @F.arrow_udf(DOCUMENT)
+    def parse(texts: pa.Array) -> pa.Array:
+        return pa.array([parse_document(t.as_py()) for t in texts], kind)
 
     # not to be evaluated again where a filter on the result is pushed down
     return parse.asNondeterministic()(text)
