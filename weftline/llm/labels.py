@@ -110,7 +110,8 @@ def resolve(sequence: Column, labels: list[str]) -> Column:
             kept.append(Resolver(labels))
         return texts.map(lambda s: [kept[0](p) for p in pieces(s)])
 
-    return resolved(sequence)
+    # not to be evaluated again where a filter on the result is pushed down
+    return resolved.asNondeterministic()(sequence)
 
 
 def catalogue(spark: SparkSession, folder: str) -> list[str]:

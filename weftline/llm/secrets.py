@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import spread
 from weftline.sources.tables import table
 
 #: What a masked value becomes.
@@ -311,7 +312,8 @@ def credentials(text: Column) -> Column:
 
         return texts.map(rows)
 
-    return found(text)
+    # not to be evaluated again where a filter on the result is pushed down
+    return found.asNondeterministic()(text)
 
 
 def mask(text: Column) -> Column:
@@ -321,18 +323,20 @@ def mask(text: Column) -> Column:
     def masked(texts: pd.Series) -> pd.Series:
         return texts.map(redacted)
 
-    return masked(text)
+    return masked.asNondeterministic()(text)
 
 
 def p7_places(spark: SparkSession, folder: str) -> DataFrame:
     """workflow_id, collected_at, line_no, kind, key_path, first_byte, end_byte of every credential."""
-    rows = table(spark, folder, "yaml_reference").select("workflow_id", "collected_at", F.explode(credentials(F.col("full_workflow_yaml"))).alias("f"))
+    files = spread(table(spark, folder, "yaml_reference").select("workflow_id", "collected_at", "full_workflow_yaml"))
+    rows = files.select("workflow_id", "collected_at", F.explode(credentials(F.col("full_workflow_yaml"))).alias("f"))
     return rows.select("workflow_id", "collected_at", "f.*")
 
 
 def p7_masked(spark: SparkSession, folder: str) -> DataFrame:
     """workflow_id, collected_at, full_workflow_yaml with the credentials masked, for every row."""
-    return table(spark, folder, "yaml_reference").select("workflow_id", "collected_at", mask(F.col("full_workflow_yaml")).alias("full_workflow_yaml"))
+    files = spread(table(spark, folder, "yaml_reference").select("workflow_id", "collected_at", "full_workflow_yaml"))
+    return files.select("workflow_id", "collected_at", mask(F.col("full_workflow_yaml")).alias("full_workflow_yaml"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

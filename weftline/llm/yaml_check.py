@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weftline.functions.text import canonical_language
 from weftline.llm.derivatives import Language
 from weftline.llm.yaml_tokens import FORBIDDEN, tokens
+from weftline.session import spread
 from weftline.sources.tables import table
 
 
@@ -80,12 +81,14 @@ def yaml_failure(text: Column) -> Column:
         found = [failure(x) for x in texts]
         return pd.DataFrame({"line": pd.array([f and f[0] for f in found], "Int32"), "why": [f and f[1] for f in found]})
 
-    return checked(text)
+    # not to be evaluated again where a filter on the result is pushed down
+    return checked.asNondeterministic()(text)
 
 
 def p4_files(spark: SparkSession, folder: str) -> DataFrame:
     """workflow_id, project_id, language, full_path, line, why: the rows of yaml_reference that do not parse."""
-    rows = table(spark, folder, "yaml_reference").select("workflow_id", "project_id", canonical_language(F.col("language")).alias("language"), "full_path", yaml_failure(F.col("full_workflow_yaml")).alias("f"))
+    files = spread(table(spark, folder, "yaml_reference").select("workflow_id", "project_id", "language", "full_path", "full_workflow_yaml"))
+    rows = files.select("workflow_id", "project_id", canonical_language(F.col("language")).alias("language"), "full_path", yaml_failure(F.col("full_workflow_yaml")).alias("f"))
     return rows.where("f.line is not null").select("workflow_id", "project_id", "language", "full_path", "f.line", "f.why")
 
 
@@ -96,8 +99,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     """project_id, language (each null: all of them), files, broken, rate; a file is one workflow_id of a project."""
-    rows = table(spark, folder, "yaml_reference").where("full_workflow_yaml <> ''")
-    rows = rows.select("workflow_id", "project_id", canonical_language(F.col("language")).alias("language"), yaml_failure(F.col("full_workflow_yaml")).alias("f"))
+    files = spread(table(spark, folder, "yaml_reference").where("full_workflow_yaml <> ''").select("workflow_id", "project_id", "language", "full_workflow_yaml"))
+    rows = files.select("workflow_id", "project_id", canonical_language(F.col("language")).alias("language"), yaml_failure(F.col("full_workflow_yaml")).alias("f"))
     files = rows.groupBy("project_id", "language", "workflow_id").agg(F.max(F.expr("cast(f.line is not null as int)")).alias("broken"))
     sums = files.groupingSets([["project_id", "language"], ["project_id"], ["language"], []], "project_id", "language")
     out = sums.agg(F.grouping_id().alias("level"), F.count("*").alias("files"), F.sum("broken").alias("broken"))
