@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import digest, packing, pairs, patterns, runs, sampling, secrets, splitting, tokens, yaml_check
+from weftline.llm import digest, packing, pairs, patterns, runs, sampling, secrets, sequence_sql, splitting, tokens, yaml_check
 
 QUERIES = {
     f.__name__: f
@@ -16,4 +16,4 @@ QUERIES = {
         tokens.p8_ids, packing.p9_bins, splitting.p10_pieces,
     )
 }
-ORACLES: dict[str, str] = {**sampling.ORACLES, **digest.ORACLES}
+ORACLES: dict[str, str] = {**sampling.ORACLES, **digest.ORACLES, **sequence_sql.ORACLES}
