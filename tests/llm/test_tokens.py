@@ -29,6 +29,8 @@ def test_every_text_is_encoded_whole(docs, chunk, overlap):
         text = "word" if r.doc_id is None else TEXTS[r.doc_id] or ""
         assert r.ids == encode(text)
         assert decode(r.ids, vocabulary()) == text.encode()
+    for r in encode_corpus(docs.repartition(5), chunk=chunk, overlap=overlap, with_text=True).collect():
+        assert r.ids == encode(r.text or "") and (r.doc_id is None or r.text == TEXTS[r.doc_id])
     counts = {r.doc_id: r.ids for r in encode_corpus(docs, counted=True, chunk=chunk, overlap=overlap).collect()}
     assert all(counts[i] == len(encode(t or "")) for i, t in enumerate(TEXTS))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.tokens import encode_corpus, vocabulary
-from weftline.session import cut
+from weftline.session import cut, spread
 from weftline.sources.tables import table
 
 #: Largest capacity, and so most different sizes, for which the driver plans.
@@ -151,7 +151,7 @@ def p9_bins(spark: SparkSession, folder: str) -> DataFrame:
     done, sizes = None, {}
     for name, capacity in sorted(map(tuple, limits)):
         if name not in sizes:
-            sizes[name] = cut(encode_corpus(table(spark, folder, "documents"), path=vocabulary(name), counted=True))
+            sizes[name] = cut(encode_corpus(spread(table(spark, folder, "documents").select("doc_id", "text")), path=vocabulary(name), counted=True))
         bins = pack(sizes[name], "doc_id", "ids", capacity).select(F.lit(capacity).alias("max_tokens"), "bin_id", "doc_id", "piece", F.col("first").alias("first_token"), "tokens")
         done = bins if done is None else done.unionByName(bins)
     return spark.createDataFrame([], "max_tokens int, bin_id bigint, doc_id bigint, piece int, first_token bigint, tokens bigint") if done is None else done

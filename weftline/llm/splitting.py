@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.tokens import encode_corpus, encoder, vocabulary
+from weftline.session import spread
 from weftline.sources.tables import table
 
 #: Kinds of places between two tokens, from least to most natural.
@@ -210,7 +211,7 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "size_limits").where("purpose = 'split'").select("tokenizer", "max_tokens", "overlap_tokens").distinct().limit(1001).collect()
     if len(rows) > 1000:
         raise ValueError("size_limits has more than 1000 limits")
-    documents, done = table(spark, folder, "documents"), None
+    documents, done = spread(table(spark, folder, "documents").select("doc_id", "text")), None
     for name in sorted({r["tokenizer"] for r in rows}):
         limits = sorted((r["max_tokens"], r["overlap_tokens"]) for r in rows if r["tokenizer"] == name)
         found = split_texts(documents, limits, path=vocabulary(name))

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.session import cut, spread
 from weftline.sources.tables import table
 
 #: How byte_bpe_50k splits a text before it merges bytes. Fixed value.
@@ -94,6 +95,8 @@ def _boundaries(size: int, overlap: int):
 
         words = regex.compile(PATTERN)
         for batch in batches:
+            if batch.empty:
+                continue
             heads, tails = [], []
             for at, text in zip(batch["at"], batch["text"]):
                 found = [m.start() for m in words.finditer(text)]
@@ -141,7 +144,8 @@ def encode_corpus(
     names = [n for n, _ in kept]
     short = docs.where(f"text is null or length(text) <= {2 * chunk}").mapInArrow(_encoded(path, names, counted), f"{columns}, ids {result}")
 
-    long = docs.where(f"length(text) > {2 * chunk}").withColumn("row", F.monotonically_increasing_id())
+    # written once: the rows are read again below, and their numbers must be the same then
+    long = cut(docs.where(f"length(text) > {2 * chunk}").withColumn("row", F.monotonically_increasing_id()))
     chunks = long.select("row", "text").mapInPandas(_chunked(chunk, overlap), "row bigint, k int, at bigint, text string")
     cuts = chunks.repartition(F.xxhash64("row", "k")).mapInPandas(
         _boundaries(chunk, overlap), "row bigint, k int, at bigint, text string, head array<bigint>, tail array<bigint>"
@@ -163,4 +167,4 @@ def encode_corpus(
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, ids of every document."""
-    return encode_corpus(table(spark, folder, "documents"))
+    return encode_corpus(spread(table(spark, folder, "documents").select("doc_id", "text")))
