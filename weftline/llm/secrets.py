@@ -6,6 +6,7 @@ import base64
 import binascii
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -50,7 +51,6 @@ _USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://(?:([^\s:/@\"'<>${}]*)(:))?(
 _HOOK = re.compile(r"https?://[^\s/\"'@]*(?:hook|logic\.azure)[^\s/\"'@]*/[^\s\"'<>]*|https?://[^\s/\"'@]+/[^\s\"'<>]*webhooks?/[^\s\"'<>]*")
 _QUERY = re.compile(r"(?i)[?&;](?:[\w-]*(?:key|token|secret|signature|password|passwd|auth|sig|pwd|code)|sv_sig)=([^&\s\"'<>#;]{8,})")
 _SCHEME = re.compile(r"(?i)\b(?:bearer|basic|token|apikey)\s+[\"']?([^\s\"'\\,;<>]{8,})")
-_HEADER = re.compile(r"(?i)authorization|-token\b|auth")
 # key, operator and the rest: after a quote up to its end, else up to a blank or what ends a word there
 _ASSIGN = re.compile(r"(?<![\w$%{.\-])(?:--?D?|-P|[$]env:)?[\"']?([A-Za-z_][\w.\-]*?)[\"']?[ \t]*(:=|=>|==|[:=])(?=[ \t\"'\S])[ \t]*")
 _OPTION = re.compile(r"(?<!\S)--?([A-Za-z][\w-]*)[ \t]+(?=\S)")
@@ -65,18 +65,25 @@ _XML = re.compile(r"(?i)<((?:[\w.\-]*)(?:password|passphrase|passwd|token|secret
 _SAID = re.compile(r"(?i)\b(?:token|password|passwd|secret|api[-_ ]?key|credentials?|passphrase)\b[^\n]{0,60}?[:=][ \t]*[\"']?([A-Za-z0-9_+/=\-.]{16,})[\"']?[ \t]*$")
 _QUOTED = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.|'')*)'")
 _ESCAPED = re.compile(r"\\\"((?:[^\"\\])*)\\\"")
-_CALL_OUT = re.compile(r"^(?:\$|%\w+%$|%\(|\{\{|\{%|`|@\{|\$\{|#\{)|\$\{|\$\(|\{\{|<%|^\w+://\S*|^(?:vault|op|ssm|arn|secret|secrets|env|file|aws|gcp|azure|keyvault|sops|ref|pass|bw)[:+.]|^\.{0,2}/|^~/")
+_CALL_OUT = re.compile(r"^(?:\$|%\w+%$|%\(|\{\{|\{%|`|@\{|\$\{|#\{)|\$\{|\$\(|\{\{|<%|^\w+://\S*|^(?:vault|op|ssm|arn|secret|secrets|env|file|aws|gcp|azure|keyvault|sops|ref|pass|bw)[:+.]|^\.{1,2}/|^~/")
 _BLANKED = re.compile(r"^[\W_]*$|^(.)\1*$|^[xX*.\-_#]+$|^<.*>$|^\[.*\]$|^\(.*\)$")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+_KEY_LINE = re.compile(r"[ \t]*(?:- +)*[\"']?[\w.\-]+[\"']?[ \t]*:(?:[ \t]|$)")
+_MARKED = re.compile(r"[&!][^\s\"']*[ \t]+")
+_VALUE_LINE = re.compile(r"(?:[ \t]*\r?\n)*([ ]*)([^\n]*)")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _BLOCK = re.compile(r"(?m)^([ \t]*(?:- +)*)[\"']?([A-Za-z_][\w.\-]*)[\"']?[ \t]*:[ \t]*(?:[&!]\S+[ \t]+)*(?:[|>][+\-0-9]*)?[ \t]*(?:#[^\n]*)?\r?\n")
 _NAMED = re.compile(r"(?m)^([ \t]*)- +(?:name|key)[ \t]*:[ \t]*[\"']?([A-Za-z_][\w.\-]*)[\"']?[ \t]*\r?\n\1  value[ \t]*:[ \t]*")
-#: A text without any of these holds no finding.
-_HINT = re.compile(
-    r"(?i)pass|pwd|\bpw\b|phrase|secret|token|key|cred|auth|bearer|basic|login|_pat\b|\bpat\b|jwt|://[^\s/]*@|hook|AKIA|ASIA|AROA|AIDA|gh[opusr]_|gl(?:pat|dt|rt|ptt|soat)-|xox|xapp-|[srp]k_(?:live|test|prod)|whsec_|npm_|pypi-|AIza|ya29|eyJ|SG\.|hf_|dckr_|_v1_|shp|sq0|hv[sb]\.|lin_api|rubygems|dapi|curl|wget|mysql|mariadb|[?&](?:sig|code)="
-)
+#: A line without any of these, in lower case, holds no finding but a token form; a line without any
+#: of the others holds no token form. Fixed values.
+_HINTS = ("pass", "pwd", "pw", "phrase", "contrasena", "secret", "token", "key", "cred", "auth", "bearer", "basic", "login", "pat", "jwt", "://", "hook", "curl", "wget", "mysql", "mariadb")
+_FORM_HINTS = (
+    "AKIA", "ASIA", "AROA", "AIDA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "gldt-", "glrt-", "glptt-", "glsoat-", "xox", "xapp-", "k_live_", "k_test_", "k_prod_", "whsec_", "npm_", "pypi-", "AIza", "ya29.",
+    "eyJ", "SG.", "hf_", "dckr_pat_", "_v1_", "AGE-SECRET-KEY-", "shp", "sq0", "hvs.", "hvb.", "lin_api_", "rubygems_", "dapi",
+)
 
 
+@lru_cache(10_000)
 def sensitive(name: str) -> str | None:
     """`pass`, `token` or `login` for the name of a key that holds a credential."""
     words = [w.lower() for w in _WORDS.findall(name)]
@@ -101,6 +108,8 @@ def sensitive(name: str) -> str | None:
 
 def literal(value: str) -> bool:
     """Whether a value is meant as it stands: no reference, no placeholder, not blanked."""
+    if value.startswith("/") and not (len(value) >= 30 and "." not in value and all(any(map(f, value)) for f in (str.isdigit, str.islower, str.isupper))):
+        return False  # a path; base64 may begin with the same sign
     return len(value) >= 4 and not (_CALL_OUT.search(value) or _BLANKED.match(value) or PLACEHOLDER.search(value))
 
 
@@ -137,40 +146,38 @@ def _value(line: str, at: int, stops: str) -> tuple[int, int]:
     return at, end
 
 
-def _in_line(line: str) -> Iterator[Finding]:
+def _in_line(line: str, low: str) -> Iterator[Finding]:
     stripped = line.lstrip()
-    for m in _FORM.finditer(line):
-        if literal(m[0]) and len(set(m[0])) > 7:
-            yield Finding(m.start(), m.end(), "token form")
-    for m in _USERINFO.finditer(line):
+    url = "://" in line
+    for m in _USERINFO.finditer(line) if url and "@" in line else ():
         user, secret = m[1], m[3]
         if m[2]:
             if literal(secret) and not secret.isdigit() or secret.isdigit() and len(secret) > 5:
                 yield Finding(m.start(3), m.end(3), "url")
         elif user is None and _random(secret, 20) and literal(secret) and re.search(r"\d", secret) and ":" not in secret:
             yield Finding(m.start(3), m.end(3), "url")
-    for m in _HOOK.finditer(line):
+    for m in _HOOK.finditer(line) if url and ("hook" in low or "logic.azure" in low) else ():
         path = m[0].split("/", 3)[-1]
         parts = [p for p in re.split(r"[/?&=]", path) if _random(p, 16) and literal(p) and not _UUID.match(p)]
         if parts:
             at = line.index(parts[-1], m.start())
             yield Finding(at, at + len(parts[-1]), "url")
-    for m in _QUERY.finditer(line):
+    for m in _QUERY.finditer(line) if url else ():
         if literal(m[1]) and _random(m[1], 12) and "://" in line[: m.start()]:
             yield Finding(*m.span(1), "url")
-    if _HEADER.search(line):
+    if "auth" in low or "-token" in low:
         for m in _SCHEME.finditer(line):
             value = m[1]
             if literal(value) and (_random(value, 12) or _login(value)):
                 yield Finding(*m.span(1), "header")
-    whole_line = re.match(r"[ \t]*(?:- +)*[\"']?[\w.\-]+[\"']?[ \t]*:(?:[ \t]|$)", line)
+    whole_line = _KEY_LINE.match(line)
     for m in _ASSIGN.finditer(line):
         kind = sensitive(m[1])
         if not kind:
             continue
         at = m.end()
-        while tagged := re.match(r"[&!][^\s\"']*[ \t]+", line[at:]):
-            at += tagged.end()
+        while tagged := _MARKED.match(line, at):
+            at = tagged.end()
         yaml_value = whole_line is not None and m.end() == whole_line.end() + len(line[whole_line.end() :]) - len(line[whole_line.end() :].lstrip(" \t"))
         a, b = _value(line, at, "\n" if yaml_value else " \t;,)}]&|<>\"'\\" if m[2] in ("=", "==") else " \t,;)}]\"'")
         value = line[a:b]
@@ -180,31 +187,31 @@ def _in_line(line: str) -> Iterator[Finding]:
             continue  # a colon inside a word
         if holds(value, kind):
             yield Finding(a, a + len(value), "key name")
-    for m in _OPTION.finditer(line):
+    for m in _OPTION.finditer(line) if "-" in line else ():
         if (kind := sensitive(m[1])) and m[1].lower() not in ("auth",):
             a, b = _value(line, m.end(), " \t;|&)")
             if holds(line[a:b], kind) and not line[a:b].startswith("-"):
                 yield Finding(a, b, "command")
-    for pattern in (_LOGIN, _SSHPASS, _MYSQL):
-        if m := pattern.search(line):
+    for pattern, word in ((_LOGIN, "login"), (_SSHPASS, "sshpass"), (_MYSQL, "m")):
+        if word in line and (m := pattern.search(line)):
             a, b = _value(line, m.end(), " \t;|&)")
             if literal(line[a:b]):
                 yield Finding(a, b, "command")
-    if m := _USERPASS.search(line):
+    if ("curl" in line or "wget" in line or "http" in line) and (m := _USERPASS.search(line)):
         a, b = _value(line, m.end(), " \t;|\"'")
         if literal(line[a:b]) and literal(m[1] + "    ") and "//" not in m[1]:
             yield Finding(a, b, "command")
-    if (m := _NETRC.search(line)) and (stripped.startswith(("password", "passwd")) or re.search(r"\b(?:login|machine)\s+\S", line[: m.start() + 1])):
+    if "passw" in line and (m := _NETRC.search(line)) and (stripped.startswith(("password", "passwd")) or re.search(r"\b(?:login|machine)\s+\S", line[: m.start() + 1])):
         a, b = _value(line, m.end(), " \t\\\"'")
         if holds(line[a:b], "pass") and line[a:b] not in ("is", "=", ":"):
             yield Finding(a, b, "netrc")
-    if (m := _CALL.search(line)) and (last := _LAST_ARG.search(line, m.start(1))) and last.start() > m.start(1):
+    if "(" in line and (m := _CALL.search(line)) and (last := _LAST_ARG.search(line, m.start(1))) and last.start() > m.start(1):
         if holds(last[2], "pass"):
             yield Finding(*last.span(2), "call")
-    for m in _XML.finditer(line):
+    for m in _XML.finditer(line) if "</" in line else ():
         if holds(m[2], sensitive(m[1]) or "token"):
             yield Finding(*m.span(2), "key name")
-    if m := _SAID.search(line):
+    if ("#" in line or stripped.startswith("//")) and (m := _SAID.search(line)):
         if literal(m[1]) and _random(m[1], 16) and re.search(r"\d", m[1]) and not _UUID.match(m[1]) and (stripped.startswith("#") or " #" in line[: m.start() + 1] or stripped.startswith("//")):
             yield Finding(*m.span(1), "comment")
 
@@ -220,7 +227,11 @@ def _login(value: str) -> bool:
 
 def findings(text: str | None) -> list[Finding]:
     """The credentials of a text in order, none inside another."""
-    if not text or not _HINT.search(text):
+    if not text:
+        return []
+    low = text.lower()
+    hints, forms = [w for w in _HINTS if w in low], [w for w in _FORM_HINTS if w in text]
+    if not hints and not forms:
         return []
     found: list[Finding] = []
     for m in _PEM.finditer(text):
@@ -231,17 +242,19 @@ def findings(text: str | None) -> list[Finding]:
         if _BODY.search(body):
             last = max(x.end() for x in _BODY.finditer(body))
             found.append(Finding(m.start(), stop if end and nearest < 0 else m.end() + last, "private key"))
-    start, seen = 0, -1
-    for m in _HINT.finditer(text):
-        if m.start() <= seen:
-            continue
-        start, seen = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
-        seen = len(text) if seen < 0 else seen
-        found.extend(Finding(start + f.start, start + f.end, f.kind) for f in _in_line(text[start:seen].rstrip("\r")))
+    start = 0
+    for line in text.split("\n"):
+        if any(w in line for w in forms):
+            found.extend(Finding(start + m.start(), start + m.end(), "token form") for m in _FORM.finditer(line) if literal(m[0]) and len(set(m[0])) > 7)
+        if hints:
+            low = line.lower()
+            if any(w in low for w in hints):
+                found.extend(Finding(start + f.start, start + f.end, f.kind) for f in _in_line(line.rstrip("\r"), low))
+        start += len(line) + 1
     for m in _BLOCK.finditer(text):
         if kind := sensitive(m[2]):
             depth = len(m[1].expandtabs(1))
-            rest = re.compile(r"(?:[ \t]*\r?\n)*([ ]*)([^\n]*)").match(text, m.end())
+            rest = _VALUE_LINE.match(text, m.end())
             value = rest[2].rstrip("\r \t")
             if rest and len(rest[1]) > depth and holds(value, kind) and not value.startswith(("-", "#")) and ": " not in value and not value.endswith(":"):
                 found.append(Finding(rest.start(2), rest.start(2) + len(value), "key name"))
