@@ -9,16 +9,13 @@ OVERALL = "Overall"
 
 
 def with_overall(counts: DataFrame, scope: str, keys: list[str], sums: list[str]) -> DataFrame:
-    """scope, keys, sums: the rows of `counts` per scope, and their sums over all scopes as Overall.
+    """scope, keys, sums: the sums of `counts` per scope, and over all scopes as Overall.
 
-    counts is aggregated by scope and keys already, so the second level costs little. Rows of a null
-    scope count in Overall only.
+    counts is aggregated by scope and keys already, so the second level costs little, and it is read
+    once. Rows of a null scope count in Overall only.
     """
-    whole = counts.groupBy(*keys).agg(*(F.sum(s).alias(s) for s in sums)).select(F.lit(OVERALL).alias(scope), *keys, *sums)
-    own = counts.where(F.col(scope).isNotNull()).select(scope, *keys, *sums)
-    if not keys:  # a sum over no rows is no scope
-        whole = whole.where(F.col(sums[0]).isNotNull())
-    return own.unionByName(whole)
+    both = counts.withColumn(scope, F.explode(F.array(F.lit(OVERALL), F.col(scope)))).where(F.col(scope).isNotNull())
+    return both.groupBy(scope, *keys).agg(*(F.sum(s).alias(s) for s in sums))
 
 
 def ranked(rows: DataFrame, scope: list[str], count: str, key: str, most: int) -> DataFrame:
