@@ -199,8 +199,9 @@ def p5_digests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scoped(spark: SparkSession, folder: str) -> DataFrame:
-    days = p5_digests(spark, folder).groupBy("language", "metric", "lo", "level").agg(F.sum("n").alias("n"))
-    scopes = days.where("language is not null").unionByName(days.withColumn("language", F.lit("Overall")))
+    days = p5_digests(spark, folder)
+    # read once: every node counts for Overall and for its language
+    scopes = days.withColumn("language", F.explode(F.array(F.lit("Overall"), F.col("language")))).where("language is not null")
     return merged(scopes, ["language"])
 
 
