@@ -60,3 +60,29 @@ def test_columns(spark):
     assert text.encode()[f.first_byte : f.end_byte].decode() == R
     assert {r.id: r.m for r in out}[2] is None and {r.id: r.m for r in out}[3] == ""
     assert rows.limit(0).select(credentials(F.col("text"))).collect() == []
+
+
+K = ["MIIK" + "aB3+" * 15, "q7Zp" * 16, "/T9x" * 16, "Lw4=="]  # a key store in base64, wrapped
+WHOLE = [  # text, the lines of the secret, key path
+    ("env:\n  KEYSTORE_B64: |\n" + "".join(f"    {k}\n" for k in K), K, "env.KEYSTORE_B64"), ("env:\n  KEYSTORE_SECRET_B64: |\n" + "".join(f"    {k}\n" for k in K) + "  X: 1\n", K, "env.KEYSTORE_SECRET_B64"), ("a:\n  token: >-\n" + "".join(f"    {k}\r\n" for k in K), K, "a.token"),
+    ('token: "q7Zp4kTn\\\n  9xWv2LbC8mRs"\nx: 1\n', ["q7Zp4kTn\\", "9xWv2LbC8mRs"], "token"), ("token: 'abcdefgh\n  9xWv2LbC8mRs'\n", ["abcdefgh", "9xWv2LbC8mRs"], "token"), ("a:\n  token: abcdefgh\n    9xWv2LbC8mRs # note\n", ["abcdefgh", "9xWv2LbC8mRs"], "a.token"),
+    ("passphrase: quiet comet\n  118092 falls\n", ["quiet comet", "118092 falls"], "passphrase"), ("passphrase: |\n  quiet comet\n  118092 falls\n", ["quiet comet", "118092 falls"], "passphrase"),
+    (f"- value: {R}\n  name: DB_PASS\n", [R], "value"), (f"- name: DB_PASS\n  more: 1\n  value: >\n    {R}\n", [R], "value"), (f"x: {{name: API_TOKEN, value: {R}}}\n", [R], "x.value"), (f'"api key": {R}\n', [R], "api key"), (f"? token\n: {R}\n", [R], "token"), (f"api_keys: [a, {R}]\n", [R], "api_keys"),
+    (f"secrets: |\n  id=${{{{ secrets.ID }}}}\n  npm\n  {R}\n", [R], "secrets"),
+]
+
+
+@pytest.mark.parametrize("text, lines, path", WHOLE)
+def test_whole_value(spark, text, lines, path):
+    (f,) = findings(text)
+    assert [x.strip() for x in text[f.start : f.end].splitlines()] == lines
+    masked = text
+    for x in lines:
+        masked = masked.replace(x, MASK)
+    assert redacted(text) == masked
+    assert spark.createDataFrame([(text,)], "t string").select(credentials(F.col("t")).alias("f")).first().f[0].key_path == path
+
+
+@pytest.mark.parametrize("text", ["secrets: |\n  NPM_TOKEN\n  docker\n", "secrets: [DEPLOY_KEY_1, DEPLOY_KEY_2]\n", "pass: |\n  if true\n  then x=$(y)\n  fi 1\n", "KEYSTORE: app/release-key1.jks\n", "token:\n  required: true\n  description: Some Text 12\n", "secrets:\n  - a: [x, 'y']\n"])
+def test_no_value(text):
+    assert findings(text) == []

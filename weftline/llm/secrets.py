@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.yaml_tokens import Scalar, scalars
 from weftline.session import spread
 from weftline.sources.tables import table
 
@@ -71,9 +73,18 @@ _UUID = re.compile(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _KEY_LINE = re.compile(r"[ \t]*(?:- +)*[\"']?[\w.\-]+[\"']?[ \t]*:(?:[ \t]|$)")
 _MARKED = re.compile(r"[&!][^\s\"']*[ \t]+")
 _VALUE_LINE = re.compile(r"(?:[ \t]*\r?\n)*([ ]*)([^\n]*)")
-_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+_WORDS = re.compile(r"(?:(?<![A-Za-z])b|B)64(?!\d)|[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _BLOCK = re.compile(r"(?m)^([ \t]*(?:- +)*)[\"']?([A-Za-z_][\w.\-]*)[\"']?[ \t]*:[ \t]*(?:[&!]\S+[ \t]+)*(?:[|>][+\-0-9]*)?[ \t]*(?:#[^\n]*)?\r?\n")
 _NAMED = re.compile(r"(?m)^([ \t]*)- +(?:name|key)[ \t]*:[ \t]*[\"']?([A-Za-z_][\w.\-]*)[\"']?[ \t]*\r?\n\1  value[ \t]*:[ \t]*")
+_LINE_PART = re.compile(r"[^\s](?:[^\r\n]*[^\s])?")
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_.~\-]{16,}={0,2}")
+_WRAPPED_END = re.compile(r"[A-Za-z0-9+/_.~\-]+={0,2}|={1,2}")
+#: Keys of siblings, and keys that need not stand on one line with their colon.
+_APART = re.compile(r"\bvalue[\"']?[ \t]*:|\?[ \t\r\n]|[\r\n][ \t]*:")
+#: Keys of key stores, whose values are credentials where they are base64 of some length.
+_STORE = re.compile(r"(?i)key[-_]?store(?:[-_]?(?:base64|b64))?$")
+_STORED = re.compile(r"[A-Za-z0-9+/]{64,}={0,2}")
+_CONSTANT = re.compile(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+")
 #: A line without any of these, in lower case, holds no finding but a token form; a line without any
 #: of the others holds no token form. Fixed values.
 _HINTS = ("pass", "pwd", "pw", "phrase", "contrasena", "secret", "token", "key", "cred", "auth", "bearer", "basic", "login", "pat", "jwt", "://", "hook", "curl", "wget", "mysql", "mariadb")
@@ -225,14 +236,58 @@ def _login(value: str) -> bool:
     return bool(user and colon and word) and user.isascii()
 
 
-def findings(text: str | None) -> list[Finding]:
-    """The credentials of a text in order, none inside another."""
+def _keyed(line: str) -> bool:
+    """Whether a key of this line may be sensitive: the line up to its colon ends with the same words."""
+    at = line.find(":")
+    while at >= 0:
+        name = line[:at].rstrip(" \t\"'")
+        if sensitive(name) or _STORE.search(name):
+            return True
+        at = line.find(":", at + 1)
+    return False
+
+
+def _in_scalar(text: str, s: Scalar) -> Iterator[Finding]:
+    """The credentials that the key of a YAML value tells: the value over all its lines, or the lines of a block that stand for themselves."""
+    kind = sensitive(s.path[-1]) if s.path else None
+    if not kind and s.name:
+        kind = sensitive(s.name)
+    value = text[s.start : s.end]
+    if not kind:
+        if any(n and _STORE.search(n) for n in (s.path[-1] if s.path else None, s.name)) and _STORED.fullmatch(re.sub(r"\s+|\\(?=\s)", "", value)) and _random(re.sub(r"\s", "", value), 64):
+            yield Finding(s.start, s.end, "key name")
+        return
+    if s.item and _CONSTANT.fullmatch(value):
+        return
+    if "\n" not in value and "\r" not in value:
+        if holds(value, kind):
+            yield Finding(s.start, s.end, "key name")
+        return
+    lines = list(_LINE_PART.finditer(value))
+    words = [m[0].removesuffix("\\").rstrip() if s.style == '"' else m[0] for m in lines]
+    single = not any(re.search(r"\s", w) for w in words)
+    if s.style not in ("|", ">"):
+        one = holds(("" if single else " ").join(words), kind)
+    elif single:  # text that was wrapped, else a list
+        one = all(map(_WRAPPED.fullmatch, words[:-1])) and _WRAPPED_END.fullmatch(words[-1]) is not None and holds("".join(words), kind)
+    else:  # a phrase; a script or a list of settings is none
+        one = kind == "pass" and not re.search(r"[=:;(){}$|]", value) and holds(" ".join(words), kind)
+    if one:
+        yield Finding(s.start, s.end, "key name")
+    elif s.style in ("|", ">"):
+        for m in lines:
+            if not re.search(r"\s", m[0]) and holds(m[0], kind):
+                yield Finding(s.start + m.start(), s.start + m.end(), "key name")
+
+
+def _read(text: str | None) -> tuple[list[Finding], list[Scalar]]:
+    """The credentials of a text in order, none inside another; its YAML values, where there may be any."""
     if not text:
-        return []
+        return [], []
     low = text.lower()
     hints, forms = [w for w in _HINTS if w in low], [w for w in _FORM_HINTS if w in text]
     if not hints and not forms:
-        return []
+        return [], []
     found: list[Finding] = []
     for m in _PEM.finditer(text):
         end = _PEM_END.search(text, m.end())
@@ -242,7 +297,8 @@ def findings(text: str | None) -> list[Finding]:
         if _BODY.search(body):
             last = max(x.end() for x in _BODY.finditer(body))
             found.append(Finding(m.start(), stop if end and nearest < 0 else m.end() + last, "private key"))
-    start = 0
+    keys, start = list(found), 0
+    keyed = bool(hints) and _APART.search(text) is not None
     for line in text.split("\n"):
         if any(w in line for w in forms):
             found.extend(Finding(start + m.start(), start + m.end(), "token form") for m in _FORM.finditer(line) if literal(m[0]) and len(set(m[0])) > 7)
@@ -250,6 +306,7 @@ def findings(text: str | None) -> list[Finding]:
             low = line.lower()
             if any(w in low for w in hints):
                 found.extend(Finding(start + f.start, start + f.end, f.kind) for f in _in_line(line.rstrip("\r"), low))
+                keyed = keyed or _keyed(line)
         start += len(line) + 1
     for m in _BLOCK.finditer(text):
         if kind := sensitive(m[2]):
@@ -266,15 +323,28 @@ def findings(text: str | None) -> list[Finding]:
             value = line[a:b] if a else re.split(r"[ \t]+#", line, maxsplit=1)[0].rstrip()
             if holds(value, kind):
                 found.append(Finding(m.end() + a, m.end() + a + len(value), "key name"))
+    values = scalars(text) if keyed or found else []
+    quotes = {s.start - 1 for s in values if s.style in ("'", '"')}  # a quoted value may go on after its first line
+    found = [f._replace(start=f.start + 1) if f.start in quotes and f.kind == "key name" else f for f in found]
+    for s in values:
+        # of a private key only the lines of the key are masked
+        found.extend(f for f in _in_scalar(text, s) if not any(f.start < k.end and k.start < f.end for k in keys))
     out: list[Finding] = []
     for f in sorted(found, key=lambda f: (f.start, -f.end)):
         if not out or f.start >= out[-1].end:
             out.append(f)
-    return out
+        elif f.end > out[-1].end and "private key" not in (f.kind, out[-1].kind):
+            out[-1] = out[-1]._replace(end=f.end)
+    return out, values
+
+
+def findings(text: str | None) -> list[Finding]:
+    """The credentials of a text in order, none inside another."""
+    return _read(text)[0]
 
 
 def redacted(text: str | None) -> str | None:
-    """The text with every finding masked; of a private key its lines, so that header, end and line breaks stay."""
+    """The text with every finding masked; one of several lines line by line, so that line breaks and a private key's header and end stay."""
     if not text:
         return text
     parts, at = [], 0
@@ -286,7 +356,7 @@ def redacted(text: str | None) -> str | None:
             end = m.start() if (m := _PEM_END.search(secret)) else len(secret)
             parts.append(secret[:head] + _BODY_PART.sub(lambda x: x[0] if x[0][0] == "\\" else MASK, secret[head:end]) + secret[end:])
         else:
-            parts.append(MASK)
+            parts.append(_LINE_PART.sub(MASK, secret) if re.search(r"[\r\n]", secret) else MASK)
         at = f.end
     return "".join([*parts, text[at:]])
 
@@ -294,8 +364,11 @@ def redacted(text: str | None) -> str | None:
 _YAML_KEY = re.compile(r"^([ ]*(?:- +)*)[\"']?([\w.\-]+)[\"']?[ \t]*:(?:\s|$)")
 
 
-def key_path(text: str, place: int) -> str:
-    """The YAML keys above and on the line of `place`, joined by dots."""
+def key_path(text: str, place: int, values: list[Scalar]) -> str:
+    """The YAML keys of the value that holds `place`, joined by dots; outside of values the keys above and on its line."""
+    i = bisect_right(values, place, key=lambda s: s.start) - 1
+    if i >= 0 and place < values[i].end:
+        return ".".join(values[i].path)
     keys, depth = [], 1 << 30
     stop = text.find("\n", place)
     for line in reversed(text[: stop if stop >= 0 else len(text)].split("\n")):
@@ -318,9 +391,10 @@ def credentials(text: Column) -> Column:
     def found(texts: pd.Series) -> pd.Series:
         def rows(t: str | None) -> list[dict]:
             out = []
-            for f in findings(t):
+            found, values = _read(t)
+            for f in found:
                 first = len(t[: f.start].encode())
-                out.append({"line_no": t.count("\n", 0, f.start) + 1, "kind": f.kind, "key_path": key_path(t, f.start), "first_byte": first, "end_byte": first + len(t[f.start : f.end].encode())})
+                out.append({"line_no": t.count("\n", 0, f.start) + 1, "kind": f.kind, "key_path": key_path(t, f.start, values), "first_byte": first, "end_byte": first + len(t[f.start : f.end].encode())})
             return out
 
         return texts.map(rows)

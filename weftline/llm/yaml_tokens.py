@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 #: Characters that may not stand anywhere in a stream, and those that only quotes may hold.
 FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff]")
@@ -29,11 +30,12 @@ _HANDLE = re.compile(r"[ \t]+(!(?:[0-9A-Za-z-]*!)?)[ \t]+(?:!|[^ \t,\[\]{}!])[^
 LONGEST_KEY = 1024
 
 
-def tokens(text: str) -> tuple[list[str], list[int]]:
+def tokens(text: str, ends: dict[int, int] | None = None) -> tuple[list[str], list[int]]:
     """The kinds and places of the tokens, in the grammar of yaml_check.
 
     Line ends must be line feeds. Where the text breaks a rule that tokens cannot show, a token "!"
-    stands there and the list ends; "!eof" where a quoted text is not closed.
+    stands there and the list ends; "!eof" where a quoted text is not closed. ends, if given, gets
+    the end of each token "text" by its place.
     """
     kinds: list[str] = []
     at: list[int] = []
@@ -293,6 +295,8 @@ def tokens(text: str) -> tuple[list[str], list[int]]:
                 line += 1
             start = pos
             new_line = fresh = True
+            if ends is not None:
+                ends[at[-1]] = pos
             continue
         if c == "'" or c == '"':
             m = (_SINGLE if c == "'" else _DOUBLE).match(text, pos)
@@ -311,6 +315,8 @@ def tokens(text: str) -> tuple[list[str], list[int]]:
                     if len(e[0]) == 1:
                         return bad(pos + e.start())
             quotes.append((pos, m.end()))
+            if ends is not None:
+                ends[pos] = m.end()
             fresh = False
             pos = adjacent = m.end()
             continue
@@ -323,6 +329,7 @@ def tokens(text: str) -> tuple[list[str], list[int]]:
         possible(pos)
         add("text", pos)
         fresh = False
+        place = pos
         plain = _PLAIN_FLOW if flow else _PLAIN
         pos = plain.match(text, pos).end()
         need = indents[-1] + 1
@@ -345,6 +352,8 @@ def tokens(text: str) -> tuple[list[str], list[int]]:
             if not m:
                 break
             pos, line, start = m.end(), line + lines, first
+        if ends is not None:
+            ends[place] = pos
     if QUOTED_ONLY.search(text, 1):
         for m in QUOTED_ONLY.finditer(text, 1):
             p = m.start()
@@ -352,3 +361,78 @@ def tokens(text: str) -> tuple[list[str], list[int]]:
                 place = next((i for i, x in enumerate(at) if x > p), len(at))
                 return kinds[:place] + ["!"], at[:place] + [p]
     return kinds, at
+
+
+class Scalar(NamedTuple):
+    """text[start:end] is a value: what stands between its quotes, or from the first to the last sign of a block."""
+
+    start: int
+    end: int
+    style: str  #: | or > of a block, a quote, or empty
+    path: tuple[str, ...]  #: the keys above it, the nearest last
+    item: bool  #: an item of a sequence below the nearest key
+    name: str | None  #: the value of `name` or `key` in the same mapping, of a scalar under `value`
+
+
+def _content(text: str, place: int, end: int) -> tuple[int, int, str]:
+    style = text[place]
+    if style in "'\"":
+        return place + 1, end - 1, style
+    if style not in "|>":
+        return place, end, ""
+    first = text.find("\n", place, end)
+    body = text[first + 1 : end] if first >= 0 else ""
+    start = first + 1 + len(body) - len(body.lstrip())
+    return (start, first + 1 + len(body.rstrip()), style) if body.strip() else (end, end, style)
+
+
+def scalars(text: str) -> list[Scalar]:
+    """The values of a YAML stream in order, whole and with their keys; up to the first failure of its tokens."""
+    removed: list[int] = []
+    if "\r" in text:
+        removed = [m.start() - i for i, m in enumerate(re.finditer(r"\r(?=\n)", text))]
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    ends: dict[int, int] = {}
+    found: list[tuple[int, int, str, tuple[str, ...], bool, list]] = []
+    # of each open collection: whether a mapping, the key, whether the key comes next, items under the key, name and value of siblings
+    open_: list[list] = []
+    for kind, place in zip(*tokens(text, ends)):
+        top = open_[-1] if open_ else None
+        if kind in ("map", "{"):
+            open_.append([True, None, True, False, {}])
+        elif kind in ("seq", "["):
+            open_.append([False, None, False, False, {}])
+        elif kind in ("end", "]", "}"):
+            if open_:
+                open_.pop()
+        elif kind == "---" or kind == "...":
+            open_.clear()
+        elif kind == "?" and top:
+            top[1], top[2], top[3] = None, True, False
+        elif kind == ":" and top:
+            top[2] = False
+        elif kind == "," and top:
+            top[1], top[2] = None, top[0]
+        elif kind == "-" and top and top[0]:
+            top[3] = True
+        elif kind == "text" and place in ends:
+            start, end, style = _content(text, place, ends[place])
+            if top and top[2]:
+                top[1] = text[start:end]
+                continue
+            if top and not top[3] and top[1] in ("name", "key"):
+                top[4].setdefault("name", text[start:end])
+            siblings = top[4] if top and not top[3] and top[1] == "value" else {}
+            item = bool(top) and (top[3] or not top[0] and top[1] is None)
+            found.append((start, end, style, tuple(f[1] for f in open_ if f[1] is not None), item, siblings))
+    if not removed:
+        return [Scalar(*x[:5], x[5].get("name")) for x in found]
+    out, before = [], 0
+    for start, end, style, path, item, siblings in found:
+        while before < len(removed) and removed[before] < start:
+            before += 1
+        to = before
+        while to < len(removed) and removed[to] < end:
+            to += 1
+        out.append(Scalar(start + before, end + to, style, path, item, siblings.get("name")))
+    return out
