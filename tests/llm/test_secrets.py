@@ -86,3 +86,15 @@ def test_whole_value(spark, text, lines, path):
 @pytest.mark.parametrize("text", ["secrets: |\n  NPM_TOKEN\n  docker\n", "secrets: [DEPLOY_KEY_1, DEPLOY_KEY_2]\n", "pass: |\n  if true\n  then x=$(y)\n  fi 1\n", "KEYSTORE: app/release-key1.jks\n", "token:\n  required: true\n  description: Some Text 12\n", "secrets:\n  - a: [x, 'y']\n"])
 def test_no_value(text):
     assert findings(text) == []
+
+
+ALONE = [  # a line for each pattern, with none of the words that other patterns need
+    ("http -a ci:aB3xyz9q GET api.example.org/x", "aB3xyz9q"), ("https -a ci:aB3xyz9q GET api.example.org/x", "aB3xyz9q"), ("curl -u ci:aB3xyz9q h", "aB3xyz9q"), ("wget --user ci:aB3xyz9q h", "aB3xyz9q"), (f"HEADER='Bearer {R}'", R), (f"        Bearer {R}", R), ("x: Basic dXNlcjp3b3JkMQ==", "dXNlcjp3b3JkMQ=="),
+    (f"H: token {R}", R), (f"H: ApiKey {R}", R), ("mysql -h h -paB3xyz9q", "aB3xyz9q"), ("mariadb -h h -paB3xyz9q", "aB3xyz9q"), ("amqp://ops:aB3xyz9q@h/x", "aB3xyz9q"), (f"p_assword: {R}", R), (f"api_k-ey={R}", R), ("x: eyJhbGciOiJ9.eyJzdWIi.c2lnbmF0dXJl", "eyJhbGciOiJ9.eyJzdWIi.c2lnbmF0dXJl"),
+]
+
+
+@pytest.mark.parametrize("text, secret", ALONE)
+def test_screens(text, secret):
+    assert [text[f.start : f.end] for f in findings(text)] == [secret]
+    assert redacted(text) == text.replace(secret, MASK)

@@ -85,9 +85,10 @@ _APART = re.compile(r"\bvalue[\"']?[ \t]*:|\?[ \t\r\n]|[\r\n][ \t]*:")
 _STORE = re.compile(r"(?i)key[-_]?store(?:[-_]?(?:base64|b64))?$")
 _STORED = re.compile(r"[A-Za-z0-9+/]{64,}={0,2}")
 _CONSTANT = re.compile(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+")
-#: A line without any of these, in lower case, holds no finding but a token form; a line without any
-#: of the others holds no token form. Fixed values.
-_HINTS = ("pass", "pwd", "pw", "phrase", "contrasena", "secret", "token", "key", "cred", "auth", "bearer", "basic", "login", "pat", "jwt", "://", "hook", "curl", "wget", "mysql", "mariadb")
+#: A line without any of these, in lower case and without _ and -, holds no finding but a token form; a
+#: line without any of the others holds no token form. Every pattern requires one. Fixed values.
+_HINTS = ("pass", "pwd", "pw", "phrase", "contrasena", "secret", "token", "key", "cred", "auth", "bearer", "basic", "login", "pat", "jwt", "://", "hook", "curl", "wget", "http", "mysql", "mariadb")
+_SCHEMES = ("bearer", "basic", "token", "apikey")
 _FORM_HINTS = (
     "AKIA", "ASIA", "AROA", "AIDA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "gldt-", "glrt-", "glptt-", "glsoat-", "xox", "xapp-", "k_live_", "k_test_", "k_prod_", "whsec_", "npm_", "pypi-", "AIza", "ya29.",
     "eyJ", "SG.", "hf_", "dckr_pat_", "_v1_", "AGE-SECRET-KEY-", "shp", "sq0", "hvs.", "hvb.", "lin_api_", "rubygems_", "dapi",
@@ -176,7 +177,7 @@ def _in_line(line: str, low: str) -> Iterator[Finding]:
     for m in _QUERY.finditer(line) if url else ():
         if literal(m[1]) and _random(m[1], 12) and "://" in line[: m.start()]:
             yield Finding(*m.span(1), "url")
-    if "auth" in low or "-token" in low:
+    if any(w in low for w in _SCHEMES):
         for m in _SCHEME.finditer(line):
             value = m[1]
             if literal(value) and (_random(value, 12) or _login(value)):
@@ -280,11 +281,16 @@ def _in_scalar(text: str, s: Scalar) -> Iterator[Finding]:
                 yield Finding(s.start + m.start(), s.start + m.end(), "key name")
 
 
+def _squeezed(low: str) -> str:
+    """Without the signs that sensitive() passes over inside a name."""
+    return low.replace("_", "").replace("-", "")
+
+
 def _read(text: str | None) -> tuple[list[Finding], list[Scalar]]:
     """The credentials of a text in order, none inside another; its YAML values, where there may be any."""
     if not text:
         return [], []
-    low = text.lower()
+    low = _squeezed(text.lower())
     hints, forms = [w for w in _HINTS if w in low], [w for w in _FORM_HINTS if w in text]
     if not hints and not forms:
         return [], []
@@ -304,7 +310,8 @@ def _read(text: str | None) -> tuple[list[Finding], list[Scalar]]:
             found.extend(Finding(start + m.start(), start + m.end(), "token form") for m in _FORM.finditer(line) if literal(m[0]) and len(set(m[0])) > 7)
         if hints:
             low = line.lower()
-            if any(w in low for w in hints):
+            squeezed = _squeezed(low)
+            if any(w in squeezed for w in hints):
                 found.extend(Finding(start + f.start, start + f.end, f.kind) for f in _in_line(line.rstrip("\r"), low))
                 keyed = keyed or _keyed(line)
         start += len(line) + 1
