@@ -230,3 +230,16 @@ def test_project_choice(spark):
     rows = spark.createDataFrame([("p", "p/z.yml"), ("p", "p/build.yml"), ("p", "p/ci.yml"), ("q", "q/b.yml"), ("q", "q/a.yml")], "project string, path string")
     out = {r.project: (r.path, r.workflows_in_project) for r in workflow.workflow_order(rows, "project", "path", ["ci.yml", "build.yml"]).collect()}
     assert out == {"p": ("p/ci.yml", 3), "q": ("q/a.yml", 2)}
+
+
+def test_long_chains(spark):
+    n = 1500
+    edges = [("chain", i, i + 1) for i in range(n)] + [("ring", i, (i + 1) % n) for i in range(n)] + [("tail", i, i + 1) for i in range(n)] + [("tail", n, n - 1), ("self", 1, 1)]
+    edges += [("fork", 0, 1), ("fork", 1, 2), ("fork", 2, 9), ("fork", 0, 9), ("fork", 9, 10), ("fork", 9, 11), ("fork", 11, 12), ("both", 1, 2), ("both", 5, 6), ("both", 6, 5)]
+    found = dag.longest_chains(spark.createDataFrame(edges, "g string, x int, y int"), "g", "x", "y").collect()
+    out = {r.g: (r.depth, r.cyclic) for r in found}
+    assert out == {"chain": (n + 1, False), "ring": (None, True), "tail": (None, True), "self": (None, True), "fork": (6, False), "both": (None, True)}
+    ladder = [("l", i, j) for i in range(6) for j in (i + 1, i + 2)]
+    ladder = spark.createDataFrame(ladder, "g string, x int, y int")
+    assert [tuple(r) for r in dag.longest_chains(ladder, "g", "x", "y").collect()] == [("l", 7, False)]
+    assert [tuple(r) for r in dag.longest_chains(ladder, "g", "x", "y", 2).collect()] == [("l", None, None)]

@@ -8,25 +8,56 @@ from pyspark.sql import functions as F
 from weftline.session import cut
 
 
-def longest_chains(edges: DataFrame, graph: str, source: str, target: str, most: int = 1000) -> DataFrame:
+def _contracted(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, a, b, w): the edges of g, a, b with every stretch of nodes that have one edge in and one out as one edge of w steps; g of the graphs with a ring of such nodes.
+
+    Each of these nodes points ahead, and all pointers double their reach until they end at another
+    kind of node; one that reaches farther than its graph has such nodes runs in a ring.
+    """
+    once = lambda c: links.groupBy("g", F.col(c).alias("n")).count().where("count = 1").select("g", "n")
+    inner = cut(once("a").join(once("b"), ["g", "n"]))
+    inside = inner.withColumn("inside", F.lit(True))
+    number = inner.groupBy("g").agg(F.count("*").alias("k"))
+    ahead = links.withColumnRenamed("a", "n").join(inner, ["g", "n"]).join(inside.withColumnRenamed("n", "b"), ["g", "b"], "left").join(number, "g")
+    ahead = cut(ahead.select("g", "n", F.col("b").alias("to"), F.lit(1).cast("bigint").alias("w"), F.col("inside").isNull().alias("over"), "k"))
+    while not ahead.where("not over and w <= k").isEmpty():
+        other = ahead.select("g", F.col("n").alias("to"), F.col("to").alias("to2"), F.col("w").alias("w2"), F.col("over").alias("over2"))
+        farther = ahead.where("not over").join(other, ["g", "to"]).selectExpr("g", "n", "to2 as to", "w + w2 as w", "over2 as over", "k")
+        ahead = cut(ahead.where("over").unionByName(farther))
+    starts = links.join(inner.withColumnRenamed("n", "a"), ["g", "a"], "left_anti")
+    edges = starts.join(ahead.select("g", F.col("n").alias("b"), "to", "w"), ["g", "b"], "left")
+    edges = edges.groupBy("g", "a", F.coalesce("to", "b").alias("b")).agg(F.max(F.coalesce("w", F.lit(0)) + 1).alias("w"))
+    return cut(edges), ahead.where("not over").select("g")
+
+
+def longest_chains(edges: DataFrame, graph: str, source: str, target: str, most: int | None = None) -> DataFrame:
     """graph, depth, cyclic: the number of nodes on the longest path of each graph that has an edge.
 
-    Levels are walked for all graphs together, each node once per level, so a step costs a join on
-    the edges that are left; a graph that still walks after `most` levels has a cycle (a longer path
-    needs a larger `most`), its depth is null. Null ends and repeated edges do not count.
+    Stretches without branches become one edge each. Then levels are taken off all graphs together:
+    a node is done once all edges to it are, so what is left when no node is ready has a cycle, and
+    its depth is null. There are as many levels as branching nodes on a path. `most`, if given, ends
+    this earlier; depth and cyclic of the graphs that are left are then null. Null ends and repeated
+    edges do not count.
     """
     links = cut(edges.select(F.col(graph).alias("g"), F.col(source).alias("a"), F.col(target).alias("b")).dropna().distinct())
-    front = links.select("g", F.col("a").alias("n")).distinct().join(links.select("g", F.col("b").alias("n")).distinct(), ["g", "n"], "left_anti")
-    all_graphs = links.select("g").distinct()
-    reached, level = all_graphs.select("g", F.lit(0).alias("depth")), 1
-    front = cut(front)
-    while level <= most and not front.isEmpty():
-        reached = reached.unionByName(front.select("g").distinct().withColumn("depth", F.lit(level)))
-        front = cut(front.join(links, (front.g == links.g) & (front.n == links.a)).select(links.g, links.b.alias("n")).distinct())
-        level += 1
+    left, rings = _contracted(links)
+    sources = left.select("g", F.col("a").alias("n")).distinct().join(left.select("g", F.col("b").alias("n")).distinct(), ["g", "n"], "left_anti")
+    # reached nodes with their depth so far; those that no edge leads to any more are ready
+    nodes = cut(sources.select("g", "n", F.lit(1).cast("bigint").alias("depth"), F.lit(True).alias("ready")))
+    reached, level = links.select("g").distinct().select("g", F.lit(0).cast("bigint").alias("depth")), 1
+    while (most is None or level <= most) and not nodes.where("ready").isEmpty():
+        front, waiting = nodes.where("ready").select("g", "n", "depth"), nodes.where("not ready").select("g", "n", "depth")
+        reached = reached.unionByName(front.select("g", "depth"))
         if level % 16 == 0:
             reached = cut(reached.groupBy("g").agg(F.max("depth").alias("depth")))
-    left = front.select("g").distinct().withColumn("cyclic", F.lit(True))
-    depth = reached.groupBy("g").agg(F.max("depth").alias("depth")).join(left, "g", "left")
-    cyclic = F.coalesce("cyclic", F.lit(False)) | (F.col("depth") == 0)
-    return depth.select(F.col("g").alias(graph), F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"))
+        level += 1
+        ahead = left.join(front.withColumnRenamed("n", "a"), ["g", "a"]).select("g", F.col("b").alias("n"), (F.col("depth") + F.col("w")).alias("depth"))
+        left = cut(left.join(front.select("g", F.col("n").alias("a")), ["g", "a"], "left_anti"))
+        known = waiting.unionByName(ahead).groupBy("g", "n").agg(F.max("depth").alias("depth"))
+        awaited = left.select("g", F.col("b").alias("n")).distinct().withColumn("awaited", F.lit(True))
+        nodes = cut(known.join(awaited, ["g", "n"], "left").select("g", "n", "depth", F.col("awaited").isNull().alias("ready")))
+    unsure = nodes.where("ready").select("g").distinct().withColumn("unsure", F.lit(True))
+    cycles = left.select("g").unionByName(rings).distinct().withColumn("cyclic", F.lit(True))
+    depth = reached.groupBy("g").agg(F.max("depth").alias("depth")).join(cycles, "g", "left").join(unsure, "g", "left")
+    cyclic = F.when(F.col("unsure").isNull(), F.coalesce("cyclic", F.lit(False)))
+    return depth.select(F.col("g").alias(graph), F.when(~cyclic, F.col("depth")).cast("int").alias("depth"), cyclic.alias("cyclic"))
