@@ -243,3 +243,12 @@ def test_long_chains(spark):
     ladder = spark.createDataFrame(ladder, "g string, x int, y int")
     assert [tuple(r) for r in dag.longest_chains(ladder, "g", "x", "y").collect()] == [("l", 7, False)]
     assert [tuple(r) for r in dag.longest_chains(ladder, "g", "x", "y", 2).collect()] == [("l", None, None)]
+
+
+def test_samples_of_repeated_keys(spark):
+    kinds = "id int, g string, s string"
+    hot = spark.createDataFrame([(1 if i % 3 == 0 else i % 4, "g", "s") for i in range(3000)], kinds)
+    assert sampling.stratified_sample(hot, "id", "g", "s", 100).count() == 100
+    nulls = spark.createDataFrame([(None if i < 80 else i, "g", "s") for i in range(100)], kinds)
+    found = [r.id for r in sampling.stratified_sample(nulls, "id", "g", "s", 60).collect()]
+    assert len(found) == 60 and set(range(80, 100)) <= set(found)

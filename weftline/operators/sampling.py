@@ -43,17 +43,22 @@ def stratified_sample(rows: DataFrame, key: str, group: str, stratum: str, size:
     """The rows of each stratum that come first in the order of lot(), as many as allocate() wants.
 
     Rows whose lot lies far behind the wanted share are left out before any ordering, so only about
-    as many rows as are wanted are shuffled and ordered, also in a stratum of very many rows.
+    as many rows as are wanted are shuffled and ordered, also in a stratum of very many rows. Lots
+    belong to keys: where repeated keys leave fewer rows than wanted, the whole stratum is ordered.
+    Rows without a key come last.
     """
     plan = allocate(rows, group, stratum, size)
     same = [F.col(group).eqNullSafe(F.col("_g")), F.col(stratum).eqNullSafe(F.col("_s"))]
     planned = plan.where("wanted > 0").select(F.col(group).alias("_g"), F.col(stratum).alias("_s"), "available", "wanted")
-    drawn = rows.withColumn("_lot", lot(seed, F.col(key))).join(F.broadcast(planned), same)  # a row per stratum
-    # the part of lots below a bound that holds the wanted ones but for odds of far less than 1e-9
+    # behind every md5
+    drawn = rows.withColumn("_lot", F.coalesce(lot(seed, F.col(key)), F.lit("g"))).join(F.broadcast(planned), same)  # a row per stratum
+    # for distinct keys, the part of lots below a bound holds the wanted ones but for odds of far less than 1e-9
     bound = (F.col("wanted") + 8 * F.sqrt(F.col("wanted")) + 64) / F.col("available")
-    near = F.conv(F.substring("_lot", 1, 8), 16, 10).cast("double") / 4294967296.0 <= bound
+    near = F.coalesce(F.conv(F.when(F.col("_lot") < "g", F.substring("_lot", 1, 8)), 16, 10).cast("double") / 4294967296.0, F.lit(1.0)) <= bound
+    enough = drawn.where(near).groupBy("_g", "_s").agg(F.count("*").alias("_near"), F.first("wanted").alias("_wanted")).where("_near >= _wanted").select(F.col("_g").alias("_eg"), F.col("_s").alias("_es"), F.lit(True).alias("_enough"))
+    drawn = drawn.join(F.broadcast(enough), F.col("_g").eqNullSafe(F.col("_eg")) & F.col("_s").eqNullSafe(F.col("_es")), "left")
     place = Window.partitionBy("_g", "_s").orderBy("_lot", key)
-    chosen = drawn.where(near).withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= F.col("wanted"))
+    chosen = drawn.where(near | F.col("_enough").isNull()).withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= F.col("wanted"))
     return chosen.select(*rows.columns)
 
 
