@@ -52,3 +52,8 @@ def test_query(spark, sql, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_lines_of_all_documents(spark, sql):
+    lines = sum(r.lines for r in entry.queries()["classify_lines"](spark, FOLDER).collect())
+    assert lines == sql.execute("SELECT sum(len(string_split(text, chr(10)))) FROM documents").fetchone()[0]

@@ -54,8 +54,8 @@ def classified_steps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def classify_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """label, lines: our catalogue of names over the lines of the run logs."""
-    lines = spread(table(spark, folder, "documents").where("source = 'run_log'").select("text")).select(F.explode(F.split("text", "\n")).alias("line")).groupBy("line").agg(F.count("*").alias("w"))
+    """label, lines: our catalogue of names over the lines of all documents."""
+    lines = spread(table(spark, folder, "documents").select("text")).select(F.explode(F.split("text", "\n")).alias("line")).groupBy("line").agg(F.count("*").alias("w"))
     return lines.groupBy(classify.classify_text(F.col("line")).alias("label")).agg(F.sum("w").alias("lines"))
 
 
