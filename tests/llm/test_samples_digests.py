@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import sampling
-from weftline.llm.digest import LEVELS, _added, compress, digests, keys, merged, numbers, once, percentiles
+from weftline.llm.digest import LEVELS, METRICS, _added, compress, digests, keys, merged, numbers, once, p5_found, percentiles
 from weftline.llm.sampling import proportional_sample, systematic
 from weftline.session import ship
 
@@ -93,3 +93,13 @@ def test_repeated_rows_count_once(spark):
     frame = spark.createDataFrame(rows, "workflow_id bigint, snapshot_day string, language string, a int, b double")
     out = sorted((r.language or "", r.a, r.b) for r in once(frame, ["a", "b"]).collect())
     assert out == [("", None, None), ("C++", 5.0, None), ("C++", 5.0, None), ("Java", 3.0, 1.0)]
+
+
+def test_figure_beside_values(spark, tiny, tmp_path):
+    assert keys(np.array([0.3])) == keys(np.array([0.1 + 0.2]))
+    metric = METRICS[0]
+    rows = spark.read.parquet(f"{tiny}/workflow_metrics.parquet")
+    rows.withColumn(metric, F.lit(0.1 + 0.2)).write.parquet(f"{tmp_path}/workflow_metrics.parquet")
+    spark.createDataFrame([("Overall", metric, 0.3)], "language string, metric string, p90 double").write.parquet(f"{tmp_path}/comprehensive_descriptive_statistics.parquet")
+    spark.createDataFrame([(metric, 0.1 + 0.2)], "metric string, p70_cutpoint double").write.parquet(f"{tmp_path}/percentile_thresholds.parquet")
+    assert [tuple(r) for r in p5_found(spark, str(tmp_path)).collect()] == [("p90", "Overall", metric)]

@@ -219,8 +219,8 @@ def _places(values: pd.Series) -> pd.Series:
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """field_name, language, metric of the published figures that the values contradict.
 
-    The digests bound how many values lie below, and at or below, a published figure. Where these
-    bounds do not settle the matter, the figure (one of about a hundred) is counted exactly.
+    The digests bound how many values lie below, and at or below, a published figure; values that
+    share its place may lie on either side. Where these bounds do not settle the matter, the figure (one of about a hundred) is counted exactly.
     """
     p90 = table(spark, folder, "comprehensive_descriptive_statistics").select(
         F.lit("p90").alias("field_name"), "language", "metric", F.col("p90").alias("figure"), F.lit(93).alias("above"), F.lit(87).alias("below")
@@ -237,7 +237,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("field_name", "language", "metric", "scope", "figure", "above", "below")
         .agg(
             F.sum("n").alias("n"),
-            *(F.sum(F.expr(f"if({c}, n, 0)")).alias(name) for name, c in (("under", "hi < place"), ("maybe_under", "lo < place"), ("upto", "hi <= place"), ("maybe_upto", "lo <= place"))),
+            *(F.sum(F.expr(f"if({c}, n, 0)")).alias(name) for name, c in (("under", "hi < place"), ("maybe_under", "lo <= place"), ("upto", "hi < place"), ("maybe_upto", "lo <= place"))),
         )
     )
     case = "100 * under > above * n or 100 * maybe_upto < below * n"
