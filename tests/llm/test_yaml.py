@@ -56,3 +56,10 @@ def test_column(spark):
     out = rows.select("id", yaml_failure(F.col("text")).alias("f")).collect()
     assert sorted(r.id for r in out if r.f.line is not None) == [2, 2]
     assert rows.limit(0).select(yaml_failure(F.col("text"))).collect() == []
+
+
+@pytest.mark.parametrize("first", ["\x7f", "\x80", "\x9f", "\ufffe", "\uffff"])
+def test_first_character(first):
+    assert failure(first + "a: 1\n") == (1, "token")
+    assert failure("\ufeff" + first + "a: 1\n") is not None
+    assert failure("\x85a: 1\n") is None and failure("\ufeffa: 1\n") is None

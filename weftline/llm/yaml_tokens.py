@@ -354,8 +354,9 @@ def tokens(text: str, ends: dict[int, int] | None = None) -> tuple[list[str], li
             pos, line, start = m.end(), line + lines, first
         if ends is not None:
             ends[place] = pos
-    if QUOTED_ONLY.search(text, 1):
-        for m in QUOTED_ONLY.finditer(text, 1):
+    first = 1 if text.startswith("\ufeff") else 0
+    if QUOTED_ONLY.search(text, first):
+        for m in QUOTED_ONLY.finditer(text, first):
             p = m.start()
             if not any(a < p < b for a, b in quotes) and not (m[0] == "\ufeff" and text[p - 1] == "\n"):
                 place = next((i for i, x in enumerate(at) if x > p), len(at))
