@@ -25,12 +25,23 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Rows of a table that may be broadcast; a larger one is left to a shuffled join.
+SMALL = 200_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; only where that is unset, a local one."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of this machine serves a session whose executors run in the driver;
+    on a cluster, whose executors would each write to a disk of their own, ValueError is raised.
+    """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     own = os.path.join(tempfile.gettempdir(), f"weftline-shared-{os.getuid()}")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
@@ -59,3 +70,13 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
+def small(side: DataFrame, most: int = SMALL) -> DataFrame:
+    """`side`, to be broadcast if it has at most `most` rows; else as it is, for a shuffled join.
+
+    Counts `side` (up to one row beyond `most`), so it should be a written or otherwise cheap table.
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
