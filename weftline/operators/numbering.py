@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from weftline.session import cut, small
 
-#: Rows of one range of the order.
-RANGE = 200_000
-
 
 def numbered(rows: DataFrame, keys: list[str], order: list[Column], out: str = "k") -> DataFrame:
     """`rows` with `out`: the place (from 1) of each row among those of equal `keys`, in `order`.
