@@ -16,7 +16,7 @@ from weftline.sources.tables import table
 #: What stands between two labels. Fixed values. Bracketed decorations may hold the same signs, so
 #: they are matched first and kept.
 SEPARATORS = r"â\x86\x92|â†’|[→⟶➔➜➝⇒⟹»›]|-+>|=+>|>|;"
-_SPLIT = re.compile(rf"(\([^()→]{{0,60}}\)|\[[^\[\]→]{{0,60}}\])|(?:{SEPARATORS})")
+_SPLIT = re.compile(rf"(\([^()→]*\)|\[[^\[\]→]*\])|(?:{SEPARATORS})")
 _BRACKETED = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
 _NOISE = re.compile(r"^\W*step\s*\d+\s*:|\bv\d+\b|,\s*attempt\s*\d+\s*$")
 _NO_LETTER = re.compile(r"[^a-z]")
@@ -71,15 +71,32 @@ def distance(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
+#: Parts of a key; two edits, each of which can touch two neighbouring parts, leave one of them whole.
+_PARTS = 5
+
+
+def _cuts(size: int) -> list[tuple[int, int]]:
+    return [(size * i // _PARTS, size * (i + 1) // _PARTS) for i in range(_PARTS)]
+
+
 class Resolver:
-    """Maps spellings to display labels: exact key, then a single slip of one key, then the one nearest key."""
+    """Maps spellings to display labels: exact key, then a single slip of one key, then the one nearest key.
+
+    Nearest: within two edits, of a key of fewer than six letters within one. Only keys that share a
+    part with the spelling, at about the same place, are measured, so the cost of an unknown spelling
+    hardly grows with the catalogue.
+    """
 
     def __init__(self, labels: Iterable[str]):
         self.exact = {squeeze(x): x for x in labels if x}
         self.slip: dict[str, str | None] = {}
+        self.parts: dict[tuple[int, int, str], list[str]] = {}
         for key, shown in self.exact.items():
             for s in slips(key):
                 self.slip[s] = None if self.slip.get(s, shown) != shown else shown
+            for a, b in _cuts(len(key)):
+                self.parts.setdefault((len(key), a, key[a:b]), []).append(key)
+        self.sizes = {len(key) for key in self.exact}
         self.seen: dict[str, str] = {}
 
     def __call__(self, label: str) -> str:
@@ -90,12 +107,23 @@ class Resolver:
             known = self.seen[label] = self._find(label)
         return known
 
+    def _near(self, key: str) -> set[str]:
+        """The keys that may lie within two edits."""
+        found: set[str] = set()
+        for size in range(len(key) - 2, len(key) + 3):
+            if size in self.sizes:
+                for a, b in _cuts(size):
+                    for at in range(max(0, a - 2), min(a + 2, len(key) - (b - a)) + 1):
+                        found.update(self.parts.get((size, a, key[at : at + b - a]), ()))
+        return found
+
     def _find(self, label: str) -> str:
         key = squeeze(label)
         if found := self.exact.get(key) or self.slip.get(key):
             return found
-        near = sorted((d, shown) for k, shown in self.exact.items() if (d := distance(key, k, 2)) <= 2)
-        if near and len(key) >= 6 and (len(near) == 1 or near[0][0] < near[1][0]):
+        most = 2 if len(key) >= 6 else 1
+        near = sorted((d, self.exact[k]) for k in self._near(key) if (d := distance(key, k, most)) <= most) if len(key) > 2 else []
+        if near and (len(near) == 1 or near[0][0] < near[1][0]):
             return near[0][1]
         return unicodedata.normalize("NFKC", label).strip()
 

@@ -8,21 +8,8 @@ from pyspark.sql import functions as F
 from weftline.llm.labels import workflows
 from weftline.sources.tables import table
 
-
-def runs_of(labels: str, seconds: str) -> Column:
-    """array<struct<label, first_pos, last_pos, events, seconds>> of two array columns of one row.
-
-    Only positions whose label differs from the one before are kept; each run ends before the next
-    start, which gives its number of events. seconds sums the run's non-null values and is null if
-    there are none, also where the array of seconds is null or too short. Null labels equal each
-    other. A null or empty array gives no runs. Stays within the row: no shuffle, no Python.
-    """
-    starts = f"filter(sequence(1, size({labels})), i -> i = 1 or not ({labels}[i - 1] <=> {labels}[i - 2]))"
-    ended = "transform(starts, (s, k) -> struct(s as s, coalesce(get(starts, k + 1), total + 1) - 1 as e))"
-    spans = f"aggregate(array({starts}), cast(array() as array<struct<s: int, e: int>>), (_, starts) -> {ended.replace('total', f'size({labels})')})"
-    total = f"aggregate(slice({seconds}, r.s, r.e - r.s + 1), cast(null as bigint), (t, x) -> case when x is null then t else coalesce(t, 0L) + x end)"
-    one = f"struct({labels}[r.s - 1] as label, r.s as first_pos, r.e as last_pos, r.e - r.s + 1 as events, {total} as seconds)"
-    return F.expr(f"case when size({labels}) > 0 then transform({spans}, r -> {one}) end")
+#: Labels of one sequence that stay together in a block.
+BLOCK = 4096
 
 
 def collapse_events(events: DataFrame, key: str, order: list[str], at: str, label: str, value: str, block: Column) -> DataFrame:
@@ -33,8 +20,8 @@ def collapse_events(events: DataFrame, key: str, order: list[str], at: str, labe
     cuts a sequence into stretches that never overlap in `order` and rise with it (say, the hour of
     `at`), so that a sequence holding a third of all events is spread over many tasks. Runs are
     found per block; only the first and last of each block can continue elsewhere, and only these
-    meet again by key. Null labels equal each other; null values do not count; rows without a key
-    are left out.
+    meet again by key. Null labels equal each other; null values do not count, and a total of none is
+    null; rows without a key are left out.
     """
     rows = events.where(F.col(key).isNotNull()).select(
         F.col(key).alias("key"), block.alias("block"), F.struct(*order).alias("place"), F.col(at).alias("at"), F.col(label).alias("label"), F.col(value).alias("value")
@@ -48,18 +35,21 @@ def collapse_events(events: DataFrame, key: str, order: list[str], at: str, labe
         F.row_number().over(by_place).alias("pos"),
         F.lag(F.struct("label", "at")).over(by_place).alias("before"),
         (F.coalesce(F.sum("value").over(upto), F.lit(0)) - F.coalesce("value", F.lit(0))).alias("sum_before"),
+        (F.count("value").over(upto) - F.col("value").isNotNull().cast("int")).alias("known_before"),
         F.count("*").over(whole).alias("n"),
         F.last("at").over(whole).alias("end_at"),
         F.sum("value").over(whole).alias("sum_all"),
+        F.count("value").over(whole).alias("known_all"),
     )
     starts = marked.where("before is null or not (label <=> before.label)")
-    following = F.lead(F.struct("pos", "before", "sum_before")).over(by_place)
+    following = F.lead(F.struct("pos", "before", "sum_before", "known_before")).over(by_place)
+    known = F.coalesce("next.known_before", "known_all") - F.col("known_before")
     spans = starts.withColumn("next", following).select(
         "key", "block", "place", "label",
         F.col("at").alias("first_at"),
         F.coalesce("next.before.at", "end_at").alias("last_at"),
         (F.coalesce("next.pos", F.col("n") + 1) - F.col("pos")).alias("events"),
-        (F.coalesce("next.sum_before", "sum_all") - F.col("sum_before")).alias("total"),
+        F.when(known > 0, F.coalesce("next.sum_before", "sum_all") - F.col("sum_before")).alias("total"),
         (F.col("pos") == 1).alias("opens"),
         F.col("next").isNull().alias("closes"),
     )
@@ -84,9 +74,14 @@ def collapse_events(events: DataFrame, key: str, order: list[str], at: str, labe
 
 
 def p2_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """workflow_id, label, first_pos, last_pos, events, seconds: every run, single steps included."""
-    rows = workflows(spark, folder).select("workflow_id", F.explode(runs_of("labels", "step_seconds")).alias("r"))
-    return rows.select("workflow_id", "r.*")
+    """workflow_id, label, first_pos, last_pos, events, seconds: every run, single steps included.
+
+    seconds is null where no step of the run has any.
+    """
+    steps = workflows(spark, folder).select("workflow_id", "step_seconds", F.posexplode("labels").alias("at", "label"))
+    steps = steps.select("workflow_id", (F.col("at") + 1).alias("pos"), "label", F.get("step_seconds", F.col("at")).alias("seconds"))
+    found = collapse_events(steps, "workflow_id", ["pos"], "pos", "label", "seconds", F.expr(f"(pos - 1) div {BLOCK}"))
+    return found.select("workflow_id", "label", F.col("first_at").alias("first_pos"), F.col("last_at").alias("last_pos"), F.col("events").cast("int").alias("events"), F.col("total").alias("seconds"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

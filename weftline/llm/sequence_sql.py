@@ -19,7 +19,7 @@ _STEPS = rf"""
              row_number() OVER (PARTITION BY workflow_id ORDER BY i) AS pos, label FROM spelt LEFT JOIN known USING (k) WHERE k <> '')"""
 
 ORACLES = {
-    "p1_found": f"""
+    "p1_patterns": f"""
         WITH {_STEPS},
         t AS (SELECT language, count(DISTINCT workflow_id) AS n FROM step WHERE language IS NOT NULL GROUP BY 1),
         often AS (SELECT language, label FROM step JOIN t USING (language) GROUP BY ALL HAVING count(DISTINCT workflow_id) >= greatest(5, 0.08 * any_value(n))),
@@ -28,15 +28,21 @@ ORACLES = {
         f2 AS (SELECT language, l1, l2 FROM w2 JOIN t USING (language) GROUP BY ALL HAVING count(*) >= greatest(5, 0.08 * any_value(n))),
         k2 AS (SELECT * FROM w2 SEMI JOIN f2 USING (language, l1, l2)),
         w3 AS (SELECT a.workflow_id, a.language, l1, l2, b.label AS l3, min(b.pos) AS pos FROM k2 a JOIN e b ON a.workflow_id = b.workflow_id AND a.pos < b.pos AND b.label NOT IN (l1, l2) GROUP BY ALL),
-        f3 AS (SELECT language, l1, l2, l3 FROM w3 JOIN t USING (language) GROUP BY ALL HAVING count(*) >= greatest(5, 0.08 * any_value(n))),
+        f3 AS (SELECT language, l1, l2, l3, count(*) AS c FROM w3 JOIN t USING (language) GROUP BY ALL HAVING count(*) >= greatest(5, 0.08 * any_value(n))),
         k3 AS (SELECT * FROM w3 SEMI JOIN f3 USING (language, l1, l2, l3)),
         w4 AS (SELECT DISTINCT a.workflow_id, a.language, l1, l2, l3, b.label AS l4 FROM k3 a JOIN e b ON a.workflow_id = b.workflow_id AND a.pos < b.pos AND b.label NOT IN (l1, l2, l3)),
-        f4 AS (SELECT language, l1, l2, l3, l4 FROM w4 JOIN t USING (language) GROUP BY ALL HAVING count(*) >= greatest(5, 0.08 * any_value(n)))
-        SELECT language, concat_ws(' → ', l1, l2, l3) AS pattern FROM f3 UNION ALL SELECT language, concat_ws(' → ', l1, l2, l3, l4) FROM f4""",
+        f4 AS (SELECT language, l1, l2, l3, l4, count(*) AS c FROM w4 JOIN t USING (language) GROUP BY ALL HAVING count(*) >= greatest(5, 0.08 * any_value(n))),
+        f AS (SELECT language, concat_ws(' → ', l1, l2, l3) AS pattern, c FROM f3 UNION ALL SELECT language, concat_ws(' → ', l1, l2, l3, l4), c FROM f4)
+        SELECT language, pattern, c AS workflows, round(c / n, 6) AS share FROM f JOIN t USING (language)""",
     "p2_found": f"""
         WITH {_STEPS},
         g AS (SELECT *, pos - row_number() OVER (PARTITION BY workflow_id, label ORDER BY pos) AS run FROM step)
         SELECT workflow_id, min(pos) AS first_pos, max(pos) AS last_pos FROM g GROUP BY workflow_id, label, run HAVING count(*) >= 2""",
+    "p2_runs": f"""
+        WITH {_STEPS},
+        l AS (SELECT DISTINCT ON (workflow_id) workflow_id, step_seconds FROM processed_workflows WHERE workflow_id IS NOT NULL ORDER BY workflow_id, processed_at DESC),
+        g AS (SELECT step.*, step_seconds[pos] AS s, pos - row_number() OVER (PARTITION BY workflow_id, label ORDER BY pos) AS run FROM step JOIN l USING (workflow_id))
+        SELECT workflow_id, label, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS events, sum(s)::BIGINT AS seconds FROM g GROUP BY workflow_id, label, run""",
     "p2_event_runs": """
         WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
         g AS (SELECT *, pos - row_number() OVER (PARTITION BY user_id, event_type ORDER BY pos) AS run FROM e)
@@ -51,3 +57,4 @@ ORACLES = {
         FROM c JOIN s a ON a.label = step_a JOIN s b ON b.label = step_b, n""",
 }
 ORACLES["p6_found"] = f"SELECT step_a, step_b FROM ({ORACLES['p6_pairs']}) WHERE c >= 5 AND c * 1000 >= 4 * n AND c * n >= 3 * a * b"
+ORACLES["p1_found"] = f"SELECT language, pattern FROM ({ORACLES['p1_patterns']})"
