@@ -1,10 +1,13 @@
 """Well-formed and broken YAML streams, the derivatives, and the queries' operator."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.llm import derivatives
 from weftline.llm.derivatives import Language
-from weftline.llm.yaml_check import failure, yaml_failure
+from weftline.llm.yaml_check import failure, p4_rates, yaml_failure
 
 GOOD = [
     None, "", "\n", "# only a comment", "---", "---\n...\n", "a: 1\nb: 2\n", "a:\n- 1\n- 2\nb: x", "a:\n  - b: 1\n    c: 2\n  - - 1\n    - 2\n", "--- text\n--- {a: 1}\n",
@@ -42,6 +45,32 @@ def test_place_and_cause():
     assert failure("[" * 500 + "]" * 499)[1] == "end"
 
 
+def test_deep_nesting_is_linear(monkeypatch):
+    deep = 100_000
+    began = time.perf_counter()
+    assert failure("[" * deep + "]" * deep) is None
+    assert failure("[" * deep + "]" * (deep - 1))[1] == "end"
+    assert failure("{a: " * 20_000 + "}" * 20_001) is not None
+    assert failure("- " * 5_000 + "x") is None
+    assert time.perf_counter() - began < 8
+    monkeypatch.setattr(derivatives, "MOST", 500)  # the memory starts afresh many times inside a stream
+    assert failure("[" * 3_000 + "]" * 3_000) is None and failure("[" * 3_000 + "]" * 3_001)[1] == "token"
+
+
+def test_many_signs_in_quotes():
+    assert failure("- '\x7f'\n" * 20_000) is None and failure("- '\x7f'\n" * 20_000 + "- \x7f\n") == (20_001, "token")
+
+
+def test_rates(spark, tmp_path):
+    rows = [(1, "p/a", "java", "a: ["), (1, "p/a", "java", "a: 1"), (2, "p/a", " JAVA", "a: 1"), (3, "p/a", None, None), (4, None, "cpp", ""), (5, None, "cpp", "a: 'x")]
+    spark.createDataFrame(rows, "workflow_id bigint, project_id string, language string, full_workflow_yaml string").write.parquet(f"{tmp_path}/yaml_reference.parquet")
+    out = {(r.level, r.project_id, r.language): (r.files, r.broken, r.rate) for r in p4_rates(spark, str(tmp_path)).collect()}
+    assert out == {
+        (0, "p/a", "Java"): (2, 1, 0.5), (0, "p/a", None): (1, 0, 0.0), (0, None, "C++"): (2, 1, 0.5), (1, "p/a", None): (3, 1, 0.333333), (1, None, None): (2, 1, 0.5),
+        (2, None, "Java"): (2, 1, 0.5), (2, None, None): (1, 0, 0.0), (2, None, "C++"): (2, 1, 0.5), (3, None, None): (5, 2, 0.4),
+    }
+
+
 def test_derivatives():
     g = Language("s")
     g.rules = {"s": g.alt(g.EMPTY, g.seq(g.token("("), g.name("s"), g.token(")"), g.name("s")))}

@@ -2,7 +2,7 @@
 
 The derivative of a language by a token is what may follow once that token has been read. A stream
 belongs to the language if, derived by each of its tokens, the language still holds the empty
-stream. Expressions are shared (equal ones are one object) and derivatives remembered, so a token
+stream. Expressions are shared (equal ones are one object) and remember their derivatives, so a token
 costs one look-up wherever the parser has been in the same situation before.
 """
 
@@ -10,10 +10,24 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-#: Situations remembered; beyond this the memory starts afresh.
+#: Shared expressions remembered; beyond this only those that the parser still holds live on.
 MOST = 200_000
 
 
+class Expression:
+    """token(a), name(a), a then b, one of the parts a, any number of a, nothing, or no stream at all.
+
+    Its parts are shared, so it is told from others by their numbers alone, however deep it is.
+    """
+
+    __slots__ = ("kind", "a", "b", "number", "after", "empty")
+
+    def __init__(self, kind: str, a, b, number: int):
+        self.kind, self.a, self.b, self.number = kind, a, b, number
+        self.after: dict[str, Expression] = {}
+        self.empty: bool | None = None
+
+
 class Language:
     """A grammar: rules by name, each an expression of token(), name(), seq(), alt(), star(), opt(), plus().
 
@@ -22,111 +36,122 @@ class Language:
 
     def __init__(self, start: str):
         self.start = start
-        self.rules: dict[str, tuple] = {}
-        self._forget()
-
-    NONE, EMPTY = ("none",), ("empty",)
-
-    def _forget(self) -> None:
-        self.shared: dict[tuple, tuple] = {}
-        self.known: dict[int, dict] = {}
-        self.empty: dict[int, bool] = {}
-
-    def _one(self, x: tuple) -> tuple:
-        return self.shared.setdefault(x, x)
+        self.rules: dict[str, Expression] = {}
+        self.shared: dict[tuple, Expression] = {}
+        self.made = 0
+        self.NONE, self.EMPTY = self._one("none"), self._one("empty")
+
+    def _one(self, kind: str, a=None, b=None) -> Expression:
+        key = (kind, *(tuple(x.number for x in p) if isinstance(p, tuple) else p.number if isinstance(p, Expression) else p for p in (a, b)))
+        if (known := self.shared.get(key)) is None:
+            self.made += 1
+            known = self.shared[key] = Expression(kind, a, b, self.made)
+        return known
 
-    def token(self, kind: str) -> tuple:
-        return self._one(("token", kind))
+    def token(self, kind: str) -> Expression:
+        return self._one("token", kind)
 
-    def name(self, rule: str) -> tuple:
-        return self._one(("name", rule))
+    def name(self, rule: str) -> Expression:
+        return self._one("name", rule)
 
-    def seq(self, *parts: tuple) -> tuple:
+    def seq(self, *parts: Expression) -> Expression:
         out = self.EMPTY
         for p in reversed(parts):
             out = self._then(p, out)
         return out
 
-    def _then(self, a: tuple, b: tuple) -> tuple:
+    def _then(self, a: Expression, b: Expression) -> Expression:
         if a is self.NONE or b is self.NONE:
             return self.NONE
         if a is self.EMPTY:
             return b
         if b is self.EMPTY:
             return a
-        if a[0] == "seq":
-            return self._then(a[1], self._then(a[2], b))
-        return self._one(("seq", a, b))
+        if a.kind == "seq":
+            return self._then(a.a, self._then(a.b, b))
+        return self._one("seq", a, b)
 
-    def alt(self, *parts: tuple) -> tuple:
-        flat: dict[int, tuple] = {}
+    def alt(self, *parts: Expression) -> Expression:
+        flat: dict[int, Expression] = {}
         for p in parts:
-            for q in p[1] if p[0] == "alt" else (p,):
+            for q in p.a if p.kind == "alt" else (p,):
                 if q is not self.NONE:
-                    flat[id(q)] = q
+                    flat[q.number] = q
         if len(flat) < 2:
             return next(iter(flat.values()), self.NONE)
-        return self._one(("alt", tuple(flat[k] for k in sorted(flat))))
+        return self._one("alt", tuple(flat[k] for k in sorted(flat)))
 
-    def star(self, x: tuple) -> tuple:
-        return self._one(("star", x))
+    def star(self, x: Expression) -> Expression:
+        return self._one("star", x)
 
-    def opt(self, x: tuple) -> tuple:
+    def opt(self, x: Expression) -> Expression:
         return self.alt(x, self.EMPTY)
 
-    def plus(self, x: tuple) -> tuple:
+    def plus(self, x: Expression) -> Expression:
         return self.seq(x, self.star(x))
 
-    def nullable(self, x: tuple) -> bool:
+    def nullable(self, x: Expression) -> bool:
         """Whether the empty stream belongs to x."""
-        if (known := self.empty.get(id(x))) is None:
-            kind = x[0]
-            if kind == "seq":
-                known = self.nullable(x[1]) and self.nullable(x[2])
-            elif kind == "alt":
-                known = any(map(self.nullable, x[1]))
-            elif kind == "name":
-                known = self.nullable(self.rules[x[1]])
-            else:
-                known = kind in ("empty", "star")
-            self.empty[id(x)] = known
-        return known
-
-    def derive(self, x: tuple, kind: str) -> tuple:
+        chain = []
+        while x.empty is None and x.kind == "seq" and self.nullable(x.a):
+            chain.append(x)
+            x = x.b
+        if x.empty is None:
+            if x.kind == "alt":
+                x.empty = any(map(self.nullable, x.a))
+            elif x.kind == "name":
+                x.empty = self.nullable(self.rules[x.a])
+            else:  # of a sequence the first part is not
+                x.empty = x.kind in ("empty", "star")
+        for y in chain:
+            y.empty = x.empty
+        return x.empty
+
+    def derive(self, x: Expression, kind: str) -> Expression:
         """What may follow `kind` in x; NONE if x holds no stream that begins with it."""
-        of = self.known.setdefault(id(x), {})
-        if (known := of.get(kind)) is None:
-            what = x[0]
+        if (known := x.after.get(kind)) is None:
+            what = x.kind
             if what == "token":
-                known = self.EMPTY if x[1] == kind else self.NONE
+                known = self.EMPTY if x.a == kind else self.NONE
             elif what == "seq":
-                known = self._then(self.derive(x[1], kind), x[2])
-                if self.nullable(x[1]):
-                    known = self.alt(known, self.derive(x[2], kind))
+                known = self._then(self.derive(x.a, kind), x.b)
+                if self.nullable(x.a):
+                    known = self.alt(known, self.derive(x.b, kind))
             elif what == "alt":
-                known = self.alt(*(self.derive(p, kind) for p in x[1]))
+                known = self.alt(*(self.derive(p, kind) for p in x.a))
             elif what == "star":
-                known = self._then(self.derive(x[1], kind), x)
+                known = self._then(self.derive(x.a, kind), x)
             elif what == "name":
-                known = self.derive(self.rules[x[1]], kind)
+                known = self.derive(self.rules[x.a], kind)
             else:
                 known = self.NONE
-            of[kind] = known
+            x.after[kind] = known
         return known
 
+    def _forget(self) -> None:
+        """Starts the memory afresh; what is still in use is kept by its users, and the rules forget what followed them."""
+        self.shared = {}
+        todo, seen = [*self.rules.values(), self.NONE, self.EMPTY], set()
+        while todo:
+            x = todo.pop()
+            if x.number not in seen:
+                seen.add(x.number)
+                x.after = {}
+                todo.extend(p for part in (x.a, x.b) for p in (part if isinstance(part, tuple) else (part,)) if isinstance(p, Expression))
+                key = (x.kind, *(tuple(q.number for q in p) if isinstance(p, tuple) else p.number if isinstance(p, Expression) else p for p in (x.a, x.b)))
+                self.shared[key] = x
+
     def failure(self, kinds: Iterable[str]) -> int | None:
         """None if the stream belongs to the language; else the number of the first token that cannot
         stand where it stands, or the number of tokens if the stream ends too early."""
-        if len(self.shared) > MOST:
-            rules = self.rules
-            self.__init__(self.start)
-            self.rules = rules  # the rules' expressions live on and are shared anew as they are met
         state, i = self.rules[self.start], -1
-        known = self.known
+        none = self.NONE
         for i, kind in enumerate(kinds):
-            if (after := known.get(id(state), {}).get(kind)) is None:
+            if (after := state.after.get(kind)) is None:
                 after = self.derive(state, kind)
-            if after is self.NONE:
+                if len(self.shared) > MOST:
+                    self._forget()
+            if after is none:
                 return i
             state = after
         return None if self.nullable(state) else i + 1

@@ -98,8 +98,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """project_id, language (each null: all of them), files, broken, rate; a file is one workflow_id of a project."""
-    files = spread(table(spark, folder, "yaml_reference").where("full_workflow_yaml <> ''").select("workflow_id", "project_id", "language", "full_workflow_yaml"))
+    """level, project_id, language, files, broken, rate; a file is one workflow_id of a project, null and empty ones included.
+
+    level 0: a language of a project, 1: a project, 2: a language, 3: all files. A column that does not
+    belong to the level is null; so is a project_id or language that is not known.
+    """
+    files = spread(table(spark, folder, "yaml_reference").select("workflow_id", "project_id", "language", "full_workflow_yaml"))
     rows = files.select("workflow_id", "project_id", canonical_language(F.col("language")).alias("language"), yaml_failure(F.col("full_workflow_yaml")).alias("f"))
     files = rows.groupBy("project_id", "language", "workflow_id").agg(F.max(F.expr("cast(f.line is not null as int)")).alias("broken"))
     sums = files.groupingSets([["project_id", "language"], ["project_id"], ["language"], []], "project_id", "language")

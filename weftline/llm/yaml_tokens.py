@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 #: Characters that may not stand anywhere in a stream, and those that only quotes may hold.
@@ -356,9 +357,10 @@ def tokens(text: str, ends: dict[int, int] | None = None) -> tuple[list[str], li
             ends[place] = pos
     first = 1 if text.startswith("\ufeff") else 0
     if QUOTED_ONLY.search(text, first):
+        opened = [a for a, _ in quotes]
         for m in QUOTED_ONLY.finditer(text, first):
             p = m.start()
-            if not any(a < p < b for a, b in quotes) and not (m[0] == "\ufeff" and text[p - 1] == "\n"):
+            if not ((k := bisect_left(opened, p)) and p < quotes[k - 1][1]) and not (m[0] == "\ufeff" and text[p - 1] == "\n"):
                 place = next((i for i, x in enumerate(at) if x > p), len(at))
                 return kinds[:place] + ["!"], at[:place] + [p]
     return kinds, at
