@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import sampling
-from weftline.llm.digest import LEVELS, METRICS, _added, compress, digests, keys, merged, numbers, once, p5_found, percentiles
+from weftline.llm import digest, sampling
+from weftline.llm.digest import LEVELS, METRICS, _added, compress, digests, keys, last_places, merged, numbers, once, p5_found, percentiles
 from weftline.llm.sampling import _repairs, proportional_sample, systematic
 from weftline.session import ship
 
@@ -59,16 +59,17 @@ def test_repairs():
 
 
 def test_keys_keep_the_order():
-    values = np.sort(np.r_[0.0, np.random.default_rng(1).lognormal(0, 9, 5000), np.inf])
+    rng = np.random.default_rng(1)
+    values = np.unique(np.r_[0.0, -np.inf, np.inf, 0.3, 0.1 + 0.2, rng.lognormal(0, 9, 5000), -rng.lognormal(0, 9, 5000)])
     places = keys(values)
-    assert (np.diff(places) >= 0).all() and places.max() < 1 << LEVELS
-    assert np.allclose(numbers(places[:-1]), values[:-1], rtol=1e-12)
+    assert (np.diff(places) > 0).all() and (numbers(places) == values).all() and keys(np.array([-0.0])) == keys(np.array([0.0]))
+    assert numbers(np.array([2**63 - 1, -(2**63)])).tolist() == [np.inf, -np.inf]
 
 
 @pytest.mark.parametrize("error", [0.5, 0.1, 0.02])
 def test_rank_error_survives_merging(error):
     rng = np.random.default_rng(3)
-    values = np.r_[rng.lognormal(0, 2, 6000), np.full(3000, 3.0), rng.integers(0, 9, 1000)]
+    values = np.r_[rng.lognormal(0, 2, 6000), np.full(3000, 3.0), rng.integers(-9, 9, 1000)]
     rng.shuffle(values)
     k = keys(values)
     parts = []
@@ -78,12 +79,46 @@ def test_rank_error_survives_merging(error):
     g, lo, level, n = (np.concatenate(x) for x in zip(*parts))
     g, lo, level, n = compress(g, lo, level, n, np.array([int(len(k) * error / LEVELS)]))
     assert n.sum() == len(k) and len(n) <= 3 * LEVELS / error + LEVELS
-    hi = lo + (np.int64(1) << level) - 1
+    hi = last_places(lo, level)
     for place in np.quantile(k, np.linspace(0, 1, 40)).astype(np.int64):
         sure, maybe = n[hi < place].sum(), n[lo < place].sum()
         assert sure <= (k < place).sum() <= maybe and maybe - sure <= error * len(k)
 
 
+def test_marks_keep_their_ranks():
+    rng = np.random.default_rng(4)
+    k = keys(rng.lognormal(0, 2, 20_000))
+    marks = np.unique(np.r_[k[:5], keys(np.array([0.5, 3.0, -1.0]))])
+    g, p, c = _added(np.zeros(len(k), np.int64), k, np.ones(len(k), np.int64))
+    _, lo, level, n = compress(g, p, np.zeros(len(p), np.int64), c, np.array([200]), (np.zeros(len(marks), np.int64), marks))
+    hi = last_places(lo, level)
+    assert len(n) < 5000
+    for m in marks:
+        assert n[hi < m].sum() == (k < m).sum() and n[lo <= m].sum() == (k <= m).sum()
+
+
+@pytest.mark.parametrize("gathered", [2_000_000, 20_000])
+def test_rank_error_of_many_values(spark, monkeypatch, gathered):
+    """1.2 million values through digests() and merged(): the error stays within its bound, marks are exact."""
+    monkeypatch.setattr(digest, "GATHERED", gathered)
+    error, figures = 1 / 100, [1.0, 7.25]
+    rows = spark.range(1_200_000).select((F.col("id") % 3).cast("int").alias("day"), F.when(F.col("id") % 10 < 3, F.lit(7.25)).otherwise(F.exp(F.randn(7) * 2) - F.lit(0.5)).alias("v"))
+    values = np.sort(np.array([r[0] for r in rows.select("v").collect()]))
+    days = digests(rows, ["day"], ["v"], error, {"v": figures})
+    whole = merged(days, [], error, {"v": figures}).collect()
+    lo, level, n = (np.array([r[c] for r in whole], np.int64) for c in ("lo", "level", "n"))
+    hi = last_places(lo, level)
+    assert n.sum() == len(values) and len(n) <= 3 * LEVELS / error + LEVELS and level.max() > 30
+    worst = 0
+    for v in [*np.quantile(values, np.linspace(0, 1, 60)), *figures]:
+        place = keys(np.array([v]))[0]
+        sure, maybe, true = n[hi < place].sum(), n[lo < place].sum(), (values < v).sum()
+        assert sure <= true <= maybe and (v not in figures or sure == true)
+        worst = max(worst, maybe - sure)
+    assert 0 < worst <= error * len(values)
+    assert n[lo <= keys(np.array([7.25]))[0]].sum() == (values <= 7.25).sum()
+
+
 def test_digests_of_scopes(spark):
     rng = random.Random(2)
     rows = [(d, rng.choice(["x", None]), float(rng.randint(0, 50)), None) for d in (1, 2) for _ in range(300)] + [(1, "x", v, 1.0) for v in (-1.0, float("nan"), None, float("inf"))]
@@ -92,7 +127,7 @@ def test_digests_of_scopes(spark):
     whole = percentiles(merged(days, ["lang"]), ["lang"], [0.1, 0.5, 0.9])
     out = {(r.lang, r.metric): r for r in whole.collect()}
     for lang in ("x", None):
-        own = sorted(r[2] for r in rows if r[1] == lang and r[2] is not None and r[2] >= 0)
+        own = sorted(r[2] for r in rows if r[1] == lang and r[2] is not None and r[2] == r[2])
         assert out[lang, "v"].n == len(own)
         assert list(out[lang, "v"]["values"]) == [own[-(-len(own) * q // 10) - 1] for q in (1, 5, 9)]
     assert out["x", "w"].n == 4 and (None, "w") not in out
@@ -107,7 +142,6 @@ def test_repeated_rows_count_once(spark):
 
 
 def test_figure_beside_values(spark, tiny, tmp_path):
-    assert keys(np.array([0.3])) == keys(np.array([0.1 + 0.2]))
     metric = METRICS[0]
     rows = spark.read.parquet(f"{tiny}/workflow_metrics.parquet")
     rows.withColumn(metric, F.lit(0.1 + 0.2)).write.parquet(f"{tmp_path}/workflow_metrics.parquet")
