@@ -1,11 +1,14 @@
 """Encoding, packing and splitting against plain code on small texts."""
 
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from weftline.llm.packing import pack, plan
-from weftline.llm.splitting import split_texts
+from weftline.llm.splitting import likeness, split_texts
 from weftline.llm.tokens import decode, encode_corpus, encoder, vocabulary
 
 TEXTS = [
@@ -86,10 +89,38 @@ def test_pieces_cover_the_text(docs, limit, overlap):
         assert own[0].first_token == 0 and own[-1].end_token == len(ids) and own[-1]["cut"] == "end"
         assert all(r.tokens == r.end_token - r.first_token <= limit for r in own)
         assert all(b.first_token == a.end_token - overlap for a, b in zip(own, own[1:]))
-        assert all(r.text == b"".join(words[x] for x in ids[r.first_token : r.end_token]).decode(errors="replace") for r in own)
+        assert all(r.tokens >= 2 * overlap for r in own[:-1])
+        whole = b"".join(words[x] for r in own for x in ids[r.first_token + (overlap if r.piece else 0) : r.end_token])
+        assert whole == text.encode()
+        assert all(r.text == b"".join(words[x] for x in ids[r.first_token : r.end_token]).decode(errors="ignore") for r in own)
 
 
 def test_cuts_lie_at_the_change_of_subject(spark):
     a, b = "The cat sat near the warm cat bed.\n" * 12, "Stock prices fell on market fears today.\n" * 12
     rows = split_texts(spark.createDataFrame([(1, a + b)], "doc_id int, text string"), [(150, 0)]).orderBy("piece").collect()
     assert rows[0].text.strip() == a.strip()
+
+
+@pytest.mark.parametrize("span", [1, 3, 8])
+def test_likeness(span):
+    rng = np.random.default_rng(span)
+    terms = rng.integers(-1, 5, 60)
+    found = likeness(terms, span)
+    assert len(found) == 61 and len(likeness(terms[:0], span)) == 1
+    for p in range(61):
+        a, b = (Counter(x for x in part.tolist() if x >= 0) for part in (terms[max(0, p - span) : p], terms[p : p + span]))
+        norm = math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+        assert found[p] == pytest.approx(sum(a[x] * b[x] for x in a) / norm if norm else 0.0)
+    assert likeness(np.zeros(3000, np.int64), 64)[1500] == pytest.approx(1)
+
+
+def test_cohesion_without_line_ends(spark):
+    """The cut lies where the subject changes, also in texts of one line, in the first half of a window, and for a text among others."""
+    a, b = "The cat sat near the warm cat bed with another cat. ", "Stock prices fell because markets fear rising bond prices. "
+    for n in (3, 6, 9, 12):
+        text = a * n + b * 30
+        rows = split_texts(spark.createDataFrame([(1, text), (2, b * 40)], "doc_id int, text string"), [(170, 0)]).where("doc_id = 1").orderBy("piece").collect()
+        assert rows[0].text.strip() == (a * n).strip() and rows[0]["cut"] == "sentence"
+    words = "cat bed warm cat purr " * 20 + "stock bond price fell stock " * 40
+    first = split_texts(spark.createDataFrame([(1, words)], "doc_id int, text string"), [(150, 0)]).orderBy("piece").first()
+    assert first.text.strip() == ("cat bed warm cat purr " * 20).strip() and first["cut"] == "word"

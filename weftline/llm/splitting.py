@@ -17,11 +17,8 @@ from weftline.sources.tables import table
 
 #: Kinds of places between two tokens, from least to most natural.
 KINDS = ("inside", "character", "word", "sentence", "line", "paragraph")
-#: Tokens compared on either side of a place; dimensions onto which they are hashed.
-SPAN, DIMENSIONS = 64, 64
-#: Candidates whose valleys are computed at a time.
-STRETCH = 8_192
-
+#: Tokens compared on either side of a place.
+SPAN = 64
 
 #: What a byte tells about the place next to it.
 _INSIDE, _BLANK, _STOP, _WIDE, _FEED = 1, 2, 4, 8, 16
@@ -38,12 +35,10 @@ TOGETHER = 1_000_000
 
 @lru_cache(4)
 def _words(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Of every id: its number of bytes, and its dimension, or -1 where it holds no letter or digit."""
+    """Of every id: its number of bytes, and whether it holds a letter or digit."""
     words = encoder(path)[1]
     lengths = np.array([len(w) for w in words], np.int64)
-    spread = (np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
-    content = np.array([any(c > 127 or chr(c).isalnum() for c in w) for w in words])
-    return lengths, np.where(content, spread.astype(np.int64) % DIMENSIONS, -1)
+    return lengths, np.array([any(c > 127 or chr(c).isalnum() for c in w) for w in words])
 
 
 def kinds(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -76,53 +71,87 @@ def _climb(like: np.ndarray) -> np.ndarray:
     return like[np.maximum.accumulate(np.where(stops, np.arange(len(like)), 0))]
 
 
-def valleys(places: np.ndarray, dims: np.ndarray) -> np.ndarray:
-    """How far the likeness of the texts before and after each place (a number of tokens) lies below its surroundings."""
-    out = np.zeros(len(places))
-    for lo in range(0, len(places), STRETCH):
-        a, b = max(0, lo - 64), min(len(places), lo + STRETCH + 64)
-        some = places[a:b]
-        first, last = max(0, some[0] - SPAN), min(len(dims), some[-1] + SPAN)
-        window = dims[first:last]
-        held = window >= 0
-        segment = np.searchsorted(some - first, np.arange(len(window)), "right")
-        seen = np.bincount(segment[held] * DIMENSIONS + window[held], minlength=(len(some) + 1) * DIMENSIONS)
-        sums = np.zeros((len(some) + 2, DIMENSIONS), np.float32)
-        np.cumsum(seen.reshape(-1, DIMENSIONS), axis=0, out=sums[1:])
-        j = np.arange(1, len(some) + 1)
-        left = sums[j] - sums[np.minimum(np.searchsorted(some, some - SPAN, "left"), j - 1)]
-        right = sums[np.maximum(np.searchsorted(some, some + SPAN, "right"), j) + (some[-1] < some + SPAN)] - sums[j]
-        dot = lambda x, y: np.einsum("ij,ij->i", x, y).astype(np.float64)
-        norm = np.sqrt(dot(left, left) * dot(right, right))
-        like = np.divide(dot(left, right), norm, out=np.zeros(len(some)), where=norm > 0)
-        depth = _climb(like) + _climb(like[::-1])[::-1] - 2 * like
-        out[lo : lo + STRETCH] = depth[lo - a : lo - a + STRETCH]
-    return out
-
-
-def cuts(kind: np.ndarray, lines: np.ndarray, depth: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, str]]:
-    """(first token, end token, kind of the end) of the pieces of a text; lines: the places of its line ends, depth: their valleys.
+def likeness(terms: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """At each place p (before token p; the last one is the end): the cosine of the term counts of up to `span` tokens before and after it.
 
-    A piece ends in the second half of what the limit allows, at the deepest valley among the line
-    ends there; without a line end at the latest sentence end, without one behind the latest word,
-    else between characters. Where possible the next piece, which repeats the last `overlap` tokens,
-    does not begin inside a character.
+    terms: a number per token; tokens of different texts need different numbers, and negative ones do
+    not count. What two blocks have in common are pairs of equal tokens, so every pair of equal tokens
+    less than 2 * span apart adds to the stretch of places whose blocks hold both: no vectors are built,
+    and all terms count as themselves.
+    """
+    n = len(terms)
+    dot, left, right = (np.zeros(n + 2, np.int64) for _ in range(3))
+
+    def cover(sums: np.ndarray, first: np.ndarray, last: np.ndarray, weight: int) -> None:
+        some = last >= first
+        sums += weight * (np.bincount(first[some], minlength=n + 2) - np.bincount(last[some] + 1, minlength=n + 2))
+
+    at = np.flatnonzero(terms >= 0)
+    cover(left, at + 1, np.minimum(at + span, n), 1)
+    cover(right, np.maximum(at - span + 1, 0), at, 1)
+    order = at[np.argsort(terms[at], kind="stable")]
+    own = terms[order]
+    later = np.arange(1, len(order))
+    step = 1
+    while len(later):
+        i, j = order[later - step], order[later]
+        near = (own[later - step] == own[later]) & (j - i < 2 * span)
+        later, i, j = later[near], i[near], j[near]
+        cover(dot, np.maximum(i + 1, j - span + 1), np.minimum(j, i + span), 1)
+        cover(left, j + 1, np.minimum(i + span, n), 2)
+        cover(right, np.maximum(j - span + 1, 0), i, 2)
+        step += 1
+        later = later[later >= step]
+    dot, left, right = (np.cumsum(x)[: n + 1] for x in (dot, left, right))
+    norm = np.sqrt(left.astype(np.float64) * right)
+    return np.divide(dot, norm, out=np.zeros(n + 1), where=norm > 0)
+
+
+def valleys(places: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """How far the likeness at each place lies below the nearest peaks among the places on both sides."""
+    if not len(places):
+        return np.zeros(0)
+    own = like[places]
+    return _climb(own) + _climb(own[::-1])[::-1] - 2 * own
+
+
+def cuts(kind: np.ndarray, like: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, str]]:
+    """(first token, end token, kind of the end) of the pieces of a text; like: the likeness at every place.
+
+    A piece holds at most `limit` tokens, of which at least as many are new as it repeats. It ends at
+    the deepest valley among the ends of lines and sentences in this whole window, of equally deep
+    ones at the more natural, then the later; without any at the deepest valley among its word ends,
+    and without one between characters. Where possible the next piece, which repeats the last
+    `overlap` tokens, does not begin inside a character.
     """
     n, start, out = len(kind), 0, []
-    ends = lines.tolist()
-    depth = depth + 0.25 * (kind[lines - 1] == 5)
-    starts_whole = kind[np.maximum(lines - overlap - 1, 0)] > 0 if overlap else np.ones(len(lines), bool)
+    at = np.arange(1, n)
+    ranks = kind[:-1] if n else kind  # of the place behind token p, that is before token p + 1
+    starts_whole = np.ones(n, bool)
+    if overlap:
+        starts_whole[overlap + 1 :] = kind[: n - overlap - 1] > 0
+    levels = []
+
+    def level(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in order and their depths: ends of sentences and lines, or of words."""
+        while len(levels) <= i:
+            places = at[ranks >= 3] if not levels else at[ranks >= 2]
+            levels.append((places, valleys(places, like) + 1e-9 * kind[places - 1]))
+        return levels[i]
+
     while n - start > limit:
-        low, high = start + max(overlap + 1, limit // 2), start + limit
-        i, j = bisect_left(ends, low), bisect_left(ends, high + 1)
-        fits = starts_whole[i:j]
-        if fits.any():
-            deep = np.where(fits, depth[i:j], -1.0)
-            end = int(lines[j - 1 - int(deep[::-1].argmax())])
-        else:
+        low, high, end = start + overlap + max(overlap, 1), start + limit, 0
+        for i in (0, 1):
+            places, depth = level(i)
+            a, b = np.searchsorted(places, (low, high + 1))
+            fits = starts_whole[places[a:b]]
+            if fits.any():
+                deep = np.where(fits, depth[a:b], -1.0)
+                end = int(places[b - 1 - int(deep[::-1].argmax())])
+                break
+        if not end:
             spots = np.arange(low, high + 1)
-            whole = kind[spots - overlap - 1] > 0 if overlap else 1
-            rank = np.where(kind[spots - 1] > 0, np.minimum(kind[spots - 1], 3) + 4 * whole, 0)
+            rank = np.where(kind[spots - 1] > 0, 1 + starts_whole[spots], 0)
             end = int(spots[len(rank) - 1 - int(np.argmax(rank[::-1]))])
         out.append((start, end, KINDS[int(kind[end - 1])]))
         start = end - overlap
@@ -134,7 +163,7 @@ def _split(path: str, limits: list[tuple[int, int]]):
     names = ["max_tokens", "doc", "piece", "pieces", "first_token", "end_token", "tokens", "cut", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, dimension = _words(path)
+        lengths, content = _words(path)
         encode = encoder(path)[0]
         for batch in batches:
             docs = list(zip(batch.column("doc"), (t.as_py().encode() for t in batch.column("text")), batch.column("ids")))
@@ -147,7 +176,11 @@ def _split(path: str, limits: list[tuple[int, int]]):
                 data = np.frombuffer(_EDGE + _EDGE.join(raw for _, raw, _ in some) + _EDGE, np.uint8)
                 all_ids = [x.values.to_numpy(zero_copy_only=False) for *_, x in some]
                 flat = np.concatenate(all_ids)
-                sizes, dims = lengths[flat], dimension[flat]
+                sizes = lengths[flat]
+                # the same word of two texts is two terms, and no block reaches into another text
+                terms = [np.where(content[x], x + k * len(content), -1) for k, x in enumerate(all_ids)]
+                gap = np.full(SPAN, -1, np.int64)
+                like_of_all = likeness(np.concatenate([y for x in terms for y in (x, gap)]))
                 first = place = 0
                 for (_, raw, _), ids in zip(some, all_ids):
                     last = first + len(ids)
@@ -157,20 +190,19 @@ def _split(path: str, limits: list[tuple[int, int]]):
                     first = last
                 kind_of_all = kinds(data, sizes)
                 first = 0
-                for (doc, raw, _), ids in zip(some, all_ids):
+                for k, ((doc, raw, _), ids) in enumerate(zip(some, all_ids)):
                     last = first + len(ids)
                     kind = kind_of_all[first:last]
-                    lines = np.flatnonzero(kind[:-1] >= 4) + 1
-                    depth = valleys(lines, dims[first:last])
+                    like = like_of_all[first + k * SPAN : last + k * SPAN + 1]
                     ends = sizes[first:last] - (sizes[last - 1] - len(raw))
                     first = last
                     for limit, overlap in limits:
                         if len(ids) <= limit:
                             continue
-                        found = cuts(kind, lines, depth, limit, overlap)
-                        for k, (a, b, at) in enumerate(found):
-                            piece = raw[ends[a - 1] if a else 0 : ends[b - 1]].decode(errors="replace")
-                            for n, v in zip(names, (limit, doc, k, len(found), a, b, b - a, at, piece)):
+                        found = cuts(kind, like, limit, overlap)
+                        for i, (a, b, at) in enumerate(found):
+                            piece = raw[ends[a - 1] if a else 0 : ends[b - 1]].decode(errors="ignore")
+                            for n, v in zip(names, (limit, doc, i, len(found), a, b, b - a, at, piece)):
                                 rows[n].append(v)
                 yield _batch(rows, batch)
 
@@ -187,9 +219,10 @@ def split_texts(documents: DataFrame, limits: list[tuple[int, int]], id_column:
 
     Result: max_tokens, id_column, piece (from 0), pieces, first_token, end_token, tokens, cut, text.
     Every piece has at most `limit` tokens; two neighbours share exactly `overlap` tokens, and the
-    texts of the pieces without the repeated tokens, one after the other, are the whole text. cut
-    names the place where a piece ends: a paragraph, line, sentence, word, character, or the text's
-    end. Texts within the limit, null and empty ones give no rows; repeated rows give repeated pieces.
+    texts of the pieces without the repeated tokens, one after the other, are the whole text; of a
+    character that an overlap begins inside, the piece before has the whole. cut names the place where
+    a piece ends: a paragraph, line, sentence, word, character, or the text's end. Texts within the
+    limit, null and empty ones give no rows; repeated rows give repeated pieces.
     """
     path = path or vocabulary()
     wrong = [x for x in limits if not 0 <= 2 * x[1] < x[0]]
