@@ -80,15 +80,24 @@ def likeness(terms: np.ndarray, span: int = SPAN) -> np.ndarray:
     and all terms count as themselves.
     """
     n = len(terms)
-    dot, left, right = (np.zeros(n + 2, np.int64) for _ in range(3))
+    sums = {k: np.zeros(n + 2, np.int64) for k in ("left", "right", "both", "left pairs", "right pairs")}
+    waiting: list[tuple[str, np.ndarray, np.ndarray]] = []
 
-    def cover(sums: np.ndarray, first: np.ndarray, last: np.ndarray, weight: int) -> None:
-        some = last >= first
-        sums += weight * (np.bincount(first[some], minlength=n + 2) - np.bincount(last[some] + 1, minlength=n + 2))
+    def cover(of: str, first: np.ndarray, last: np.ndarray) -> None:
+        waiting.append((of, first, last + 1))
+        if sum(len(f) for _, f, _ in waiting) > 4 * n + 100_000:
+            settle()
+
+    def settle() -> None:
+        for of, total in sums.items():
+            for k, sign in ((1, 1), (2, -1)):
+                if some := [w[k] for w in waiting if w[0] == of]:
+                    total += sign * np.bincount(np.concatenate(some), minlength=n + 2)
+        waiting.clear()
 
     at = np.flatnonzero(terms >= 0)
-    cover(left, at + 1, np.minimum(at + span, n), 1)
-    cover(right, np.maximum(at - span + 1, 0), at, 1)
+    cover("left", at + 1, np.minimum(at + span, n))
+    cover("right", np.maximum(at - span + 1, 0), at)
     order = at[np.argsort(terms[at], kind="stable")]
     own = terms[order]
     later = np.arange(1, len(order))
@@ -97,14 +106,17 @@ def likeness(terms: np.ndarray, span: int = SPAN) -> np.ndarray:
         i, j = order[later - step], order[later]
         near = (own[later - step] == own[later]) & (j - i < 2 * span)
         later, i, j = later[near], i[near], j[near]
-        cover(dot, np.maximum(i + 1, j - span + 1), np.minimum(j, i + span), 1)
-        cover(left, j + 1, np.minimum(i + span, n), 2)
-        cover(right, np.maximum(j - span + 1, 0), i, 2)
+        cover("both", np.maximum(i + 1, j - span + 1), np.minimum(j, i + span))
+        together = j - i < span
+        i, j = i[together], j[together]
+        cover("left pairs", j + 1, np.minimum(i + span, n))
+        cover("right pairs", np.maximum(j - span + 1, 0), i)
         step += 1
         later = later[later >= step]
-    dot, left, right = (np.cumsum(x)[: n + 1] for x in (dot, left, right))
+    settle()
+    left, right, both = (np.cumsum(x)[: n + 1] for x in (sums["left"] + 2 * sums["left pairs"], sums["right"] + 2 * sums["right pairs"], sums["both"]))
     norm = np.sqrt(left.astype(np.float64) * right)
-    return np.divide(dot, norm, out=np.zeros(n + 1), where=norm > 0)
+    return np.divide(both, norm, out=np.zeros(n + 1), where=norm > 0)
 
 
 def valleys(places: np.ndarray, like: np.ndarray) -> np.ndarray:
