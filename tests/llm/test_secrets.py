@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.llm.config_formats import enclosing, holder, settings
 from weftline.llm.secrets import MASK, credentials, findings, mask, redacted
 
 R = "q7Zp" + "4kTn9xWv2LbC8mRs"  # a random-looking value
@@ -98,3 +99,44 @@ ALONE = [  # a line for each pattern, with none of the words that other patterns
 def test_screens(text, secret):
     assert [text[f.start : f.end] for f in findings(text)] == [secret]
     assert redacted(text) == text.replace(secret, MASK)
+
+
+V = "aB3dE5fG7h"
+PATHS = [  # text, secrets, key path of the first
+    (f"{{name: DB_PASSWORD, value: {V}}}", [V], "value"), (f"credentials:\n  value: {V}\n", [V], "credentials.value"), (f"passwords:\n  - {V}\n  - zZ9yX8wV7u\n", [V, "zZ9yX8wV7u"], "passwords"), (f"secret:\n  admin: {V}\n", [V], "secret.admin"),
+    (f'{{"credentials": {{"admin": "{V}", "user": "ciUser2024x"}}}}', [V], "credentials.admin"), (f"[credentials]\nadmin = {V}\n", [V], "credentials.admin"), (f"[db]\npassword = '{V}' ; note\nhost = h\n", [V], "db.password"), (f"db.password={V}\\\n   9xYz\ndb.user=x\n", [f"{V}\\\n   9xYz"], "db.password"),
+    (f"auth.tokens.prod={V}\n# end\n", [V], "auth.tokens.prod"), (f"env:\n  SETTINGS: |\n    [credentials]\n    staging={V}\n", [V], "env.SETTINGS.credentials.staging"), (f"run: |\n  cat > app.ini <<EOF\n  [secret]\n  prod={V}\n  EOF\n  make\n", [V], "run.secret.prod"),
+    (f"inputs:\n  token:\n    default: {V}\n", [V], "inputs.token.default"), (f"tokens: {{staging: [{V}], max_age: 3600s}}\n", [V], "tokens.staging"),
+]
+
+
+@pytest.mark.parametrize("text, secrets, path", PATHS)
+def test_key_paths(spark, text, secrets, path):
+    assert [text[f.start : f.end] for f in findings(text)] == secrets
+    found = spark.createDataFrame([(text,)], "t string").select(credentials(F.col("t")).alias("f")).first().f
+    assert found[0].key_path == path and [text.encode()[f.first_byte : f.end_byte].decode() for f in found] == secrets
+    masked = redacted(text)
+    assert not any(s.split("\\")[0] in masked for s in secrets) and masked.count("\n") == text.count("\n")
+
+
+NO_PATHS = [
+    "jobs:\n  deploy-token:\n    runs-on: Ubuntu-22.04-x64\n    steps:\n      - uses: Actions/checkout@v4\n", "secrets:\n  NPM_TOKEN:\n    description: Token4Npm\n    required: true\n", "auth:\n  username: ciUser2024x\n  url: Https://h/X9yZ1\n", "credentials:\n  commit: 0a1b2c3d0a1b2c3d0a1b2c3d0a1b2c3d0a1b2c3d\n",
+    "secret:\n  admin: ${ADMIN_PW1}\n", "[credentials]\nadmin = <yourPassword1>\n", "passwords:\n  - Changeme1example\n", "tokens:\n  count: 4096\n", "secret:\n  id: 41d164d6-4284-4468-a793-ca80c79a02bc\n", "credentials:\n  helper: store\n",
+]
+
+
+@pytest.mark.parametrize("text", NO_PATHS)
+def test_other_paths(text):
+    assert findings(text) == []
+
+
+def test_settings():
+    paths = lambda text: {".".join(s.path): text[s.start : s.end] for s in settings(text)}
+    assert paths("[x]\nb: 1\n") == {"x.b": "1"} and paths("a = 1\n[x.y]\nb = \"two words\" # c\nexport C_D='q'\n; note\n\ne=\n") == {"a": "1", "x.y.b": "two words", "x.y.C_D": "q", "x.y.e": ""}
+    assert paths("a.b=1 \\\r\n 2\r\nc=3") == {"a.b": "1 \\\r\n 2", "c": "3"}
+    assert paths('{"a": {"b": [1, "x"]}}') == {"a.b": "x"} and paths("a: 1\nb: 2\n") == {"a": "1", "b": "2"}
+    assert paths("a: |\n  x=1\n  y.z=2\nb: 3\n") == {"a": "x=1\n  y.z=2", "a.x": "1", "a.y.z": "2", "b": "3"}
+    assert settings("") == [] and settings("a: [") == [] and settings("just text") != []
+    values = settings("a: |\n  x=1\n  y=2\nb: 3\n")
+    around = enclosing(values)
+    assert [holder(values, around, p) and holder(values, around, p).path[-1] for p in (0, 7, 9, 10, 15, 20)] == [None, "a", "x", "a", "y", "b"]

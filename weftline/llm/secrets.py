@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -14,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.yaml_tokens import Scalar, scalars
+from weftline.llm.config_formats import enclosing, holder, settings
+from weftline.llm.yaml_tokens import Scalar
 from weftline.session import spread
 from weftline.sources.tables import table
 
@@ -25,6 +25,16 @@ MASK = "REDACTED"
 PASS_WORDS = {"password", "passwd", "passphrase", "passcode", "pass", "pwd", "pw", "passwort", "contrasena"}
 TOKEN_WORDS = {"token", "secret", "secrets", "credential", "credentials", "creds", "auth", "pat", "apikey", "apitoken", "authtoken", "accesskey", "secretkey", "jwt", "authorization"}
 KEY_KINDS = {"api", "access", "secret", "private", "account", "signing", "encryption", "deploy", "storage", "auth", "master", "service", "client", "shared", "license", "webhook", "write", "admin", "sas"}
+#: Keys that name the value of the key above them, and words of keys that tell it is something else. Fixed values.
+VALUE_KEYS = {"value", "default", "data", "current", "content", "literal", "plain", "text", "raw", "string"}
+OTHER_WORDS = {
+    "user", "username", "login", "name", "id", "type", "kind", "method", "mode", "url", "uri", "host", "hostname", "server", "endpoint", "registry", "domain", "email", "mail", "path", "file", "filename", "dir", "folder", "scope", "scopes",
+    "audience", "role", "region", "version", "algorithm", "alg", "issuer", "provider", "description", "format", "prefix", "suffix", "header", "comment", "note", "label", "image", "ref", "branch", "tag", "date", "expires", "created", "updated", "sha", "hash",
+    "digest", "fingerprint", "checksum", "public", "cert", "certificate", "port", "uses", "run", "if", "on", "steps", "needs", "strategy", "matrix", "container", "services", "outputs", "concurrency", "permissions", "defaults", "required", "length", "ttl", "group",
+    "environment", "jobs", "schedule", "cron", "shell", "timeout", "with", "env", "args", "command", "entrypoint", "options", "account", "project", "tenant", "team", "org", "organization", "owner", "repo", "repository",
+}
+#: Keys whose own keys are names given to things, not to values. Fixed values.
+NAMING_KEYS = {"jobs", "services", "outputs", "inputs", "secrets", "groups", "matrix", "anchors"}
 TRAILING_WORDS = {"base64", "b64", "prod", "dev", "test", "staging", "value", "old", "new", "ci", "text", "plain", "string", "literal", "default"}
 PLACEHOLDER = re.compile(
     r"(?i)example|change[-_ ]?(?:me|it|this)|dummy|placeholder|redacted|masked|hidden|sample|(?:^|[-_ ])(?:your|insert|replace|todo|fixme|tbd|fill)(?:$|[-_ ])|replaceme|^(?:none|null|nil|undefined|unset|true|false|yes|no|on|off|empty|default|required|optional|inherit|disabled|enabled|password|passwd|secret|token|pass|n/a)$"
@@ -79,8 +89,11 @@ _NAMED = re.compile(r"(?m)^([ \t]*)- +(?:name|key)[ \t]*:[ \t]*[\"']?([A-Za-z_][
 _LINE_PART = re.compile(r"[^\s](?:[^\r\n]*[^\s])?")
 _WRAPPED = re.compile(r"[A-Za-z0-9+/_.~\-]{16,}={0,2}")
 _WRAPPED_END = re.compile(r"[A-Za-z0-9+/_.~\-]+={0,2}|={1,2}")
-#: Keys of siblings, and keys that need not stand on one line with their colon.
-_APART = re.compile(r"\bvalue[\"']?[ \t]*:|\?[ \t\r\n]|[\r\n][ \t]*:")
+#: In a line, the last two words of what may be a key or a section, and the names that stand beside values.
+_KEYS = re.compile(r"((?:[\w.\-]+ +)?[\w.\-]+)[\"']?\s*(?:[:=\]]|$)|\?[ \t]+[\"']?([\w.\- ]+)")
+_BESIDE = re.compile(r"\b(?:name|key)[\"']?[ \t]*:\s*(?:[&!]\S+[ \t]+)*[\"']?((?:[\w.\-]+ *)+)")
+_COMPACT = re.compile(r"[A-Za-z0-9_+/=!@#$%^&*~.\-]+")
+_HEX = re.compile(r"[0-9a-fA-F]+")
 #: Keys of key stores, whose values are credentials where they are base64 of some length.
 _STORE = re.compile(r"(?i)key[-_]?store(?:[-_]?(?:base64|b64))?$")
 _STORED = re.compile(r"[A-Za-z0-9+/]{64,}={0,2}")
@@ -237,26 +250,48 @@ def _login(value: str) -> bool:
     return bool(user and colon and word) and user.isascii()
 
 
-def _keyed(line: str) -> bool:
-    """Whether a key of this line may be sensitive: the line up to its colon ends with the same words."""
-    at = line.find(":")
-    while at >= 0:
-        name = line[:at].rstrip(" \t\"'")
-        if sensitive(name) or _STORE.search(name):
-            return True
-        at = line.find(":", at + 1)
-    return False
+def _other(key: str) -> bool:
+    """Whether a key tells that its value is no credential, whatever stands above it."""
+    words = [w.lower() for w in _WORDS.findall(key)]
+    return bool(words) and (words[-1] in OTHER_WORDS or words[0] in ("runs", "timeout", "max", "min", "num"))
+
+
+def _several(key: str) -> str | None:
+    """sensitive() of a key in the plural."""
+    return sensitive(key[:-1]) if key[-1:] in "sS" and len(key) > 4 and not sensitive(key) else sensitive(key)
+
+
+def _above(path: tuple[str, ...]) -> str | None:
+    """The kind of the nearest key above the last that holds credentials, unless a key below it tells otherwise."""
+    for i in range(len(path) - 1, 0, -1):
+        if _other(path[i]):
+            return None
+        key = path[i - 1]
+        if kind := _several(key):
+            named = i > 1 and path[i - 2].lower() in NAMING_KEYS or key.lower() in NAMING_KEYS
+            return kind if not named or path[-1].lower() in VALUE_KEYS and key.lower() not in NAMING_KEYS else None
+    return None
+
+
+def _inherits(value: str) -> bool:
+    """Whether a value below a key that holds credentials is one by its shape, as its own key does not tell."""
+    if not literal(value) or re.search(r"\s", value) or _UUID.match(value) or not _COMPACT.fullmatch(value):
+        return False
+    digits, lower, upper = (any(map(f, value)) for f in (str.isdigit, str.islower, str.isupper))
+    return digits and lower and upper and len(value) >= 8 or digits and (lower or upper) and len(value) >= 16 and not _HEX.fullmatch(value)
 
 
 def _in_scalar(text: str, s: Scalar) -> Iterator[Finding]:
     """The credentials that the key of a YAML value tells: the value over all its lines, or the lines of a block that stand for themselves."""
-    kind = sensitive(s.path[-1]) if s.path else None
+    kind = _several(s.path[-1]) if s.path else None
     if not kind and s.name:
         kind = sensitive(s.name)
     value = text[s.start : s.end]
     if not kind:
         if any(n and _STORE.search(n) for n in (s.path[-1] if s.path else None, s.name)) and _STORED.fullmatch(re.sub(r"\s+|\\(?=\s)", "", value)) and _random(re.sub(r"\s", "", value), 64):
             yield Finding(s.start, s.end, "key name")
+        elif not s.name and _above(s.path) and _inherits(value):
+            yield Finding(s.start, s.end, "key path")
         return
     if s.item and _CONSTANT.fullmatch(value):
         return
@@ -286,6 +321,13 @@ def _squeezed(low: str) -> str:
     return low.replace("_", "").replace("-", "")
 
 
+@lru_cache(50_000)
+def _tells(name: str) -> bool:
+    """Whether a key or name may make a value a credential: by itself, or by one of its parts above others."""
+    name = name.strip()
+    return any(_several(part) or _STORE.search(part) for part in {name, *name.split("."), *name.split(" ")} if part)
+
+
 def _read(text: str | None) -> tuple[list[Finding], list[Scalar]]:
     """The credentials of a text in order, none inside another; its YAML values, where there may be any."""
     if not text:
@@ -303,8 +345,7 @@ def _read(text: str | None) -> tuple[list[Finding], list[Scalar]]:
         if _BODY.search(body):
             last = max(x.end() for x in _BODY.finditer(body))
             found.append(Finding(m.start(), stop if end and nearest < 0 else m.end() + last, "private key"))
-    keys, start = list(found), 0
-    keyed = bool(hints) and _APART.search(text) is not None
+    armoured, start, told = list(found), 0, False
     for line in text.split("\n"):
         if any(w in line for w in forms):
             found.extend(Finding(start + m.start(), start + m.end(), "token form") for m in _FORM.finditer(line) if literal(m[0]) and len(set(m[0])) > 7)
@@ -313,7 +354,7 @@ def _read(text: str | None) -> tuple[list[Finding], list[Scalar]]:
             squeezed = _squeezed(low)
             if any(w in squeezed for w in hints):
                 found.extend(Finding(start + f.start, start + f.end, f.kind) for f in _in_line(line.rstrip("\r"), low))
-                keyed = keyed or _keyed(line)
+                told = told or any(_tells(m[1] or m[2]) for m in _KEYS.finditer(line)) or any(_tells(m[1]) for m in _BESIDE.finditer(line))
         start += len(line) + 1
     for m in _BLOCK.finditer(text):
         if kind := sensitive(m[2]):
@@ -330,12 +371,13 @@ def _read(text: str | None) -> tuple[list[Finding], list[Scalar]]:
             value = line[a:b] if a else re.split(r"[ \t]+#", line, maxsplit=1)[0].rstrip()
             if holds(value, kind):
                 found.append(Finding(m.end() + a, m.end() + a + len(value), "key name"))
-    values = scalars(text) if keyed or found else []
+    # without a key or name that tells, no value is a credential, and without findings no place is asked for
+    values = settings(text) if found or told else []
     quotes = {s.start - 1 for s in values if s.style in ("'", '"')}  # a quoted value may go on after its first line
     found = [f._replace(start=f.start + 1) if f.start in quotes and f.kind == "key name" else f for f in found]
     for s in values:
         # of a private key only the lines of the key are masked
-        found.extend(f for f in _in_scalar(text, s) if not any(f.start < k.end and k.start < f.end for k in keys))
+        found.extend(f for f in _in_scalar(text, s) if not any(f.start < k.end and k.start < f.end for k in armoured))
     out: list[Finding] = []
     for f in sorted(found, key=lambda f: (f.start, -f.end)):
         if not out or f.start >= out[-1].end:
@@ -371,11 +413,10 @@ def redacted(text: str | None) -> str | None:
 _YAML_KEY = re.compile(r"^([ ]*(?:- +)*)[\"']?([\w.\-]+)[\"']?[ \t]*:(?:\s|$)")
 
 
-def key_path(text: str, place: int, values: list[Scalar]) -> str:
-    """The YAML keys of the value that holds `place`, joined by dots; outside of values the keys above and on its line."""
-    i = bisect_right(values, place, key=lambda s: s.start) - 1
-    if i >= 0 and place < values[i].end:
-        return ".".join(values[i].path)
+def key_path(text: str, place: int, values: list[Scalar], around: list[int]) -> str:
+    """The keys of the value that holds `place`, joined by dots; outside of values the YAML keys above and on its line."""
+    if (own := holder(values, around, place)) is not None:
+        return ".".join(own.path)
     keys, depth = [], 1 << 30
     stop = text.find("\n", place)
     for line in reversed(text[: stop if stop >= 0 else len(text)].split("\n")):
@@ -399,9 +440,10 @@ def credentials(text: Column) -> Column:
         def rows(t: str | None) -> list[dict]:
             out = []
             found, values = _read(t)
+            around = enclosing(values)
             for f in found:
                 first = len(t[: f.start].encode())
-                out.append({"line_no": t.count("\n", 0, f.start) + 1, "kind": f.kind, "key_path": key_path(t, f.start, values), "first_byte": first, "end_byte": first + len(t[f.start : f.end].encode())})
+                out.append({"line_no": t.count("\n", 0, f.start) + 1, "kind": f.kind, "key_path": key_path(t, f.start, values, around), "first_byte": first, "end_byte": first + len(t[f.start : f.end].encode())})
             return out
 
         return texts.map(rows)
