@@ -3,6 +3,7 @@
 import io
 import json
 import math
+import time
 import zipfile
 
 import pytest
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from weftline.functions.numbers import p_text, two_sided
 from weftline.functions.text import canonical_language
 from weftline.operators import bands, classify, dag, describe, rules, sampling, sequences, stats, workflow
-from weftline.operators.histogram import running, value_histogram
+from weftline.operators.histogram import quantiles, running, value_histogram
+from weftline.operators.numbering import numbered
 from weftline.session import ship
 from weftline.sources import files, sinks
 from weftline.streaming import ingest
@@ -143,6 +145,64 @@ def test_proportions(spark):
     assert z[0].p == pytest.approx(0.05, abs=1e-6) and z[1].p is None
 
 
+def test_fisher_against_all_tables():
+    import itertools
+
+    for table in itertools.product(range(0, 7), repeat=4):
+        y1, n1, y2, n2 = table
+        if not (y1 + y2 and n1 + n2 and y1 + n1 and y2 + n2):
+            continue
+        ways = lambda k: math.comb(y1 + n1, k) * math.comb(y2 + n2, y1 + y2 - k)
+        ks = range(max(0, y1 + y2 - y2 - n2), min(y1 + n1, y1 + y2) + 1)
+        assert stats.fisher_p(*table) == pytest.approx(sum(ways(k) for k in ks if ways(k) <= ways(y1)) / sum(map(ways, ks)), rel=1e-9), table
+    began = time.perf_counter()
+    assert 0 < stats.fisher_p(500_000_000, 500_000_000, 500_030_000, 499_970_000) < 1
+    assert stats.fisher_p(10**9, 10, 10**9, 10) == pytest.approx(1.0) and stats.fisher_p(10**6, 0, 0, 10**6) == 0.0
+    assert time.perf_counter() - began < 2
+
+
+def test_tails(spark):
+    from weftline.functions.numbers import chi_tail, exact_u
+
+    rows = spark.createDataFrame([(3.841458820694124, 1), (5.991464547107979, 2), (11.070497693516351, 5), (0.0, 3), (None, 1), (18.307038053275146, 10)], "x double, k int")
+    assert [r.p and round(r.p, 9) for r in rows.select(chi_tail(F.col("x"), F.col("k")).alias("p")).collect()] == [0.05, 0.05, 0.05, 1.0, None, 0.05]
+    import itertools
+
+    for n1, n2 in ((1, 1), (2, 5), (4, 4), (3, 8)):
+        us = [sum(x > y for x in c for y in range(n1 + n2) if y not in c) for c in itertools.combinations(range(n1 + n2), n1)]
+        asked = spark.createDataFrame([(float(u), n1, n2) for u in range(n1 * n2 + 1)], "u double, a int, b int")
+        for r in asked.select("u", exact_u(F.col("u"), F.col("a"), F.col("b")).alias("p")).collect():
+            high = max(r.u, n1 * n2 - r.u)
+            assert r.p == pytest.approx(min(1, 2 * sum(u >= high for u in us) / len(us)))
+    two = spark.createDataFrame([("f", "a", 30, 20), ("f", "b", 15, 35)], "feature string, group string, yes bigint, no bigint")
+    r = stats.chi_square(two).first()
+    assert r.statistic == pytest.approx(sum((abs(o - e) - 0.5) ** 2 / e for o, e in ((30, 22.5), (20, 27.5), (15, 22.5), (35, 27.5))), abs=1e-4) and 0.004 < r.p_value < 0.006
+
+
+def test_numbering(spark):
+    rows = [("hot", i % 5, i) for i in range(500)] + [(None, 1, i) for i in range(20)] + [("x", None, 1), ("x", 3, 2)]
+    frame = spark.createDataFrame(rows, "g string, v int, id int")
+    out = numbered(frame.repartition(7), ["g"], [F.col("v"), F.col("id")], "place").collect()
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    for g in ("hot", None, "x"):
+        assert [tuple(r)[:3] for r in sorted((r for r in out if r.g == g), key=lambda r: r.place)] == sorted((r for r in rows if r[0] == g), key=key)
+        assert sorted(r.place for r in out if r.g == g) == list(range(1, sum(r[0] == g for r in rows) + 1))
+    assert numbered(frame.limit(0), [], [F.col("v")]).collect() == [] and sorted(r.k for r in numbered(frame, [], [F.col("id")]).collect()) == list(range(1, 523))
+
+
+def test_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    values = {"a": [*rng.integers(-5, 9, 400).astype(float), *rng.normal(0, 1e6, 50)], "b": [4.5], "c": [1e15 + x for x in range(7)]}
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs], "g string, v double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.73, 1.0]
+    for r in quantiles(value_histogram(rows, "g", ["v"]), ["group", "metric"], shares).collect():
+        assert list(r.p) == pytest.approx(np.quantile(values[r.group], shares).tolist(), rel=1e-12) and r.n == len(values[r.group])
+    spread = {r.g: r["std"] for r in describe.descriptives(rows, "g", ["v"]).collect()}
+    assert spread["c"] == pytest.approx(np.std(range(7), ddof=1), abs=1e-4) and spread["b"] is None
+
+
 def test_samples(spark):
     rows = spark.createDataFrame([(i, "g%d" % (i % 3 > 0), "s%d" % (i % 7)) for i in range(500)], "id int, g string, s string")
     one = {r.id for r in sampling.stratified_sample(rows, "id", "g", "s", 60).collect()}

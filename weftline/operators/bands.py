@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.histogram import value_histogram
+from weftline.operators.histogram import quantiles, value_histogram
+from weftline.operators.numbering import numbered
 from weftline.operators.scopes import with_overall
+from weftline.session import cut
 
 BANDS = ("low", "moderate", "high", "very high")
 
 
 def thresholds(rows: DataFrame, metrics: list[str]) -> DataFrame:
     """metric, p70, p80, p90 (interpolated), n_unique_values over all rows, from the value histogram."""
-    hist = value_histogram(rows.withColumn("_all", F.lit(1)), "_all", metrics)
-    cuts = hist.groupBy("metric").agg(F.expr("percentile(value, array(0.7, 0.8, 0.9), cnt)").alias("p"), F.count("*").alias("n_unique_values"))
+    hist = cut(value_histogram(rows.withColumn("_all", F.lit(1)), "_all", metrics))
+    cuts = quantiles(hist, ["metric"], [0.7, 0.8, 0.9], others=[F.count("*").alias("n_unique_values")])
     return cuts.select("metric", *(F.col("p")[i].alias(f"p{q}") for i, q in enumerate((70, 80, 90))), "n_unique_values")
 
 
@@ -29,8 +31,8 @@ def band_distribution(rows: DataFrame, scope: str, metrics: list[str]) -> DataFr
 
     Works on the value histogram: a band is a property of a value, so rows are read once and never joined.
     """
-    hist = value_histogram(rows, scope, metrics)
-    cuts = hist.groupBy("metric").agg(F.expr("percentile(value, array(0.7, 0.8, 0.9), cnt)").alias("p"))
+    hist = cut(value_histogram(rows, scope, metrics))
+    cuts = quantiles(hist.groupBy("metric", "value").agg(F.sum("cnt").alias("cnt")), ["metric"], [0.7, 0.8, 0.9]).select("metric", "p")
     banded = hist.join(F.broadcast(cuts), "metric")  # a row per metric
     band = value_band(F.col("value"), *(F.col("p")[i] for i in range(3)))
     counts = banded.groupBy("group", "metric").agg(*(F.sum(F.when(band == b, F.col("cnt")).otherwise(0)).alias(b) for b in BANDS))
@@ -58,11 +60,12 @@ def quantile_labels(rows: DataFrame, value: str, labels: list[str]) -> DataFrame
     their upper edge, the first one also its lower; a single edge gives the first label. Null: null.
     """
     shares = [i / len(labels) for i in range(len(labels) + 1)]
-    edges = rows.agg(F.array_distinct(F.expr(f"percentile({value}, array({', '.join(map(repr, shares))}))")).alias("edges"))
+    hist = cut(value_histogram(rows.select(F.lit(1).alias("_all"), F.col(value).alias("_value")), "_all", ["_value"]))
+    edges = quantiles(hist, ["metric"], shares).select(F.array_distinct("p").alias("edges"))
     uppers = "slice(edges, 2, greatest(size(edges) - 1, 1))"
     at = F.expr(f"case when {value} is null then null when size(edges) = 1 then 1 else least(size(filter({uppers}, e -> e < {value})) + 1, size(edges) - 1) end")
     names = F.array(*map(F.lit, labels))
-    return rows.crossJoin(F.broadcast(edges)).withColumn("label", F.get(names, at - 1)).drop("edges")  # one row of edges
+    return rows.join(F.broadcast(edges), F.lit(True), "left").withColumn("label", F.get(names, at - 1)).drop("edges")  # one row of edges
 
 
 def job_category(jobs: Column) -> Column:
@@ -73,21 +76,15 @@ def job_category(jobs: Column) -> Column:
 def tertiles(rows: DataFrame, value: str, tie: list[str]) -> DataFrame:
     """Adds `tertile` by rank: simple up to 1 + (n - 1) / 3, moderate up to 1 + 2 (n - 1) / 3, else complex.
 
-    Equal values are told apart by `tie`. Ranks are counts of smaller values (from the histogram,
-    which is as small as its number of values) plus the place among equal ones, so no task orders all rows.
+    Equal values are told apart by `tie`. Rows are numbered in ranges of the order, so no task orders
+    all rows, or those of a value that many share.
     """
-    from weftline.operators.histogram import running
-
-    valued = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("value", F.col(value).cast("double"))
-    hist = valued.groupBy("value").agg(F.count("*").alias("cnt")).withColumn("one", F.lit(1))
-    below = running(hist, ["one"]).select("value", "before")
-    n = hist.agg(F.sum("cnt").alias("n"))
-    place = F.row_number().over(Window.partitionBy("value").orderBy(*tie))
-    r = F.col("before") + F.col("place")
-    third = (F.col("n") - 1) / 3.0
-    out = valued.withColumn("place", place).join(below, "value").crossJoin(F.broadcast(n))  # one row
-    label = F.when(r <= 1 + third, "simple").when(r <= 1 + 2 * third, "moderate").otherwise("complex")
-    return out.withColumn("tertile", label).drop("value", "place", "before", "n")
+    valued = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    ranked = numbered(valued, [], [F.col(value), *map(F.col, tie)], "_rank")
+    n = valued.agg(F.count("*").alias("_n"))
+    third = (F.col("_n") - 1) / 3.0
+    label = F.when(F.col("_rank") <= 1 + third, "simple").when(F.col("_rank") <= 1 + 2 * third, "moderate").otherwise("complex")
+    return ranked.crossJoin(F.broadcast(n)).withColumn("tertile", label).drop("_rank", "_n")  # one row
 
 
 def band_crosstab(rows: DataFrame, group: str, band: Column, labels: tuple[str, ...] = BANDS) -> DataFrame:

@@ -5,26 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.histogram import value_histogram
+from weftline.operators.histogram import quantiles, value_histogram
 from weftline.operators.scopes import with_overall
+from weftline.session import cut
 
 
 def descriptives(rows: DataFrame, scope: str, metrics: list[str]) -> DataFrame:
     """scope, metric, n, mean, median, std, min, p70, p80, p90, max, iqr, cv (0 where the mean is 0).
 
-    Every figure comes from the value histogram. std is null for a single value.
+    Every figure comes from the value histogram; the deviation from squares around the mean, so large
+    values with little spread keep their digits. std is null for a single value.
     """
-    hist = with_overall(value_histogram(rows, scope, metrics), "group", ["metric", "value"], ["cnt"])
-    figures = hist.groupBy("group", "metric").agg(
-        F.sum("cnt").alias("n"),
-        F.sum(F.col("value") * F.col("cnt")).alias("s1"),
-        F.sum(F.col("value") * F.col("value") * F.col("cnt")).alias("s2"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.expr("percentile(value, array(0.25, 0.5, 0.7, 0.75, 0.8, 0.9), cnt)").alias("p"),
-    )
-    mean = F.col("s1") / F.col("n")
-    std = F.when(F.col("n") > 1, F.sqrt(F.greatest((F.col("s2") - F.col("n") * mean * mean) / (F.col("n") - 1.0), F.lit(0.0))))
+    hist = cut(with_overall(value_histogram(rows, scope, metrics), "group", ["metric", "value"], ["cnt"]))
+    keys = ["group", "metric"]
+    figures = quantiles(hist, keys, [0.25, 0.5, 0.7, 0.75, 0.8, 0.9], others=[F.sum(F.col("value") * F.col("cnt")).alias("s1"), F.min("value").alias("min"), F.max("value").alias("max")])
+    figures = figures.withColumn("avg", F.col("s1") / F.col("n"))
+    squares = hist.join(figures.select(*keys, "avg"), keys).groupBy(*keys).agg(F.sum(F.pow(F.col("value") - F.col("avg"), F.lit(2)) * F.col("cnt")).alias("s2"))
+    figures = figures.join(squares, keys)
+    mean = F.col("avg")
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("s2") / (F.col("n") - 1.0)))
     p = {q: F.col("p")[i] for i, q in enumerate((25, 50, 70, 75, 80, 90))}
     shown = {"mean": mean, "median": p[50], "std": std, "min": F.col("min"), "p70": p[70], "p80": p[80], "p90": p[90], "max": F.col("max"), "iqr": p[75] - p[25], "cv": F.when(mean == 0, 0.0).otherwise(std / F.nullif(mean, F.lit(0.0)))}
     return figures.select(F.col("group").alias(scope), "metric", "n", *(F.round(c, 4).alias(k) for k, c in shown.items()))

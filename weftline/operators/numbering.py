@@ -22,7 +22,7 @@ def numbered(rows: DataFrame, keys: list[str], order: list[Column], out: str = "
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     ranged = cut(wide.repartitionByRange(parts, *names[0], *names[1]).withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy("_range", *names[0]).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*names[0]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*(names[0] or [F.lit(1)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # a row per range, and per key and range where keys are many
     offsets = cut(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("_range").alias("_r"), *(F.col(n).alias(f"{n}_") for n in names[0]), "_before"))
     within = Window.partitionBy("_range", *names[0]).orderBy(*names[1])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from weftline.functions.numbers import ratio
 from weftline.functions.text import canonical_language
 from weftline.operators import bands, describe, stats
-from weftline.operators.histogram import value_histogram
+from weftline.operators.histogram import quantiles, value_histogram
+from weftline.session import cut
 from weftline.sources.tables import table
 
 #: The metrics of a workflow: counts, ratios and yes-or-no features. Fixed values.
@@ -87,12 +88,12 @@ def kruskal_wallis(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mann_whitney_cliffs(spark: SparkSession, folder: str) -> DataFrame:
-    """The p-values rest on erfc, which SQL lacks; tests cover them."""
     return stats.mann_whitney(_hist(spark, folder)).drop("p_value", "p_formatted")
 
 
 def mann_whitney_p(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.mann_whitney(_hist(spark, folder)).select("metric", "group_1", "group_2", "z", "p_value", "p_formatted")
+    found = stats.mann_whitney(_hist(spark, folder)).select("metric", "group_1", "group_2", "z", "p_value", "p_formatted")
+    return found.withColumn("p_value", F.round("p_value", 10))
 
 
 def chi_square_omnibus(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,7 +101,7 @@ def chi_square_omnibus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fisher_exact_cohens_h(spark: SparkSession, folder: str) -> DataFrame:
-    """The binary features of one day's workflows, per pair of languages."""
+    """The binary features of all workflows and days, per pair of languages."""
     rows = _metrics(spark, folder)
     return stats.fisher(stats.contingency(rows, "language", list(BINARY)))
 
@@ -113,9 +114,8 @@ def kde_log1p(spark: SparkSession, folder: str) -> DataFrame:
 
 def group_medians(spark: SparkSession, folder: str) -> DataFrame:
     """language, metric, median, mean: what the plots of groups show."""
-    hist = _hist(spark, folder)
-    out = hist.groupBy("group", "metric").agg(F.expr("percentile(value, 0.5, cnt)").alias("median"), (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"))
-    return out.select(F.col("group").alias("language"), "metric", F.round("median", 4).alias("median"), F.round("mean", 4).alias("mean"))
+    found = quantiles(cut(_hist(spark, folder)), ["group", "metric"], [0.5], others=[(F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean")])
+    return found.select(F.col("group").alias("language"), "metric", F.round(F.col("p")[0], 4).alias("median"), F.round("mean", 4).alias("mean"))
 
 
 def quantile_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,8 +205,16 @@ ORACLES = {
     "mann_whitney_cliffs": f"""
         {_RANKS}, {_PAIRS},
         d AS (SELECT *, 2 * u / (n1::DOUBLE * n2) - 1 AS d FROM w)
-        SELECT metric, group_1, group_2, n1, n2, median1, median2, u, round((greatest(u, n1::DOUBLE * n2 - u) - n1::DOUBLE * n2 / 2 - 0.5) / sd, 6) AS z, round(d, 6) AS delta,
+        SELECT metric, group_1, group_2, n1, n2, median1, median2, median1 - median2 AS median_diff, u, round((greatest(u, n1::DOUBLE * n2 - u) - n1::DOUBLE * n2 / 2 - 0.5) / sd, 6) AS z, round(d, 6) AS delta,
                CASE WHEN abs(d) < 0.147 THEN 'negligible' WHEN abs(d) < 0.33 THEN 'small' WHEN abs(d) < 0.474 THEN 'medium' ELSE 'large' END AS effect FROM d""",
+    # 2 (1 - Phi(z)): exp(-z^2 / 2) sqrt(2 / pi) times the integral of exp(-z t - t^2 / 2), by Simpson's rule
+    "mann_whitney_p": f"""
+        {_RANKS}, {_PAIRS},
+        z AS (SELECT metric, group_1, group_2, (greatest(u, n1::DOUBLE * n2 - u) - n1::DOUBLE * n2 / 2 - 0.5) / sd AS z FROM w),
+        m AS (SELECT *, greatest(z, 0) AS y, greatest(z, 1) AS m FROM z),
+        i AS (SELECT *, list_sum(list_transform(range(0, 4001), lambda k: (CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-y * k * 0.01 / m - (k * 0.01 / m) ** 2 / 2))) * 0.01 / 3 / m AS s FROM m),
+        v AS (SELECT *, least(1, exp(-y * y / 2) * sqrt(2 / pi()) * s) AS p FROM i)
+        SELECT metric, group_1, group_2, round(z, 6) AS z, round(p, 10) AS p_value, CASE WHEN p < 1e-4 THEN printf('%.4e', p) ELSE printf('%.4f', p) END AS p_formatted FROM v""",
     "chi_square_omnibus": f"""
         WITH {_BINARY},
         c AS (SELECT feature, language, count(*) FILTER (yes) AS y, count(*) FILTER (NOT yes) AS z FROM f WHERE language IS NOT NULL GROUP BY ALL),
