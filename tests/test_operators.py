@@ -66,9 +66,9 @@ def test_job_order_and_depth():
 
 
 def test_text_functions(spark):
-    rows = spark.createDataFrame([("a\r\nb\rc\n",), ("",), (None,), ("x",), ('q\\n"\n\r\\',)], "t string")
+    rows = spark.createDataFrame([("a\r\nb\rc\n",), ("",), (None,), ("x",), ('q\\n"\n\r\\',), ("\x00\\\x00\\\\n",)], "t string")
     out = rows.select(workflow.line_count(F.col("t")).alias("n"), workflow.unescaped(workflow.escaped(F.col("t"))).eqNullSafe(F.col("t")).alias("same"), workflow.escaped(F.col("t")).contains("\n").alias("fed")).collect()
-    assert [r.n for r in out] == [3, 0, 0, 1, 3] and all(r.same for r in out) and not any(r.fed for r in out)
+    assert [r.n for r in out] == [3, 0, 0, 1, 3, 1] and all(r.same for r in out) and not any(r.fed for r in out)
     langs = spark.createDataFrame([(" CPP\t",), ("c++",), ("PYTHON ",), ("Rust",), (None,)], "l string").select(canonical_language(F.col("l")).alias("l")).collect()
     assert [r.l for r in langs] == ["C++", "C++", "Python", None, None]
     paths = spark.createDataFrame([("x/o@r/a.yml",), ("D:\\s\\o@r\\.github\\workflows\\a.yml",), ("a.yml",), (None,)], "p string").select(workflow.project_of(F.col("p")).alias("p")).collect()
@@ -215,7 +215,7 @@ def test_samples(spark):
 
 def test_chains(spark):
     edges = [("a", 1, 2), ("a", 2, 3), ("a", 1, 3), ("a", 1, 2), ("b", 1, 2), ("c", 1, 2), ("c", 2, 1), ("d", 1, 2), ("d", 2, 3), ("d", 3, 2), ("e", None, 1)]
-    out = {r.g: (r.depth, r.cyclic) for r in dag.longest_chains(spark.createDataFrame(edges, "g string, x int, y int"), "g", "x", "y", 20).collect()}
+    out = {r.g: (r.depth, r.cyclic) for r in dag.longest_chains(spark.createDataFrame(edges, "g string, x int, y int"), "g", "x", "y").collect()}
     assert out == {"a": (3, False), "b": (2, False), "c": (None, True), "d": (None, True)}
 
 
@@ -286,23 +286,45 @@ def test_streaming(spark, tmp_path):
     assert sorted((r.id, r.num_steps) for r in out if r.id == 1) == [(1, 1), (1, 1)] and {r.status for r in out} == {"ok", "parse_error"}
 
 
+def test_pins(spark):
+    kinds = {"o/r": "unpinned", "o/r@" + "A1b2" * 10: "sha", "o/r@V1": "tag", "o/r@v1.2-rc": "tag", "o/r@v1 ": "tag", "o/r@main": "branch", "o/r@feat/x@v2": "unpinned", "o/r@v1/x": "branch", "o/r@1.0": "unpinned", "o/r@": "unpinned"}
+    rows = spark.createDataFrame([(u,) for u in kinds], "u string")
+    assert {r.u: r.k for r in rows.select("u", F.expr(workflow.pin_kind("u")).alias("k")).collect()} == kinds
+
+
 def test_project_choice(spark):
     rows = spark.createDataFrame([("p", "p/z.yml"), ("p", "p/build.yml"), ("p", "p/ci.yml"), ("q", "q/b.yml"), ("q", "q/a.yml")], "project string, path string")
     out = {r.project: (r.path, r.workflows_in_project) for r in workflow.workflow_order(rows, "project", "path", ["ci.yml", "build.yml"]).collect()}
     assert out == {"p": ("p/ci.yml", 3), "q": ("q/a.yml", 2)}
 
 
-def test_long_chains(spark):
-    n = 1500
+@pytest.mark.parametrize("one_task", [100_000, 3])
+def test_long_chains(spark, one_task):
+    n = 600
     edges = [("chain", i, i + 1) for i in range(n)] + [("ring", i, (i + 1) % n) for i in range(n)] + [("tail", i, i + 1) for i in range(n)] + [("tail", n, n - 1), ("self", 1, 1)]
-    edges += [("fork", 0, 1), ("fork", 1, 2), ("fork", 2, 9), ("fork", 0, 9), ("fork", 9, 10), ("fork", 9, 11), ("fork", 11, 12), ("both", 1, 2), ("both", 5, 6), ("both", 6, 5)]
-    found = dag.longest_chains(spark.createDataFrame(edges, "g string, x int, y int"), "g", "x", "y").collect()
+    edges += [("fork", 0, 1), ("fork", 1, 2), ("fork", 2, 9), ("fork", 0, 9), ("fork", 9, 10), ("fork", 9, 11), ("fork", 11, 12), ("both", 1, 2), ("both", 5, 6), ("both", 6, 5), ("unreached", 1, 2), ("unreached", 3, 4), ("unreached", 4, 3)]
+    edges += [("ladder", i, j) for i in range(6) for j in (i + 1, i + 2)]
+    found = dag.longest_chains(spark.createDataFrame(edges, "g string, x int, y int"), "g", "x", "y", one_task).collect()
     out = {r.g: (r.depth, r.cyclic) for r in found}
-    assert out == {"chain": (n + 1, False), "ring": (None, True), "tail": (None, True), "self": (None, True), "fork": (6, False), "both": (None, True)}
-    ladder = [("l", i, j) for i in range(6) for j in (i + 1, i + 2)]
-    ladder = spark.createDataFrame(ladder, "g string, x int, y int")
-    assert [tuple(r) for r in dag.longest_chains(ladder, "g", "x", "y").collect()] == [("l", 7, False)]
-    assert [tuple(r) for r in dag.longest_chains(ladder, "g", "x", "y", 2).collect()] == [("l", None, None)]
+    assert out == {"chain": (n + 1, False), "ring": (None, True), "tail": (None, True), "self": (None, True), "fork": (6, False), "both": (None, True), "unreached": (None, True), "ladder": (7, False)}
+
+
+def test_walks_with_cycles():
+    import random
+
+    def tried(needs, in_cycle):
+        walk = lambda j, above: in_cycle if j in above else 1 + max((walk(x, above | {j}) for x in needs[j] if x in needs), default=0)
+        return max((walk(j, frozenset()) for j in needs), default=0)
+
+    rng = random.Random(1)
+    for _ in range(500):
+        needs = {str(i): [str(rng.randint(0, 8)) for _ in range(rng.randint(0, 3))] for i in range(rng.randint(0, 7))}
+        assert [workflow.chain_depth(needs, c) for c in (0, 1)] == [tried(needs, c) for c in (0, 1)], needs
+    began = time.perf_counter()
+    ladder = {f"{i}{s}": [f"{i + 1}a", f"{i + 1}b"] for i in range(60) for s in "ab"} | {"60a": ["60b"], "60b": ["60a"]}
+    assert workflow.chain_depth(ladder) == 62 and workflow.chain_depth(ladder | {"60a": ["0a"]}) > 60
+    assert workflow.chain_depth({str(i): [str(i + 1)] for i in range(20_000)}) == 20_000
+    assert time.perf_counter() - began < 2
 
 
 def test_samples_of_repeated_keys(spark):

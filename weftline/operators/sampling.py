@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.numbering import numbered
+from weftline.session import cut, small
+
 
 def lot(seed: str, key: Column) -> Column:
     """The text by whose order rows are drawn; the same in every engine that has md5."""
@@ -49,14 +52,15 @@ def stratified_sample(rows: DataFrame, key: str, group: str, stratum: str, size:
     """
     plan = allocate(rows, group, stratum, size)
     same = [F.col(group).eqNullSafe(F.col("_g")), F.col(stratum).eqNullSafe(F.col("_s"))]
-    planned = plan.where("wanted > 0").select(F.col(group).alias("_g"), F.col(stratum).alias("_s"), "available", "wanted")
+    planned = cut(plan.where("wanted > 0").select(F.col(group).alias("_g"), F.col(stratum).alias("_s"), "available", "wanted"))
     # behind every md5
-    drawn = rows.withColumn("_lot", F.coalesce(lot(seed, F.col(key)), F.lit("g"))).join(F.broadcast(planned), same)  # a row per stratum
+    drawn = rows.withColumn("_lot", F.coalesce(lot(seed, F.col(key)), F.lit("g"))).join(small(planned), same)  # a row per stratum
     # for distinct keys, the part of lots below a bound holds the wanted ones but for odds of far less than 1e-9
     bound = (F.col("wanted") + 8 * F.sqrt(F.col("wanted")) + 64) / F.col("available")
     near = F.coalesce(F.conv(F.when(F.col("_lot") < "g", F.substring("_lot", 1, 8)), 16, 10).cast("double") / 4294967296.0, F.lit(1.0)) <= bound
     enough = drawn.where(near).groupBy("_g", "_s").agg(F.count("*").alias("_near"), F.first("wanted").alias("_wanted")).where("_near >= _wanted").select(F.col("_g").alias("_eg"), F.col("_s").alias("_es"), F.lit(True).alias("_enough"))
-    drawn = drawn.join(F.broadcast(enough), F.col("_g").eqNullSafe(F.col("_eg")) & F.col("_s").eqNullSafe(F.col("_es")), "left")
+    enough = cut(enough)
+    drawn = drawn.join(small(enough), F.col("_g").eqNullSafe(F.col("_eg")) & F.col("_s").eqNullSafe(F.col("_es")), "left")
     place = Window.partitionBy("_g", "_s").orderBy("_lot", key)
     chosen = drawn.where(near | F.col("_enough").isNull()).withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= F.col("wanted"))
     return chosen.select(*rows.columns)
@@ -66,19 +70,22 @@ def replacements(sample: DataFrame, frame: DataFrame, key: str, group: str, stra
     """failed key, replacement key, level: for each failed row of the sample another row of the frame.
 
     The k-th failed row of a stratum gets the k-th unused, sound row of the stratum; those left over
-    get one of their group, then any. Rows are numbered by lot(); a failed row may stay without.
+    get one of their group, then any. Rows are numbered by lot() in ranges of its order, so no task
+    orders a whole stratum, and each level is written before the next begins. A failed row may stay
+    without; null groups and strata are matched with none.
     """
-    ordered = lambda *keys: Window.partitionBy(*keys).orderBy(lot(seed, F.col(key)), F.col(key))
-    need = sample.where(failed).select(F.col(key).alias("failed"), group, stratum, lot(seed, F.col(key)).alias("lot"))
+    order = [lot(seed, F.col(key)), F.col(key)]
+    need = sample.where(failed).select(F.col(key), group, stratum)
     spare = frame.where(~failed).join(sample.select(key), key, "left_anti").select(key, group, stratum)
-    most = need.count()  # failed rows of the sample
     done = None
     for level, keys in (("stratum", [group, stratum]), ("group", [group]), ("any", [])):
-        part = keys or [F.lit(1)]
-        a = need.withColumn("k", F.row_number().over(Window.partitionBy(*part).orderBy("lot", "failed")))
-        b = spare.withColumn("k", F.row_number().over(ordered(*part))).where(F.col("k") <= most)
-        hit = a.join(b.select(F.col(key).alias("replacement"), "k", *keys), ["k", *keys]).select("failed", "replacement", F.lit(level).alias("level"))
+        a = cut(numbered(need, keys, order).select(F.col(key).alias("failed"), "k", *keys))
+        most = a.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
+        b = numbered(spare, keys, order).where(F.col("k") <= most)
+        hit = cut(a.join(b.select(F.col(key).alias("replacement"), "k", *keys), ["k", *keys]).select("failed", "replacement", F.lit(level).alias("level")))
         done = hit if done is None else done.unionByName(hit)
-        need = need.join(hit.select("failed"), "failed", "left_anti")
+        need = need.join(hit.select(F.col("failed").alias(key)), key, "left_anti")
         spare = spare.join(hit.select(F.col("replacement").alias(key)), key, "left_anti")
+        if need.isEmpty():
+            break
     return done

@@ -63,24 +63,74 @@ def job_order(needs: dict[str, list[str]]) -> list[str]:
     return out
 
 
+#: Jobs of a tangle (jobs that all lie on cycles with each other) whose walks are tried one by one.
+TANGLE = 10
+
+
+def _tangles(needs: dict[str, list[str]]) -> list[list[str]]:
+    """The jobs in groups that reach each other, those that are needed first; one by one where there is no cycle."""
+    number: dict[str, int] = {}
+    least: dict[str, int] = {}
+    held: list[str] = []
+    inside: set[str] = set()
+    out = []
+    for first in needs:
+        if first in number:
+            continue
+        todo = [(first, iter(needs[first]))]
+        number[first] = least[first] = len(number)
+        held.append(first)
+        inside.add(first)
+        while todo:
+            at, rest = todo[-1]
+            for x in rest:
+                if x not in needs:
+                    continue
+                if x not in number:
+                    number[x] = least[x] = len(number)
+                    held.append(x)
+                    inside.add(x)
+                    todo.append((x, iter(needs[x])))
+                    break
+                if x in inside:
+                    least[at] = min(least[at], number[x])
+            else:
+                todo.pop()
+                if todo:
+                    least[todo[-1][0]] = min(least[todo[-1][0]], least[at])
+                if least[at] == number[at]:
+                    group = []
+                    while not group or group[-1] != at:
+                        group.append(held.pop())
+                    inside.difference_update(group)
+                    out.append(group)
+    return out
+
+
 def chain_depth(needs: dict[str, list[str]], in_cycle: int = 0) -> int:
     """The number of jobs on the longest chain of needs; unknown jobs do not count, and meeting a job
-    of the chain again counts `in_cycle`. Linear where there are no cycles."""
-    known: dict[str, int] = {}
+    of the chain again counts `in_cycle`.
+
+    Linear, but for jobs on cycles: in a tangle of up to TANGLE jobs every walk is tried; of a larger
+    one, whose longest walk cannot be found in reasonable time, all jobs count, which no walk exceeds.
+    """
+    depth: dict[str, int] = {}
+    for group in _tangles(needs):
+        own = set(group)
+        below = {j: max((depth[x] for x in needs[j] if x in depth), default=0) for j in group}
+        if len(group) == 1:
+            (j,) = group
+            depth[j] = 1 + max(below[j], in_cycle if j in needs[j] else 0)
+        elif len(group) > TANGLE:
+            depth.update(dict.fromkeys(group, len(group) + max(in_cycle, *below.values())))
+        else:
+            inner = {j: [x for x in needs[j] if x in own] for j in group}
 
-    def depth(job: str, above: frozenset) -> tuple[int, bool]:
-        if job in above:
-            return in_cycle, True
-        if job in known:
-            return known[job], False
-        found = [depth(x, above | {job}) for x in needs[job] if x in needs]
-        deepest = max((d for d, _ in found), default=0) + 1
-        looped = any(c for _, c in found)
-        if not looped:
-            known[job] = deepest
-        return deepest, looped
+            def walk(j: str, seen: frozenset) -> int:
+                return 1 + max([below[j], *(in_cycle if x in seen else walk(x, seen | {x}) for x in inner[j])])  # noqa: B023
 
-    return max((depth(j, frozenset())[0] for j in needs), default=0)
+            depth.update({j: walk(j, frozenset({j})) for j in group})
+    return max(depth.values(), default=0)
 
 
 def _events(on) -> tuple[list[str], list[str]]:
@@ -136,7 +186,7 @@ def parse_document(text: str | None) -> dict:
     try:
         doc = yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
     except Exception as error:  # whatever the parser meets, the file is set aside
-        return out | {"status": "parse_error", "error": str(error)[:2000]}
+        return out | {"status": "parse_error", "error": str(error)}
     if not isinstance(doc, dict):
         return out | {"status": "not_mapping", "error": f"top level is {type(doc).__name__}"}
     jobs = doc.get("jobs")
@@ -153,7 +203,7 @@ def parse_document(text: str | None) -> dict:
             "jobs": [_job(k, v) for k, v in jobs.items()],
         }
     except Exception as error:
-        return out | {"status": "extract_error", "error": f"{type(error).__name__}: {error}"[:2000]}
+        return out | {"status": "extract_error", "error": f"{type(error).__name__}: {error}"}
 
 
 def parsed(text: Column) -> Column:
@@ -192,11 +242,13 @@ def escaped(text: Column) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    """Undoes escaped()."""
-    out = F.replace(text, F.lit("\\\\"), F.lit("\u0000"))
-    for plain, shown in (("\n", "\\n"), ("\r", "\\r"), ("\\", "\u0000")):
-        out = F.replace(out, F.lit(shown), F.lit(plain))
-    return out
+    """Undoes escaped().
+
+    Between doubled backslashes no backslash stands for itself, so the parts are undone one by one.
+    """
+    parts = F.split(text, r"\\\\", -1)
+    plain = F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.when(text.isNotNull(), F.array_join(plain, "\\"))
 
 
 def metrics(doc: str, text: str) -> dict[str, Column]:
@@ -241,9 +293,12 @@ def metrics(doc: str, text: str) -> dict[str, Column]:
 
 
 def pin_kind(uses: str) -> str:
-    """SQL for how a `uses` (an expression) is pinned: sha, tag, branch or unpinned."""
-    ref = f"element_at(split({uses}, '@'), -1)"
-    return f"case when not contains({uses}, '@') then 'unpinned' when {ref} rlike '^[0-9a-f]{{40}}$' then 'sha' when {ref} rlike '^v[0-9]' then 'tag' when {ref} rlike '^[A-Za-z][A-Za-z0-9_./-]*$' then 'branch' else 'unpinned' end"
+    """SQL for how a `uses` (an expression) is pinned: sha, tag, branch or unpinned, by all that follows its first @ but for blanks around it."""
+    ref = f"trim(substring({uses}, locate('@', {uses}) + 1))"
+    return (
+        f"case when not contains({uses}, '@') then 'unpinned' when {ref} rlike '^(?i)[0-9a-f]{{40}}$' then 'sha' when {ref} rlike '^(?i)v[0-9][A-Za-z0-9_.-]*$' then 'tag' "
+        f"when {ref} rlike '^[A-Za-z][A-Za-z0-9_./-]*$' then 'branch' else 'unpinned' end"
+    )
 
 
 def profile(doc: str) -> dict[str, Column]:

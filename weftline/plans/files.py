@@ -183,7 +183,9 @@ ORACLES = {
     "line_count": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents)
         SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, chr(10), '')) + CASE WHEN right(t, 1) = chr(10) THEN 0 ELSE 1 END END AS lines FROM t""",
-    "escape_roundtrip": r"""SELECT doc_id, length(replace(replace(replace(text, '\', '\\'), chr(10), '\n'), chr(13), '\r')) AS length, true AS same FROM documents""",
+    "escape_roundtrip": r"""
+        WITH e AS (SELECT doc_id, text, replace(replace(replace(text, '\', '\\'), chr(10), '\n'), chr(13), '\r') AS line FROM documents)
+        SELECT doc_id, length(line) AS length, array_to_string(list_transform(string_split(line, '\\'), lambda x: replace(replace(x, '\n', chr(10)), '\r', chr(13))), '\') IS NOT DISTINCT FROM text AS same FROM e""",
     "stateful_line_scan": rf"""
         WITH t AS (SELECT row_number() OVER () AS i, workflow_id, collected_at, coalesce(full_workflow_yaml, '') AS text FROM yaml_reference),
         l AS (SELECT i, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM t),
@@ -194,9 +196,9 @@ ORACLES = {
     "action_usage_distinct": r"""
         WITH t AS (SELECT workflow_id, collected_at, regexp_extract_all(coalesce(full_workflow_yaml, ''), 'uses: ([A-Za-z0-9_./-]+@[A-Za-z0-9_./-]+)', 1) AS u FROM yaml_reference)
         SELECT workflow_id, collected_at, len(u) AS uses, len(list_distinct(list_transform(u, lambda x: split_part(x, '@', 1)))) AS actions,
-               len(list_filter(list_distinct(u), lambda x: regexp_matches(x, '@[0-9a-f]{40}$'))) AS pinned_sha,
-               len(list_filter(list_distinct(u), lambda x: regexp_matches(x, '@v[0-9]'))) AS pinned_tag,
-               len(list_filter(list_distinct(u), lambda x: NOT regexp_matches(x, '@[0-9a-f]{40}$') AND NOT regexp_matches(x, '@v[0-9]') AND regexp_matches(x, '@[A-Za-z]'))) AS pinned_branch FROM t""",
+               len(list_filter(list_distinct(u), lambda x: regexp_matches(x, '(?i)@[0-9a-f]{40}$'))) AS pinned_sha,
+               len(list_filter(list_distinct(u), lambda x: regexp_matches(x, '(?i)@v[0-9][a-z0-9_.-]*$'))) AS pinned_tag,
+               len(list_filter(list_distinct(u), lambda x: NOT regexp_matches(x, '(?i)@[0-9a-f]{40}$') AND NOT regexp_matches(x, '(?i)@v[0-9][a-z0-9_.-]*$') AND regexp_matches(x, '@[A-Za-z]'))) AS pinned_branch FROM t""",
     "yaml_roundtrip_metrics": """
         WITH j AS (SELECT l_orderkey, l_suppkey, count(*) AS k, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY ALL),
         o AS (SELECT l_orderkey, count(*) AS jobs, sum(k)::BIGINT AS steps, max(k) AS m, sum(r)::BIGINT AS c FROM j GROUP BY 1),
