@@ -24,14 +24,6 @@ def first_occurrences(labels: Column) -> Column:
     return F.array_distinct(labels)
 
 
-def display_label(label: Column, names: dict[str, str] | None = None) -> Column:
-    """The display name of a label: that of `names`, else its words in title case, else (with a blank) itself."""
-    out = F.when(label.contains(" "), label).otherwise(F.initcap(F.replace(label, F.lit("_"), F.lit(" "))))
-    for name, shown in (names or {}).items():
-        out = F.when(label == name, shown).otherwise(out)
-    return out
-
-
 def merged(rows: DataFrame, scope: str, labels: str) -> DataFrame:
     """scope, labels, w: equal non-empty sequences of a scope with their number. All counts below start here."""
     return rows.select(F.col(scope).alias("scope"), F.col(labels).alias("labels")).where("size(labels) > 0").groupBy("scope", "labels").agg(F.count("*").alias("w"))

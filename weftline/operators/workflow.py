@@ -17,7 +17,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from weftline.functions.numbers import ratio
 
-STEP = "struct<name: string, uses: string, run: string, has_if: boolean, continue_on_error: boolean, cache_key: string>"
+STEP = "struct<is_mapping: boolean, name: string, uses: string, run: string, has_if: boolean, continue_on_error: boolean, cache_key: string>"
 JOB = (
     "struct<job_id: string, is_mapping: boolean, has_if: boolean, needs: array<string>, uses: string, runs_on: string, permissions_json: string, "
     f"has_timeout: boolean, matrix_dims: array<int>, matrix_include: int, matrix_exclude: int, has_matrix: boolean, steps: array<{STEP}>>"
@@ -146,12 +146,12 @@ def _text(x) -> str | None:
 
 def _step(step) -> dict:
     if not isinstance(step, dict):
-        return {"name": None, "uses": None, "run": _text(step), "has_if": False, "continue_on_error": False, "cache_key": None}
+        return {"is_mapping": False, "name": None, "uses": None, "run": None, "has_if": False, "continue_on_error": False, "cache_key": None}
     uses, given = step.get("uses"), step.get("with")
     if uses is not None and not isinstance(uses, str):
         raise TypeError("uses is no text")
     key = given.get("key") if isinstance(given, dict) else None
-    return {"name": _text(step.get("name")), "uses": uses, "run": _text(step.get("run")), "has_if": "if" in step, "continue_on_error": step.get("continue-on-error") is True, "cache_key": _text(key)}
+    return {"is_mapping": True, "name": _text(step.get("name")), "uses": uses, "run": _text(step.get("run")), "has_if": "if" in step, "continue_on_error": step.get("continue-on-error") is True, "cache_key": _text(key)}
 
 
 def _job(name, job) -> dict:
@@ -305,8 +305,9 @@ def profile(doc: str) -> dict[str, Column]:
     """The profile of a parsed document of prepared() files: events, caches, modularity, pins, commands."""
     jobs, steps, uses = "_jobs", "_steps", "_uses"
     called = f"filter(transform({jobs}, j -> j.uses), u -> u is not null)"
-    caches = f"filter({steps}, s -> contains(s.uses, 'actions/cache'))"
-    pinned = f"array_distinct(filter({uses}, u -> u not like './%'))"
+    caches = f"filter({steps}, s -> contains(lower(s.uses), 'actions/cache'))"
+    keys = f"filter(transform({caches}, s -> trim(s.cache_key)), k -> k <> '')"
+    pinned = f"array_distinct(filter(transform({uses}, u -> trim(u)), u -> u not like './%'))"
     e = F.expr
     out = {
         "events": e(f"array_join({doc}.events, ', ')"),
@@ -314,25 +315,53 @@ def profile(doc: str) -> dict[str, Column]:
         "schedule_pattern": e(f"array_join({doc}.crons, ' | ')"),
         **{f"has_{k}": e(f"cast(array_contains({doc}.events, '{k}') as int)") for k in ("push", "pull_request", "schedule", "workflow_dispatch")},
         "dependency_depth": F.col(f"{doc}.cycle_depth"),
+        "uses_cache": e(f"cast(size({caches}) > 0 as int)"),
         "cache_count": e(f"size({caches})"),
-        "cache_keys": e(f"array_join(array_distinct(filter(transform({caches}, s -> s.cache_key), k -> k is not null)), ' | ')"),
+        "num_cache_keys": e(f"size({keys})"),
+        "cache_keys": e(f"array_join({keys}, ' | ')"),
         "reusable_workflow_count": e(f"size(filter({called}, u -> contains(u, '.github/workflows') or contains(u, '@')))"),
         "local_action_count": e(f"size(filter({uses}, u -> u like './%'))"),
-        "composite_action_count": e(f"size(filter({uses}, u -> u not like './%' and contains(u, '.github/actions')))"),
+        "composite_action_count": e(f"size(filter({uses}, u -> u not like './%' and contains(lower(u), '.github/actions')))"),
         "has_chained_commands": e(f"cast(exists({steps}, s -> coalesce(s.run rlike '&&|;', false)) as int)"),
-        "external_actions_count": e(f"size(array_distinct(filter({uses}, u -> u not like './%' and contains(u, '/'))))"),
+        "external_actions_count": e(f"size({pinned})"),
         "total_actions": e(f"size({pinned})"),
     }
+    counts = {"uses_reusable_workflows": "reusable_workflow_count", "uses_composite_actions": "composite_action_count", "uses_local_actions": "local_action_count"}
+    out |= {flag: (out[count] > 0).cast("int") for flag, count in counts.items()}
+    out["total_modularity_constructs"] = sum((out[c] for c in counts.values()), F.lit(0))
     for kind, column in (("sha", "pinned_to_sha"), ("tag", "pinned_to_tag"), ("branch", "pinned_to_branch"), ("unpinned", "unpinned")):
         out[column] = e(f"size(filter({pinned}, u -> {pin_kind('u')} = '{kind}'))")
         out[f"{kind}_percentage"] = F.round(100 * ratio(out[column], out["total_actions"]), 1)
     return out
 
 
+def complexity(doc: str) -> dict[str, Column]:
+    """What a sampling frame keeps of a parsed document of prepared() files: jobs, steps, actions, commands, matrices, conditions.
+
+    num_jobs counts all jobs, num_steps only steps that are mappings.
+    """
+    jobs, steps = "_jobs", "filter(_steps, s -> s.is_mapping)"
+    e = F.expr
+    return {
+        "num_jobs": e(f"size({doc}.jobs)"),
+        "num_steps": e(f"size({steps})"),
+        "max_steps_per_job": e(f"coalesce(array_max(transform({jobs}, j -> size(j.steps))), 0)"),
+        "num_actions_used": e("size(_uses)"),
+        "num_run_commands": e(f"size(filter({steps}, s -> s.run is not null))"),
+        "num_unique_actions": e("size(array_distinct(transform(_uses, u -> substring_index(u, '@', 1))))"),
+        "has_matrix": e(f"exists({jobs}, j -> j.has_matrix)"),
+        "has_conditions": e(f"exists({jobs}, j -> j.has_if) or exists({steps}, s -> s.has_if)"),
+        "job_names": e(f"array_join(transform({doc}.jobs, j -> j.job_id), ', ')"),
+    }
+
+
 def step_name(step: str) -> str:
-    """SQL for what a step (an expression) is called: its name, its action without version, or the first 60 characters of its command."""
-    first = f"trim(split({step}.run, '\\n')[0])"
-    return f"coalesce(nullif(trim({step}.name), ''), substring_index({step}.uses, '@', 1), case when length({first}) > 60 then concat(left({first}, 60), '...') else nullif({first}, '') end, 'unnamed_step')"
+    """SQL for what a step (an expression) is called: its name, its action without version, or the first line of its command up to 60 characters."""
+    first = f"split(regexp_replace({step}.run, '^\\\\s+|\\\\s+$', ''), '\\r\\n?|\\n')[0]"
+    return (
+        f"case when not {step}.is_mapping then 'unknown' when {step}.name <> '' then trim({step}.name) when {step}.uses is not null then trim(substring_index({step}.uses, '@', 1)) "
+        f"when {step}.run is not null then concat(left({first}, 60), case when length({first}) > 60 then '...' else '' end) else 'unnamed_step' end"
+    )
 
 
 def project_of(path: Column) -> Column:
@@ -343,8 +372,6 @@ def project_of(path: Column) -> Column:
 
 def workflow_order(rows: DataFrame, project: str, path: str, preferred: Iterable[str]) -> DataFrame:
     """Adds workflows_in_project and keeps one row per project: the most preferred file name, then the first path."""
-    from pyspark.sql import Window
-
     name = F.lower(F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1))
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, preferred)), name), F.lit(0))
     order = F.struct(F.when(rank == 0, 100).otherwise(rank), F.col(path))

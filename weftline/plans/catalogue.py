@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftline.plans import files, metrics, sequence
+from weftline.plans import files, metrics, roundtrip, sequence
 
-_PARTS = (metrics, sequence, files)
+_PARTS = (metrics, sequence, files, roundtrip)
 QUERIES = {name: run for part in _PARTS for name, run in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.numbers import share
 from weftline.functions.text import canonical_language
-from weftline.operators import sequences
+from weftline.operators import classify, labels, sequences
 from weftline.operators.scopes import with_overall
 from weftline.sources.tables import table
 
@@ -81,8 +81,10 @@ def non_first_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_display(spark: SparkSession, folder: str) -> DataFrame:
-    labels = table(spark, folder, "step_labels")
-    return labels.select("label_key", sequences.display_label(F.col("label_key"), {"type_check": "Check Types"}).alias("shown"))
+    """label_key, shown: every key of step_labels, and every label of the study, as it is displayed."""
+    known = spark.createDataFrame([(x,) for x in sorted({*labels.LABELS, *labels.DISPLAY})], "label_key string")
+    keys = table(spark, folder, "step_labels").select("label_key").unionByName(known)
+    return keys.select("label_key", classify.shown(F.col("label_key")).alias("shown"))
 
 
 def trigger_x_construct(spark: SparkSession, folder: str) -> DataFrame:
@@ -221,8 +223,9 @@ ORACLES = {
     "non_first_filter": f"""
         WITH {_SEQ}, c AS (SELECT language, labels[1] AS first_step, count(*) AS count FROM s WHERE labels[1] <> 'Fetch Sources' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY count DESC, first_step) AS rank FROM c)
         SELECT * FROM r WHERE rank <= 20""",
-    "label_display": """
-        SELECT label_key, CASE WHEN label_key = 'type_check' THEN 'Check Types' ELSE array_to_string(list_transform(string_split(label_key, '_'), lambda x: upper(x[1]) || x[2:]), ' ') END AS shown FROM step_labels""",
+    "label_display": f"""
+        WITH k AS (SELECT label_key FROM step_labels UNION ALL SELECT unnest({sorted({*labels.LABELS, *labels.DISPLAY})})), d AS (SELECT unnest({list(labels.DISPLAY)}) AS label_key, unnest({list(labels.DISPLAY.values())}) AS shown)
+        SELECT label_key, coalesce(d.shown, CASE WHEN contains(label_key, '_') THEN array_to_string(list_transform(string_split(label_key, '_'), lambda x: upper(x[1]) || x[2:]), ' ') ELSE label_key END) AS shown FROM k LEFT JOIN d USING (label_key)""",
     "trigger_x_construct": " UNION ALL ".join(
         f"""SELECT '{t}' AS trigger, '{c}' AS construct, round(100.0 * count(*) FILTER ({t} = 1 AND {c} = 1) / count(*) FILTER ({t} = 1), 2) AS pct_with, round(100.0 * count(*) FILTER ({t} = 0 AND {c} = 1) / count(*) FILTER ({t} = 0), 2) AS pct_without,
             count(*) FILTER ({t} = 1) AS n_with, count(*) FILTER ({t} = 0) AS n_without,
