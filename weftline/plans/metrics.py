@@ -129,26 +129,74 @@ def complexity_tertiles(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("workflow_id", "num_steps", "tertile", bands.job_category(F.col("num_jobs")).alias("job_category"))
 
 
+#: What is tested of the profiles of workflows. Fixed values.
+PROFILE_NUMERIC = ("sequence_length", "num_steps_total", "completeness_score", "num_jobs", "avg_steps_per_job", "dependency_depth", "external_actions_count", "sha_percentage")
+PROFILE_BINARY = ("has_checkout", "has_setup", "has_test", "has_build", "uses_cache", "uses_reusable_workflows", "uses_composite_actions", "has_push", "has_pull_request", "has_schedule", "has_workflow_dispatch", "any_sha_pinned")
+
+
+def _profiles(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "processed_workflows").withColumn("language", canonical_language(F.col("language")))
+    return rows.where("language is not null").withColumn("any_sha_pinned", (F.coalesce("pinned_to_sha", F.lit(0)) > 0).cast("int"))
+
+
+def profile_kruskal(spark: SparkSession, folder: str) -> DataFrame:
+    found = stats.kruskal_wallis(cut(value_histogram(_profiles(spark, folder), "language", list(PROFILE_NUMERIC))))
+    return found.withColumn("p_value", F.round("p_value", 8))
+
+
+def profile_rank_tests(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.mann_whitney(value_histogram(_profiles(spark, folder), "language", list(PROFILE_NUMERIC))).drop("p_value", "p_formatted")
+
+
+def profile_chi_square(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.chi_square(stats.contingency(_profiles(spark, folder), "language", list(PROFILE_BINARY)))
+
+
+def profile_proportion_tests(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.fisher(stats.contingency(_profiles(spark, folder), "language", list(PROFILE_BINARY)))
+
+
+def notable_tests(spark: SparkSession, folder: str) -> DataFrame:
+    """kind, tests, notable: how many pairs of languages were compared, and with more than a negligible effect."""
+    effect = F.col("effect").isin("small", "medium", "large")
+    kinds = (("rank", profile_rank_tests(spark, folder)), ("proportion", profile_proportion_tests(spark, folder)))
+    parts = [found.agg(F.lit(k).alias("kind"), F.count("*").alias("tests"), F.count_if(effect).alias("notable")) for k, found in kinds]
+    return parts[0].unionByName(parts[1])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        metrics_per_order, band_distribution_scoped, percentile_cuts, value_bands, fixed_bands_range_join, descriptives_scoped, binary_stats_scoped, band_crosstab_pct, value_histogram_steps,
+        profile_kruskal, profile_rank_tests, profile_chi_square, profile_proportion_tests, notable_tests, metrics_per_order, band_distribution_scoped, percentile_cuts, value_bands, fixed_bands_range_join, descriptives_scoped, binary_stats_scoped, band_crosstab_pct, value_histogram_steps,
         kruskal_wallis, mann_whitney_cliffs, mann_whitney_p, chi_square_omnibus, fisher_exact_cohens_h, kde_log1p, group_medians, quantile_labels, complexity_tertiles,
     )
 }
 
 _LANG = "CASE lower(trim(language, E' \\t\\n\\r')) WHEN 'python' THEN 'Python' WHEN 'java' THEN 'Java' WHEN 'c++' THEN 'C++' WHEN 'cpp' THEN 'C++' END"
-_LONG = f"""
-    l AS (SELECT {_LANG} AS language, {", ".join(f"{m}::DOUBLE AS {m}" for m in NUMERIC)} FROM workflow_metrics),
-    u AS (UNPIVOT l ON {", ".join(NUMERIC)} INTO NAME metric VALUE value),
+
+
+def _long(rows: str, numeric: tuple[str, ...]) -> str:
+    return f"""
+    l AS (SELECT {_LANG} AS language, {", ".join(f"{m}::DOUBLE AS {m}" for m in numeric)} FROM {rows}),
+    u AS (UNPIVOT l ON {", ".join(numeric)} INTO NAME metric VALUE value),
     o AS (SELECT language, metric, value FROM u WHERE value IS NOT NULL AND NOT isnan(value)),
     s AS (SELECT * FROM o WHERE language IS NOT NULL UNION ALL SELECT 'Overall', metric, value FROM o)"""
-_BINARY = f"""
-    b AS (SELECT {_LANG} AS language, {", ".join(f"coalesce({m}, false) AS {m}" for m in BINARY)} FROM workflow_metrics),
-    f AS (UNPIVOT b ON {", ".join(BINARY)} INTO NAME feature VALUE yes)"""
-_RANKS = f"""
-    WITH {_LONG},
+
+
+def _yes_no(rows: str, binary: tuple[str, ...]) -> str:
+    return f"""
+    b AS (SELECT {_LANG} AS language, {", ".join(f"coalesce({m}::BOOLEAN, false) AS {m}" for m in binary)} FROM {rows}),
+    f AS (UNPIVOT b ON {", ".join(binary)} INTO NAME feature VALUE yes)"""
+
+
+def _ranked(rows: str, numeric: tuple[str, ...]) -> str:
+    return f"""
+    WITH {_long(rows, numeric)},
     g AS (SELECT * FROM o WHERE language IS NOT NULL)"""
+
+
+_LONG, _BINARY, _RANKS = _long("workflow_metrics", NUMERIC), _yes_no("workflow_metrics", BINARY), _ranked("workflow_metrics", NUMERIC)
+_SHA = "(SELECT *, pinned_to_sha > 0 AS any_sha_pinned FROM processed_workflows)"
 _PAIRS = """
     n AS (SELECT metric, language, count(*) AS n, median(value) AS median FROM g GROUP BY ALL),
     p AS (SELECT a.metric, a.language AS group_1, b.language AS group_2, a.n AS n1, b.n AS n2, a.median AS median1, b.median AS median2 FROM n a JOIN n b ON a.metric = b.metric AND a.language < b.language),
@@ -157,6 +205,52 @@ _PAIRS = """
     k AS (SELECT *, sum(t) OVER (PARTITION BY metric, group_1, group_2 ORDER BY value) - t + (t + 1) / 2.0 AS rank FROM h),
     q AS (SELECT metric, group_1, group_2, sum(c1 * rank)::DOUBLE AS r1, sum(t::DOUBLE ** 3 - t) AS ties FROM k GROUP BY ALL),
     w AS (SELECT p.*, r1 - n1 * (n1 + 1) / 2.0 AS u, sqrt(n1::DOUBLE * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2)::DOUBLE * (n1 + n2 - 1)))) AS sd FROM p JOIN q USING (metric, group_1, group_2))"""
+def _kruskal_sql(ranks: str) -> str:
+    return f"""
+        {ranks},
+        h AS (SELECT metric, value, count(*) AS t FROM g GROUP BY ALL),
+        k AS (SELECT *, sum(t) OVER (PARTITION BY metric ORDER BY value) - t + (t + 1) / 2.0 AS rank FROM h),
+        c AS (SELECT metric, sum(t::DOUBLE ** 3 - t) AS ties FROM h GROUP BY 1),
+        r AS (SELECT metric, language, count(*) AS n, sum(rank)::DOUBLE AS r FROM g JOIN k USING (metric, value) GROUP BY 1, 2),
+        p AS (SELECT metric, count(*) AS groups, sum(n)::BIGINT AS n, sum(r * r / n) AS s FROM r GROUP BY 1),
+        x AS (SELECT metric, groups, n, (12.0 / (n::DOUBLE * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n::DOUBLE ** 3 - n)) AS h FROM p JOIN c USING (metric) WHERE groups > 2)
+        SELECT metric, groups, n, round(h, 3) AS h, round(exp(-h / 2), 8) AS p_value, exp(-h / 2) < 0.05 AS significant FROM x"""
+
+
+def _rank_sql(ranks: str) -> str:
+    return f"""
+        {ranks}, {_PAIRS},
+        d AS (SELECT *, 2 * u / (n1::DOUBLE * n2) - 1 AS d FROM w)
+        SELECT metric, group_1, group_2, n1, n2, median1, median2, median1 - median2 AS median_diff, u, round((greatest(u, n1::DOUBLE * n2 - u) - n1::DOUBLE * n2 / 2 - 0.5) / sd, 6) AS z, round(d, 6) AS delta,
+               CASE WHEN abs(d) < 0.147 THEN 'negligible' WHEN abs(d) < 0.33 THEN 'small' WHEN abs(d) < 0.474 THEN 'medium' ELSE 'large' END AS effect FROM d"""
+
+
+def _chi_sql(yes_no: str) -> str:
+    return f"""
+        WITH {yes_no},
+        c AS (SELECT feature, language, count(*) FILTER (yes) AS y, count(*) FILTER (NOT yes) AS z FROM f WHERE language IS NOT NULL GROUP BY ALL),
+        a AS (SELECT feature, sum(y)::DOUBLE AS ay, sum(z)::DOUBLE AS az FROM c GROUP BY 1),
+        e AS (SELECT c.*, ay, az, (y + z) * ay / (ay + az) AS e1, (y + z) * az / (ay + az) AS e0 FROM c JOIN a USING (feature)),
+        x AS (SELECT feature, count(*) AS groups, sum((y - e1) ** 2 / nullif(e1, 0) + (z - e0) ** 2 / nullif(e0, 0)) AS x, min(least(e1, e0)) AS l, any_value(ay) AS ay, any_value(az) AS az FROM e GROUP BY 1)
+        SELECT feature, groups, CASE WHEN ay = 0 OR az = 0 OR l < 5 THEN 0 ELSE round(x, 4) END AS statistic, CASE WHEN ay = 0 OR az = 0 THEN 1 WHEN l < 5 THEN NULL ELSE round(exp(-x / 2), 8) END AS p_value,
+               CASE WHEN ay = 0 OR az = 0 THEN 'no variation' WHEN l < 5 THEN 'expected count below 5' END AS note FROM x"""
+
+
+def _fisher_sql(yes_no: str) -> str:
+    return f"""
+        WITH {yes_no},
+        c AS (SELECT feature, language, count(*) FILTER (yes) AS y, count(*) FILTER (NOT yes) AS z FROM f WHERE language IS NOT NULL GROUP BY ALL),
+        p AS (SELECT a.feature, a.language AS group_1, b.language AS group_2, a.y AS y1, a.z AS z1, b.y AS y2, b.z AS z2 FROM c a JOIN c b ON a.feature = b.feature AND a.language < b.language WHERE a.y + b.y > 0 AND a.z + b.z > 0),
+        k AS (SELECT *, unnest(range(greatest(0, (y1 + y2) - (y2 + z2)), least(y1 + z1, y1 + y2) + 1)) AS k FROM p),
+        m AS (SELECT *, lgamma(y1 + z1 + 1) + lgamma(y2 + z2 + 1) + lgamma(y1 + y2 + 1) + lgamma(z1 + z2 + 1) - lgamma(y1 + z1 + y2 + z2 + 1)
+                     - lgamma(k + 1) - lgamma(y1 + z1 - k + 1) - lgamma(y1 + y2 - k + 1) - lgamma(z2 - y1 + k + 1) AS l FROM k),
+        o AS (SELECT feature, group_1, group_2, l AS seen FROM m WHERE k = y1),
+        s AS (SELECT feature, group_1, group_2, any_value(y1 / (y1 + z1)) AS p1, any_value(y2 / (y2 + z2)) AS p2, sum(exp(l)) FILTER (l <= seen + 1e-7) AS p FROM m JOIN o USING (feature, group_1, group_2) GROUP BY ALL),
+        h AS (SELECT *, 2 * (asin(sqrt(p1)) - asin(sqrt(p2))) AS h FROM s)
+        SELECT feature, group_1, group_2, round(least(p, 1), 8) AS p_value, round(100 * p1, 2) AS prop1_pct, round(100 * p2, 2) AS prop2_pct, round(h, 6) AS h,
+               CASE WHEN abs(h) < 0.2 THEN 'negligible' WHEN abs(h) < 0.5 THEN 'small' WHEN abs(h) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM h"""
+
+
 ORACLES = {
     "metrics_per_order": """
         WITH s AS (SELECT l_orderkey, l_suppkey, count(*) AS k, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY ALL),
@@ -193,20 +287,15 @@ ORACLES = {
         SELECT language, {", ".join(f"round(100.0 * {x} / (low + moderate + high + very_high), 2) AS {x}" for x in ("low", "moderate", "high", "very_high"))} FROM c""",
     "value_histogram_steps": f"""
         WITH {_LONG} SELECT language, metric, value, count(*) AS cnt FROM o WHERE metric IN ('num_steps', 'dependency_ratio') GROUP BY ALL""",
-    "kruskal_wallis": f"""
-        {_RANKS},
-        h AS (SELECT metric, value, count(*) AS t FROM g GROUP BY ALL),
-        k AS (SELECT *, sum(t) OVER (PARTITION BY metric ORDER BY value) - t + (t + 1) / 2.0 AS rank FROM h),
-        c AS (SELECT metric, sum(t::DOUBLE ** 3 - t) AS ties FROM h GROUP BY 1),
-        r AS (SELECT metric, language, count(*) AS n, sum(rank)::DOUBLE AS r FROM g JOIN k USING (metric, value) GROUP BY 1, 2),
-        p AS (SELECT metric, count(*) AS groups, sum(n)::BIGINT AS n, sum(r * r / n) AS s FROM r GROUP BY 1),
-        x AS (SELECT metric, groups, n, (12.0 / (n::DOUBLE * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n::DOUBLE ** 3 - n)) AS h FROM p JOIN c USING (metric) WHERE groups > 2)
-        SELECT metric, groups, n, round(h, 3) AS h, round(exp(-h / 2), 8) AS p_value, exp(-h / 2) < 0.05 AS significant FROM x""",
-    "mann_whitney_cliffs": f"""
-        {_RANKS}, {_PAIRS},
-        d AS (SELECT *, 2 * u / (n1::DOUBLE * n2) - 1 AS d FROM w)
-        SELECT metric, group_1, group_2, n1, n2, median1, median2, median1 - median2 AS median_diff, u, round((greatest(u, n1::DOUBLE * n2 - u) - n1::DOUBLE * n2 / 2 - 0.5) / sd, 6) AS z, round(d, 6) AS delta,
-               CASE WHEN abs(d) < 0.147 THEN 'negligible' WHEN abs(d) < 0.33 THEN 'small' WHEN abs(d) < 0.474 THEN 'medium' ELSE 'large' END AS effect FROM d""",
+    "profile_kruskal": _kruskal_sql(_ranked("processed_workflows", PROFILE_NUMERIC)),
+    "profile_rank_tests": _rank_sql(_ranked("processed_workflows", PROFILE_NUMERIC)),
+    "profile_chi_square": _chi_sql(_yes_no(_SHA, PROFILE_BINARY)),
+    "profile_proportion_tests": _fisher_sql(_yes_no(_SHA, PROFILE_BINARY)),
+    "notable_tests": f"""
+        SELECT 'rank' AS kind, count(*) AS tests, count(*) FILTER (effect <> 'negligible') AS notable FROM ({_rank_sql(_ranked("processed_workflows", PROFILE_NUMERIC))})
+        UNION ALL SELECT 'proportion', count(*), count(*) FILTER (effect <> 'negligible') FROM ({_fisher_sql(_yes_no(_SHA, PROFILE_BINARY))})""",
+    "kruskal_wallis": _kruskal_sql(_RANKS),
+    "mann_whitney_cliffs": _rank_sql(_RANKS),
     # 2 (1 - Phi(z)): exp(-z^2 / 2) sqrt(2 / pi) times the integral of exp(-z t - t^2 / 2), by Simpson's rule
     "mann_whitney_p": f"""
         {_RANKS}, {_PAIRS},
@@ -215,26 +304,8 @@ ORACLES = {
         i AS (SELECT *, list_sum(list_transform(range(0, 4001), lambda k: (CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-y * k * 0.01 / m - (k * 0.01 / m) ** 2 / 2))) * 0.01 / 3 / m AS s FROM m),
         v AS (SELECT *, least(1, exp(-y * y / 2) * sqrt(2 / pi()) * s) AS p FROM i)
         SELECT metric, group_1, group_2, round(z, 6) AS z, round(p, 10) AS p_value, CASE WHEN p < 1e-4 THEN printf('%.4e', p) ELSE printf('%.4f', p) END AS p_formatted FROM v""",
-    "chi_square_omnibus": f"""
-        WITH {_BINARY},
-        c AS (SELECT feature, language, count(*) FILTER (yes) AS y, count(*) FILTER (NOT yes) AS z FROM f WHERE language IS NOT NULL GROUP BY ALL),
-        a AS (SELECT feature, sum(y)::DOUBLE AS ay, sum(z)::DOUBLE AS az FROM c GROUP BY 1),
-        e AS (SELECT c.*, ay, az, (y + z) * ay / (ay + az) AS e1, (y + z) * az / (ay + az) AS e0 FROM c JOIN a USING (feature)),
-        x AS (SELECT feature, count(*) AS groups, sum((y - e1) ** 2 / nullif(e1, 0) + (z - e0) ** 2 / nullif(e0, 0)) AS x, min(least(e1, e0)) AS l, any_value(ay) AS ay, any_value(az) AS az FROM e GROUP BY 1)
-        SELECT feature, groups, CASE WHEN ay = 0 OR az = 0 OR l < 5 THEN 0 ELSE round(x, 4) END AS statistic, CASE WHEN ay = 0 OR az = 0 THEN 1 WHEN l < 5 THEN NULL ELSE round(exp(-x / 2), 8) END AS p_value,
-               CASE WHEN ay = 0 OR az = 0 THEN 'no variation' WHEN l < 5 THEN 'expected count below 5' END AS note FROM x""",
-    "fisher_exact_cohens_h": f"""
-        WITH {_BINARY},
-        c AS (SELECT feature, language, count(*) FILTER (yes) AS y, count(*) FILTER (NOT yes) AS z FROM f WHERE language IS NOT NULL GROUP BY ALL),
-        p AS (SELECT a.feature, a.language AS group_1, b.language AS group_2, a.y AS y1, a.z AS z1, b.y AS y2, b.z AS z2 FROM c a JOIN c b ON a.feature = b.feature AND a.language < b.language WHERE a.y + b.y > 0 AND a.z + b.z > 0),
-        k AS (SELECT *, unnest(range(greatest(0, (y1 + y2) - (y2 + z2)), least(y1 + z1, y1 + y2) + 1)) AS k FROM p),
-        m AS (SELECT *, lgamma(y1 + z1 + 1) + lgamma(y2 + z2 + 1) + lgamma(y1 + y2 + 1) + lgamma(z1 + z2 + 1) - lgamma(y1 + z1 + y2 + z2 + 1)
-                     - lgamma(k + 1) - lgamma(y1 + z1 - k + 1) - lgamma(y1 + y2 - k + 1) - lgamma(z2 - y1 + k + 1) AS l FROM k),
-        o AS (SELECT feature, group_1, group_2, l AS seen FROM m WHERE k = y1),
-        s AS (SELECT feature, group_1, group_2, any_value(y1 / (y1 + z1)) AS p1, any_value(y2 / (y2 + z2)) AS p2, sum(exp(l)) FILTER (l <= seen + 1e-7) AS p FROM m JOIN o USING (feature, group_1, group_2) GROUP BY ALL),
-        h AS (SELECT *, 2 * (asin(sqrt(p1)) - asin(sqrt(p2))) AS h FROM s)
-        SELECT feature, group_1, group_2, round(least(p, 1), 8) AS p_value, round(100 * p1, 2) AS prop1_pct, round(100 * p2, 2) AS prop2_pct, round(h, 6) AS h,
-               CASE WHEN abs(h) < 0.2 THEN 'negligible' WHEN abs(h) < 0.5 THEN 'small' WHEN abs(h) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM h""",
+    "chi_square_omnibus": _chi_sql(_BINARY),
+    "fisher_exact_cohens_h": _fisher_sql(_BINARY),
     "kde_log1p": f"""
         WITH {_LONG},
         v AS (SELECT language, ln(1 + value) AS v, count(*) AS c FROM o WHERE language IS NOT NULL AND metric = 'num_steps' AND value >= 0 GROUP BY ALL),

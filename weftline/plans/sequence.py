@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.numbers import share
 from weftline.functions.text import canonical_language
 from weftline.operators import classify, labels, sequences
+from weftline.operators.histogram import quantiles
 from weftline.operators.scopes import with_overall
+from weftline.session import cut
 from weftline.sources.tables import table
 
 #: Yes-or-no columns of a profile. Fixed values.
@@ -129,25 +131,50 @@ def pinning_by_scope(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select("language", "n", *(share(F.col(f"any_{k}"), F.col("n")).alias(f"pct_any_{k}") for k in kinds), *(F.round(F.col(f"sum_{k}") / F.col("n"), 4).alias(f"avg_{k}") for k in kinds))
 
 
+#: Columns of a profile whose mean a summary shows, with its digits, and numbers of which it shows how many workflows have any. Fixed values.
+MEANS = {"completeness_score": ("avg_completeness_score", 3), "total_modularity_constructs": ("avg_modularity_constructs", 2)}
+ANY = {"pinned_to_sha": "pct_any_sha_pinned", "pinned_to_tag": "pct_any_tag_pinned", "unpinned": "pct_any_unpinned"}
+#: The label with which a workflow is expected to begin.
+FIRST = "Fetch Sources"
+
+
+def _number(column: str) -> Column:
+    """A column as a number; what is none is null."""
+    return F.expr(f"try_cast(`{column}` as double)")
+
+
 def language_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per language and Overall: sizes, presence of constructs and triggers, the top sequence, the number of common ones."""
+    """A row per language and Overall: sizes, presence of constructs and triggers, pins, the top sequence, the number of common ones.
+
+    Texts that are no numbers do not count in means. pct_starts_with_checkout: of all workflows, those whose first label is FIRST.
+    """
     flags = [*CONSTRUCTS, *TRIGGERS]
     rows = _profiles(spark, folder)
-    sums = [F.count_if(F.col(f) == 1).alias(f) for f in flags]
-    lengths = rows.where("sequence_length is not null").groupBy("language", "sequence_length").agg(F.count("*").alias("c"))
-    spans = with_overall(lengths, "language", ["sequence_length"], ["c"]).groupBy("language").agg(
-        F.round(F.sum(F.col("sequence_length") * F.col("c")) / F.sum("c"), 4).alias("avg_sequence_length"), F.expr("percentile(sequence_length, 0.5, c)").alias("median_sequence_length"), F.max("sequence_length").alias("max_sequence_length")
-    )
-    counts = with_overall(rows.groupBy("language").agg(F.count("*").alias("workflow_count"), *sums), "language", [], ["workflow_count", *flags])
+    first = F.coalesce(F.get(sequences.steps(F.col("sequence_id")), F.lit(0)) == FIRST, F.lit(False))
+    sums = [F.count_if(F.col(f) == 1).alias(f) for f in flags] + [F.count_if(_number(c) > 0).alias(f"any_{c}") for c in ANY] + [F.count_if(first).alias("starts")]
+    for c in (*MEANS, "sequence_length"):
+        sums += [F.sum(_number(c)).alias(f"sum_{c}"), F.count(_number(c)).alias(f"n_{c}")]
+    names = [*flags, *(f"any_{c}" for c in ANY), "starts", *(f"{k}_{c}" for c in (*MEANS, "sequence_length") for k in ("sum", "n"))]
+    counts = with_overall(rows.groupBy("language").agg(F.count("*").alias("workflow_count"), *sums), "language", [], ["workflow_count", *names])
+    lengths = rows.withColumn("value", _number("sequence_length")).where("value is not null").groupBy("language", "value").agg(F.count("*").alias("cnt"))
+    spans = quantiles(cut(with_overall(lengths, "language", ["value"], ["cnt"])), ["language"], [0.5], others=[F.max("value").cast("bigint").alias("max_sequence_length")])
     found = sequences.counted(_merged(spark, folder), [F.array_join("labels", sequences.ARROW).alias("key")], None)
-    tops = found.groupBy("scope").agg(F.max_by(F.struct("key", "percentage"), F.struct("count", F.col("key"))).alias("top"), F.count_if(F.col("count") * 100 >= 5 * F.col("total")).alias("common_seq_count_5pct"))
+    tops = found.groupBy("scope").agg(F.min_by(F.struct("key", "percentage"), F.struct(-F.col("count"), F.col("key"))).alias("top"), F.count_if(F.col("count") * 100 >= 5 * F.col("total")).alias("common_seq_count_5pct"))
     out = counts.join(spans, "language", "left").join(tops, counts.language == tops.scope, "left")
-    return out.select("language", "workflow_count", "avg_sequence_length", "median_sequence_length", "max_sequence_length", *(share(F.col(f), F.col("workflow_count")).alias(f"pct_{f}") for f in flags), F.col("top.key").alias("top1_sequence"), F.col("top.percentage").alias("top1_pct"), "common_seq_count_5pct")
+    mean = lambda c, digits: F.round(F.col(f"sum_{c}") / F.nullif(F.col(f"n_{c}"), F.lit(0)), digits)
+    return out.select(
+        "language", "workflow_count", mean("sequence_length", 2).alias("avg_sequence_length"), F.col("p")[0].alias("median_sequence_length"), "max_sequence_length",
+        *(share(F.col(f), F.col("workflow_count")).alias(f"pct_{f}") for f in flags), *(mean(c, digits).alias(n) for c, (n, digits) in MEANS.items()), share(F.col("starts"), F.col("workflow_count")).alias("pct_starts_with_checkout"),
+        *(share(F.col(f"any_{c}"), F.col("workflow_count")).alias(n) for c, n in ANY.items()), (F.col("workflow_count") - F.col("starts")).alias("non_checkout_first_count"),
+        F.col("top.key").alias("top1_sequence"), F.col("top.percentage").alias("top1_pct"), F.coalesce("common_seq_count_5pct", F.lit(0)).alias("common_seq_count_5pct"),
+    )
 
 
 def global_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """One row over all workflows."""
-    return language_summary(spark, folder).where("language = 'Overall'").drop("language")
+    """One row over all workflows: the Overall row without its top sequence, with the number of common constructs."""
+    overall = language_summary(spark, folder).where("language = 'Overall'").drop("language", "max_sequence_length", "avg_modularity_constructs", "top1_sequence", "top1_pct")
+    common = sequences.construct_frequency(_merged(spark, folder)).where("scope = 'Overall'").agg(F.count_if("is_common").alias("common_constructs_count"))
+    return overall.withColumnsRenamed({"workflow_count": "total_workflows", "common_seq_count_5pct": "common_full_sequences_count"}).crossJoin(F.broadcast(common))  # one row
 
 
 QUERIES = {
@@ -172,13 +199,17 @@ _EVENTS = """
 _PROFILE = f"p AS (SELECT {_LANG} AS language, * EXCLUDE (language) FROM processed_workflows), s AS (SELECT * FROM p WHERE language IS NOT NULL UNION ALL SELECT 'Overall', * EXCLUDE (language) FROM p)"
 _SUMMARY = f"""
     WITH {_PROFILE},
-    a AS (SELECT language, count(*) AS workflow_count, round(avg(sequence_length), 4) AS avg_sequence_length, median(sequence_length) AS median_sequence_length, max(sequence_length) AS max_sequence_length,
-          {", ".join(f"round(100.0 * count(*) FILTER ({f} = 1) / count(*), 2) AS pct_{f}" for f in (*CONSTRUCTS, *TRIGGERS))} FROM s GROUP BY 1),
+    a AS (SELECT language, count(*) AS workflow_count, round(avg(sequence_length), 2) AS avg_sequence_length, median(sequence_length) AS median_sequence_length, max(sequence_length) AS max_sequence_length,
+          {", ".join(f"round(100.0 * count(*) FILTER ({f} = 1) / count(*), 2) AS pct_{f}" for f in (*CONSTRUCTS, *TRIGGERS))}, {", ".join(f"round(avg({c}), {d}) AS {n}" for c, (n, d) in MEANS.items())},
+          {", ".join(f"round(100.0 * count(*) FILTER ({c} > 0) / count(*), 2) AS {n}" for c, n in ANY.items())},
+          round(100.0 * count(*) FILTER (coalesce(({_STEPS})[1] = '{FIRST}', false)) / count(*), 2) AS pct_starts_with_checkout, count(*) FILTER (NOT coalesce(({_STEPS})[1] = '{FIRST}', false)) AS non_checkout_first_count FROM s GROUP BY 1),
     q AS (SELECT language, array_to_string({_STEPS}, ' → ') AS key, len({_STEPS}) AS k FROM s),
     t AS (SELECT language, count(*) AS total FROM q WHERE k > 0 GROUP BY 1),
     c AS (SELECT language, key, count(*) AS n FROM q WHERE k > 0 GROUP BY ALL),
-    r AS (SELECT c.*, round(100.0 * n / total, 2) AS pct, n * 100 >= 5 * total AS often, row_number() OVER (PARTITION BY language ORDER BY n DESC, key DESC) AS i FROM c JOIN t USING (language)),
-    o AS (SELECT language, max(key) FILTER (i = 1) AS top1_sequence, max(pct) FILTER (i = 1) AS top1_pct, count(*) FILTER (often) AS common_seq_count_5pct FROM r GROUP BY 1)"""
+    r AS (SELECT c.*, round(100.0 * n / total, 2) AS pct, n * 100 >= 5 * total AS often, row_number() OVER (PARTITION BY language ORDER BY n DESC, key) AS i FROM c JOIN t USING (language)),
+    o AS (SELECT language, max(key) FILTER (i = 1) AS top1_sequence, max(pct) FILTER (i = 1) AS top1_pct, count(*) FILTER (often) AS common_seq_count_5pct FROM r GROUP BY 1),
+    e AS (SELECT unnest(list_distinct({_STEPS})) AS label FROM processed_workflows),
+    g AS (SELECT count(*) AS common_constructs_count FROM (SELECT label FROM e GROUP BY 1 HAVING count(*) * 100 >= 5 * (SELECT total FROM t WHERE language = 'Overall')))"""
 ORACLES = {
     "arrow_normalise": f"SELECT workflow_id, processed_at, array_to_string({_STEPS}, ' → ') AS sequence, len({_STEPS}) AS length FROM processed_workflows",
     "sequence_first_occurrence": f"""
@@ -243,6 +274,7 @@ ORACLES = {
         WITH {_PROFILE}
         SELECT language, count(*) AS n, {", ".join(f"round(100.0 * count(*) FILTER ({c} > 0) / count(*), 2) AS pct_any_{k}, round(sum(coalesce({c}, 0)) / count(*), 4) AS avg_{k}" for k, c in (("sha", "pinned_to_sha"), ("tag", "pinned_to_tag"), ("branch", "pinned_to_branch"), ("unpinned", "unpinned")))}
         FROM s GROUP BY 1""",
-    "language_summary": f"{_SUMMARY} SELECT * FROM a LEFT JOIN o USING (language)",
-    "global_summary": f"{_SUMMARY} SELECT * EXCLUDE (language) FROM a LEFT JOIN o USING (language) WHERE language = 'Overall'",
+    "language_summary": f"{_SUMMARY} SELECT * REPLACE (coalesce(common_seq_count_5pct, 0) AS common_seq_count_5pct) FROM a LEFT JOIN o USING (language)",
+    "global_summary": f"""{_SUMMARY}
+        SELECT * EXCLUDE (language, max_sequence_length, avg_modularity_constructs, top1_sequence, top1_pct) RENAME (workflow_count AS total_workflows, common_seq_count_5pct AS common_full_sequences_count) FROM a LEFT JOIN o USING (language), g WHERE language = 'Overall'""",
 }
