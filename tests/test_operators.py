@@ -10,10 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.numbers import p_text, two_sided
+from weftline.functions.table import register
 from weftline.functions.text import canonical_language
-from weftline.operators import bands, classify, dag, describe, rules, sampling, sequences, stats, workflow
+from weftline.operators import bands, classify, dag, describe, labels, pipeline, rules, sampling, scopes, sequences, stats, workflow
 from weftline.operators.histogram import quantiles, running, value_histogram
 from weftline.operators.numbering import numbered
+from weftline.plans.metrics import NUMERIC
 from weftline.session import ship
 from weftline.sources import files, sinks
 from weftline.streaming import ingest
@@ -220,9 +222,71 @@ def test_chains(spark):
 
 
 def test_classifier(spark):
-    rows = spark.createDataFrame([("Run unit tests", None, None), (None, "actions/cache/restore@v3", None), (None, "./local", "pytest"), (None, "x/y@v1", "pytest"), (None, None, "pytest -q"), (None, None, None), ("zzz", None, "zzz")], "n string, u string, r string")
-    out = rows.select(classify.classify_step(F.col("n"), F.col("u"), F.col("r")).alias("l")).collect()
-    assert [r.l for r in out] == ["execute_tests", "manage_build_cache", "composite", "external_action", "execute_tests", "other", "other"]
+    cases = [
+        (("Run unit tests", None, None, None), "execute_tests"), ((None, "actions/cache/restore@v3", None, None), "manage_build_cache"), ((None, "./local", "pytest", None), "composite"), ((None, "x/y@v1", "pytest", None), "external_action"), ((None, None, "pytest -q", None), "execute_tests"),
+        ((None, None, None, None), "other"), (("zzz", None, "zzz", None), "other"), (("", "Docker/Login-Action-x@v1", None, None), "configure_cloud_resources"), ((None, "./.github/actions/prepare_buildozer", None, None), "prepare_build_environment"), ((None, "o/install-poetry-x@v1", None, None), "install_project_dependencies"),
+        ((None, "o/releaser", None, None), "publish_release"), ((None, "o/my-spec@v1", None, None), "execute_tests"), (("Generate the network model", None, None, None), "generate_network_model"), (("Rename artifact", None, None, None), "rename_artifact"),
+        ((None, None, "pytest --cov=x", "Python"), "generate_test_coverage"), ((None, None, "pytest --cov=x", "Java"), "execute_tests"), ((None, None, "./gradlew check", "Java"), "execute_tests"), ((None, None, "ninja\n", "C++"), "compile_source_code"), ((None, None, "echo done", "C++"), "log_information"),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "i int, n string, u string, r string, l string").orderBy("i")
+    out = rows.select(classify.classify_step(F.col("n"), F.col("u"), F.col("r"), F.col("l")).alias("l")).collect()
+    assert [r.l for r in out] == [label for _, label in cases]
+    assert len(classify.name_rules()) == len(labels.LABELS) == 136 and len(labels.ACTIONS) == 100
+    shown = spark.createDataFrame([("static_analysis",), ("build_project",), ("Part 7",), ("unnamed_step",), (None,)], "l string").select(classify.shown(F.col("l")).alias("s")).collect()
+    assert [r.s for r in shown] == ["Run Static Analysis", "Build Project", "Part 7", "Unnamed Step", None]
+
+
+def test_pipeline(spark):
+    text = """on: [push]
+jobs:
+  b:
+    needs: a
+    steps:
+      - run: |
+
+          pytest -q %s
+          x
+      - uses: zzz/qqq@v1
+      - text
+      - {}
+      - run: pytest again
+  c: nothing
+  a:
+    steps:
+      - uses: actions/checkout@v4
+      - name: Set up JDK 11
+        uses: actions/setup-java@v2
+  d:
+    steps: []
+""" % ("y" * 70)
+    called = text.replace("[push]", "workflow_call")
+    texts = [text, called, "jobs: {}", "jobs:\n  a:\n    steps: []", "a: [", None, text]
+    rows = spark.createDataFrame([(i, t, "Python", 1) for i, t in enumerate(texts)], "id int, text string, language string, num_jobs int").withColumn("doc", workflow.parsed(F.col("text")))
+    out = pipeline.processed(rows, ["id"]).orderBy("id").collect()
+    assert [r.id for r in out] == [0, 6] and out[0][1:] == out[1][1:]
+    r = out[0]
+    assert r.sequence_id == "Checkout Repository → Setup Runtime Environment → Execute Tests → zzz/qqq → unknown → Unnamed Step" and r.sequence_length == 6
+    assert r.job_sequences == "[a]: actions/checkout → Set up JDK 11 || [b]: pytest -q " + "y" * 50 + "... → zzz/qqq → unknown → unnamed_step → pytest again || [d]: (empty)"
+    assert (r.num_jobs, r.num_steps_total, r.avg_steps_per_job, r.has_checkout, r.has_setup, r.has_test, r.has_build, r.completeness_score, r.dependency_depth) == (4, 7, 1.75, 1, 1, 1, 0, 0.75, 2)
+    c = workflow.prepared(rows.where("id = 0")).select(*(c.alias(n) for n, c in workflow.complexity("doc").items())).first()
+    assert tuple(c) == (4, 6, 5, 3, 2, 3, False, False, "b, c, a, d")
+    assert pipeline.processed(rows.limit(0), ["id"]).collect() == []
+
+
+def test_workflow_steps_in_sql(spark):
+    register(spark)
+    spark.createDataFrame([(1, "jobs:\n  a:\n    steps: [{run: x}, {uses: o/r@v1, name: n}]\n"), (2, "a: ["), (3, None)], "id int, text string").createOrReplaceTempView("files")
+    out = spark.sql("SELECT id, s.* FROM files, LATERAL workflow_steps(text) s ORDER BY id, position").collect()
+    assert [tuple(r) for r in out] == [(1, "ok", "a", 1, None, None, "x"), (1, "ok", "a", 2, "n", "o/r@v1", None), (2, "parse_error", None, None, None, None, None), (3, "empty", None, None, None, None, None)]
+
+
+def test_pivot_and_guide(spark):
+    rows = spark.createDataFrame([("a", "x", 2), ("a", "x", 1), ("a", "y", 5), ("b", "z", 7)], "k string, c string, v int")
+    assert sorted(map(tuple, scopes.pivot_first(rows, ["k"], "c", ["x", "y"], "v").collect())) == [("a", 1, 5), ("b", None, None)]
+    assert len(bands.guide()) == 76 and {m for m, *_ in bands.guide()} == set(NUMERIC)
+    values = spark.createDataFrame([("p", float(v)) for v in (0, 0, 1, 5, 6, 51)] + [("p", None), ("p", float("nan"))], "g string, matrix_size double")
+    out = bands.fixed_bands(values, "g", spark.createDataFrame(bands.guide(), "metric string, label string, lo double, hi double")).collect()
+    assert {r.label: r["count"] for r in out} == {"none": 2, "small": 2, "moderate": 1, "very_large": 1}
 
 
 def test_rules(spark):
@@ -260,13 +324,30 @@ def test_sources_and_sinks(spark, tmp_path):
         z.writestr("d/x.yml", "a: 1")
     (zips / "ok.zip").write_bytes(packed.getvalue())
     (zips / "bad.zip").write_bytes(b"nothing")
-    assert sorted((r.path or "", bytes(r.content or b"")) for r in files.zipped_files(spark, str(zips)).collect()) == [("", b""), ("d/x.yml", b"a: 1")]
+    damaged = bytearray(packed.getvalue())
+    damaged[damaged.index(b"a: 1")] ^= 1
+    (zips / "half.zip").write_bytes(bytes(damaged))
+    assert sorted((r.path or "", bytes(r.content or b""), r.error is None) for r in files.zipped_files(spark, str(zips)).collect()) == [("", b"", False), ("d/x.yml", b"", False), ("d/x.yml", b"a: 1", True)]
+    assert files.extract(spark, str(zips), str(tmp_path / "kept")).count() == 3
+    (zips / "bad.zip").unlink()
+    assert files.extract(spark, str(zips), str(tmp_path / "kept")).count() == 3 and files.extract(spark, str(zips), str(tmp_path / "kept"), force=True).count() == 2
+    narrow, side = files.without_content(files.workflow_files(spark, str(tmp_path / "w")), "full_path", "content")
+    assert "content" not in narrow.columns and side.columns == ["full_path", "content"] and side.count() == 2
     rows = spark.createDataFrame([("a\nb", 'q"x'), (None, ",")], "c1 string, c2 string")
     assert sinks.write_csv(rows, str(tmp_path / "out"), bom=True) == 2
     back = files.delimited(spark, str(tmp_path / "out"), ["c1", "c2"])
     assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
     with pytest.raises(ValueError):
         files.delimited(spark, str(tmp_path / "out"), ["c3"])
+    assert sorted(map(tuple, files.robust(spark, str(tmp_path / "out"), ["c1", "c2"]).collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+    (tmp_path / "tabs.tsv").write_text('\ufeffa\tb\n1\t"x\ny"\n')
+    (tmp_path / "plain.tsv").write_text("q\tb\tc\n1\t2\t3\t4\n5\n")
+    assert [tuple(r) for r in files.robust(spark, str(tmp_path / "tabs.tsv"), ["a", "b"]).collect()] == [("1", "x\ny")]
+    assert [tuple(r) for r in files.robust(spark, str(tmp_path / "plain.tsv"), ["a", "b", "c"]).collect()] == [("1", "2", "3\t4")]
+    with pytest.raises(ValueError):
+        files.robust(spark, str(tmp_path / "tabs.tsv"), ["a", "b", "z"])
+    spaced = spark.createDataFrame([("  a ", "x")], "c1 string, c2 string")
+    assert sinks.write_csv(spaced, str(tmp_path / "spaced")) == 1
     lines = spark.createDataFrame([("1\t2\t3\t4",), ("1",), ("1\t2\t",)], "value string")
     assert sorted(map(tuple, files.ragged(lines, ["a", "b", "c"]).collect())) == [("1", "2", ""), ("1", "2", "3\t4")]
     parsed = spark.createDataFrame([("x", "a: ["), ("y", "a: 1"), ("z", "jobs: {}")], "f string, text string").withColumn("doc", workflow.parsed(F.col("text")))

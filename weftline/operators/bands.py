@@ -8,9 +8,43 @@ from pyspark.sql import functions as F
 from weftline.operators.histogram import quantiles, value_histogram
 from weftline.operators.numbering import numbered
 from weftline.operators.scopes import with_overall
-from weftline.session import cut
+from weftline.session import cut, small
 
 BANDS = ("low", "moderate", "high", "very high")
+# Metric, then each band with its upper bound, the last without one.
+GUIDE = """
+lines_of_yaml compact 50 moderate 150 large 300 very_large
+num_jobs simple 3 moderate 7 complex 15 highly_complex
+num_steps simple 10 moderate 30 complex 60 highly_complex
+max_nesting_depth flat 3 moderate 6 deep 9 very_deep
+job_parallelism low 3 moderate 7 high 15 very_high
+max_sequential_steps short 5 moderate 15 long 30 very_long
+vertical_depth shallow 2 moderate 4 deep 6 very_deep
+matrix_size none 0 small 5 moderate 20 large 50 very_large
+num_conditionals none 0 minimal 3 moderate 10 complex 20 very_complex
+num_job_dependencies none 0 minimal 3 moderate 10 heavy 20 very_heavy
+num_unique_external_actions none 0 minimal 3 moderate 8 heavy 15 very_heavy
+num_marketplace_actions none 0 minimal 2 moderate 5 heavy 10 very_heavy
+num_local_actions none 0 minimal 2 moderate 5 heavy
+num_reusable_workflows none 0 minimal 2 moderate
+avg_steps_per_job minimal 3 moderate 7 extensive 15 very_extensive
+dependency_ratio independent 0 loosely_coupled 0.5 coupled 1.5 highly_coupled
+external_action_diversity none 0 sparse 0.1 moderate 0.3 dense
+conditional_density none 0 sparse 0.1 moderate 0.3 dense
+"""
+
+
+def guide(text: str = GUIDE) -> list[tuple[str, str, float | None, float | None]]:
+    """(metric, label, lo, hi) of bands written as in GUIDE: each above the one before it, up to and with its own bound."""
+    rows = []
+    for line in text.strip().splitlines():
+        metric, *cells = line.split()
+        lo = None
+        for label, bound in zip(cells[::2], [*cells[1::2], None]):
+            hi = None if bound is None else float(bound)
+            rows.append((metric, label, lo, hi))
+            lo = hi
+    return rows
 
 
 def thresholds(rows: DataFrame, metrics: list[str]) -> DataFrame:
@@ -42,15 +76,19 @@ def band_distribution(rows: DataFrame, scope: str, metrics: list[str]) -> DataFr
     return long.select(F.col("group").alias(scope), "metric", "band", "count", F.round(100.0 * F.col("count") / F.col("total"), 2).alias("percentage"))
 
 
-def fixed_bands(rows: DataFrame, key: str, metric: str, bands: DataFrame) -> DataFrame:
-    """key, value, label: the fixed band (label, lo, hi] of each value; lo null: no lower bound, hi null: no upper one.
+def fixed_bands(rows: DataFrame, scope: str, bands: DataFrame) -> DataFrame:
+    """scope, metric, label, count: how many values of each metric fall in each fixed band (metric, label, lo, hi].
 
-    bands is a small table of bounds; values outside all bands, nulls and NaN get a null label.
+    bands is a small table; lo null: no lower bound, hi null: no upper one. Values outside all bands
+    get a null label; nulls and NaN do not count. A range join of the value histogram, which is far
+    smaller than the rows.
     """
-    value = F.col("value")
-    inside = (F.col("lo").isNull() | (value > F.col("lo"))) & (F.col("hi").isNull() | (value <= F.col("hi"))) & ~F.isnan(value)
-    sized = rows.select(F.col(key), F.col(metric).cast("double").alias("value"))
-    return sized.join(F.broadcast(bands.select("label", "lo", "hi")), inside, "left").select(key, "value", "label")
+    bands = cut(bands.select("metric", "label", "lo", "hi"))
+    metrics = sorted(r[0] for r in bands.select("metric").distinct().limit(10_000).collect())
+    hist = value_histogram(rows, scope, [m for m in metrics if m in rows.columns])
+    inside = (F.col("lo").isNull() | (F.col("value") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
+    found = hist.join(small(bands).withColumnRenamed("metric", "_m"), (F.col("metric") == F.col("_m")) & inside, "left")
+    return found.groupBy(F.col("group").alias(scope), "metric", "label").agg(F.sum("cnt").alias("count"))
 
 
 def quantile_labels(rows: DataFrame, value: str, labels: list[str]) -> DataFrame:

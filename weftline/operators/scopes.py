@@ -24,3 +24,8 @@ def ranked(rows: DataFrame, scope: list[str], count: str, key: str, most: int) -
 
     order = Window.partitionBy(*scope).orderBy(F.desc(count), key)
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def pivot_first(rows: DataFrame, keys: list[str], column: str, names: list[str], value: str) -> DataFrame:
+    """keys and a column for each of `names`: the least value of the rows that have this name in `column`; null without one."""
+    return rows.groupBy(*keys).agg(*(F.min(F.when(F.col(column) == n, F.col(value))).alias(n) for n in names))

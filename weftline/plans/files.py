@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import canonical_language
-from weftline.operators import bands, classify, dag, rules, sampling, workflow
-from weftline.session import cut, spread
+from weftline.operators import bands, classify, dag, pipeline, rules, sampling, workflow
+from weftline.session import cut, shared_dir, spread
+from weftline.sources import files as sources
+from weftline.sources import sinks
 from weftline.sources.tables import table
 
 #: File names by which one workflow of a project is chosen, best first. Fixed values.
-PREFERRED = ("ci.yml", "ci.yaml", "build.yml", "build.yaml", "main.yml", "main.yaml", "test.yml", "tests.yml", "python-package.yml", "cmake.yml")
+PREFERRED = ("ci.yml", "test.yml", "tests.yml", "build.yml", "main.yml", "workflow.yml", "python.yml", "java.yml", "cpp.yml", "c++.yml")
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,12 +53,39 @@ def classified_steps(spark: SparkSession, folder: str) -> DataFrame:
     steps = docs.select("language", F.explode(F.expr("flatten(transform(doc.jobs, j -> j.steps))")).alias("s"))
     # equal steps are classified once
     equal = steps.groupBy("language", "s.name", "s.uses", "s.run").agg(F.count("*").alias("w"))
-    label = classify.classify_step(F.col("name"), F.col("uses"), F.col("run"))
+    # as an element of an array, as the rules are too many for compiled code around an aggregate
+    label = F.get(F.transform(F.array(F.struct("name", "uses", "run", "language")), lambda s: classify.classify_step(s["name"], s["uses"], s["run"], s["language"])), F.lit(0))
     return equal.withColumn("label", label).groupBy("language", "label").agg(F.sum("w").alias("steps"))
 
 
+def workflow_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """workflow_id, collected_at, and the profile with its sequence of every file that has steps: processed_workflows from yaml_reference."""
+    return pipeline.processed(_files(spark, folder), ["workflow_id", "collected_at"])
+
+
+def workflow_complexity(spark: SparkSession, folder: str) -> DataFrame:
+    """workflow_id, collected_at, file_size_bytes and what a sampling frame keeps of every file that parses."""
+    docs = workflow.prepared(_files(spark, folder).where("doc.status = 'ok'"))
+    return docs.select("workflow_id", "collected_at", F.octet_length("text").alias("file_size_bytes"), *(c.alias(n) for n, c in workflow.complexity("doc").items()))
+
+
+def classify_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """uses, label: every action that a line of a file names."""
+    found = table(spark, folder, "yaml_reference").select(F.explode(F.expr("regexp_extract_all(full_workflow_yaml, 'uses: ([A-Za-z0-9_./-]+)', 1)")).alias("uses")).distinct()
+    return found.select("uses", classify.classify_action(F.col("uses")).alias("label"))
+
+
+def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, digest: the texts of all documents, written as CSV with a byte order mark into the shared folder and read again."""
+    rows = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(workflow.escaped(F.col("text")), F.lit("")).alias("text"))
+    path = f"{shared_dir(spark).rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    sinks.write_csv(rows, path, bom=True)
+    back = sources.robust(spark, path, ["doc_id", "text"])
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(F.coalesce(workflow.unescaped(F.col("text")), F.lit(""))).alias("digest"))
+
+
 def classify_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """label, lines: our catalogue of names over the lines of all documents."""
+    """label, lines: the rules of step names over the lines of all documents."""
     lines = spread(table(spark, folder, "documents").select("text")).select(F.explode(F.split("text", "\n")).alias("line")).groupBy("line").agg(F.count("*").alias("w"))
     return lines.groupBy(classify.classify_text(F.col("line")).alias("label")).agg(F.sum("w").alias("lines"))
 
@@ -141,10 +172,14 @@ def sample_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sample_summary(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "sample_metadata")
-    by = canonical_language(F.col("language")).alias("language")
-    out = rows.groupBy(by).agg(F.count("*").alias("workflows"), F.countDistinct("project_id").alias("unique_projects"), F.round(F.avg("file_size_kb"), 2).alias("avg_file_size_kb"), F.round(F.avg("num_jobs"), 2).alias("avg_jobs"), F.round(F.avg("num_steps"), 2).alias("avg_steps"), F.count_if(F.col("num_jobs") == 1).alias("single_job"))
-    return out
+    """language, workflows, unique_projects, average size, jobs and steps, and the numbers of workflows per tertile of steps and third of file sizes."""
+    rows = cut(table(spark, folder, "sample_metadata").select("workflow_id", F.col("language").alias("spelling"), "project_id", "file_size_kb", "num_jobs", "num_steps", "workflow_file", "full_path"))
+    sized = bands.quantile_labels(rows, "file_size_kb", ["small_files", "medium_files", "large_files"])
+    kinds = bands.tertiles(rows.groupBy("workflow_id").agg(F.max("num_steps").alias("steps")), "steps", ["workflow_id"]).select("workflow_id", F.col("tertile").alias("kind"))
+    sized = sized.join(kinds, "workflow_id", "left").withColumn("language", canonical_language(F.col("spelling")))
+    averages = [F.round(F.avg(c), 2).alias(n) for c, n in (("file_size_kb", "avg_file_size_kb"), ("num_jobs", "avg_jobs"), ("num_steps", "avg_steps"))]
+    counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("simple", "moderate", "complex")] + [F.count_if(F.col("label") == k).alias(k) for k in ("small_files", "medium_files", "large_files")]
+    return sized.groupBy("language").agg(F.count("*").alias("workflows"), F.countDistinct("project_id").alias("unique_projects"), *averages, *counts)
 
 
 def dag_depth_recursive(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,7 +195,7 @@ def dag_depth_recursive(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        line_count, escape_roundtrip, yaml_metrics, yaml_profile, reject_quarantine, classified_steps, classify_lines, rule_detail, rule_scores, rule_ranking, rule_matrix, stateful_line_scan,
+        line_count, escape_roundtrip, yaml_metrics, yaml_profile, reject_quarantine, workflow_profiles, workflow_complexity, csv_roundtrip, classify_actions, classified_steps, classify_lines, rule_detail, rule_scores, rule_ranking, rule_matrix, stateful_line_scan,
         action_usage_distinct, yaml_roundtrip_metrics, primary_per_project, project_ids, stratified_allocation, stratified_sample_md5, sample_repair, sample_summary, dag_depth_recursive,
     )
 }
@@ -179,6 +214,18 @@ _FRAME = f"""
     z AS (SELECT *, available - tw AS room, 382 - sum(tw) OVER () AS lack FROM y),
     a AS (SELECT language, stratum, available, (tw + greatest(least(room, lack - coalesce(sum(room) OVER (ORDER BY language, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0))::BIGINT AS wanted FROM z),
     m AS (SELECT workflow_id, language, stratum, num_steps FROM (SELECT r.*, wanted, row_number() OVER (PARTITION BY r.language, r.stratum ORDER BY md5('42' || workflow_id::VARCHAR), workflow_id) AS k FROM r JOIN a ON a.language = r.language AND a.stratum = r.stratum) WHERE k <= wanted)"""
+
+
+def _cases(text: str, found: tuple[tuple[str, str], ...], otherwise: str) -> str:
+    """A CASE of patterns in order."""
+    return f"CASE {' '.join(f"""WHEN regexp_matches({text}, '{pattern}') THEN '{label}'""" for label, pattern in found)} ELSE {otherwise} END"
+
+
+def _action_test(test: str, words: list[str]) -> str:
+    found = " OR ".join(f"starts_with(s, '{w}')" if test == "begins" else f"contains(s, '{w}')" for w in words)
+    return f"own AND ({found})" if test == "local" else f"({found})"
+
+
 ORACLES = {
     "line_count": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents)
@@ -225,8 +272,20 @@ ORACLES = {
         h3 AS (SELECT a.failed, b.workflow_id AS replacement, 'any' AS level FROM (SELECT *, row_number() OVER (ORDER BY lot, failed) AS k FROM n3) a JOIN (SELECT *, row_number() OVER (ORDER BY lot, workflow_id) AS k FROM s3) b USING (k))
         SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3""",
     "sample_summary": f"""
-        SELECT {_LANG} AS language, count(*) AS workflows, count(DISTINCT project_id) AS unique_projects, round(avg(file_size_kb), 2) AS avg_file_size_kb, round(avg(num_jobs), 2) AS avg_jobs, round(avg(num_steps), 2) AS avg_steps, count(*) FILTER (num_jobs = 1) AS single_job
-        FROM sample_metadata GROUP BY 1""",
+        WITH e AS (SELECT list_distinct([quantile_cont(file_size_kb, 0.0), quantile_cont(file_size_kb, 1 / 3), quantile_cont(file_size_kb, 2 / 3), quantile_cont(file_size_kb, 1.0)]).list_sort() AS e FROM sample_metadata),
+        w AS (SELECT workflow_id, max(num_steps) AS num_steps FROM sample_metadata GROUP BY 1),
+        r AS (SELECT *, row_number() OVER (ORDER BY num_steps, workflow_id) AS r, count(*) OVER () AS n FROM w WHERE num_steps IS NOT NULL),
+        t AS (SELECT workflow_id, CASE WHEN r <= 1 + (n - 1) / 3 THEN 'simple' WHEN r <= 1 + 2 * ((n - 1) / 3) THEN 'moderate' ELSE 'complex' END AS kind FROM r),
+        l AS (SELECT m.*, kind, CASE WHEN file_size_kb IS NULL THEN NULL WHEN len(e) = 1 THEN 'small' ELSE ['small', 'medium', 'large'][least(len(list_filter(e[2:], lambda x: x < file_size_kb)) + 1, len(e) - 1)] END AS size FROM sample_metadata m LEFT JOIN t USING (workflow_id), e)
+        SELECT {_LANG} AS language, count(*) AS workflows, count(DISTINCT project_id) AS unique_projects, round(avg(file_size_kb), 2) AS avg_file_size_kb, round(avg(num_jobs), 2) AS avg_jobs, round(avg(num_steps), 2) AS avg_steps,
+               {", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ("simple", "moderate", "complex"))}, {", ".join(f"count(*) FILTER (size = '{k}') AS {k}_files" for k in ("small", "medium", "large"))} FROM l GROUP BY 1""",
+    "csv_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "classify_lines": f"""
+        WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), w AS (SELECT lower(trim(line, ' ')) AS line, count(*) AS w FROM l GROUP BY 1)
+        SELECT {_cases("line", classify.name_rules(), "'other'")} AS label, sum(w)::BIGINT AS lines FROM w GROUP BY 1""",
+    "classify_actions": f"""
+        WITH u AS (SELECT DISTINCT unnest(regexp_extract_all(full_workflow_yaml, 'uses: ([A-Za-z0-9_./-]+)', 1)) AS uses FROM yaml_reference), a AS (SELECT uses, lower(uses) AS s, starts_with(lower(uses), './') OR contains(lower(uses), '.github/actions/') AS own FROM u)
+        SELECT uses, CASE {" ".join(f"WHEN {_action_test(test, words)} THEN '{label}'" for label, test, words in classify.action_rules())} ELSE 'external_action' END AS label FROM a""",
     "dag_depth_recursive": """
         WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderkey) OVER w AS p, lag(o_orderstatus) OVER w AS ps FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
         e AS (SELECT o_custkey, p AS a, o_orderkey AS b FROM o WHERE ps = o_orderstatus),

@@ -19,8 +19,6 @@ NUMERIC = (
     "dependency_ratio", "external_action_diversity", "conditional_density",
 )
 BINARY = ("has_matrix", "has_conditionals", "has_job_dependencies", "uses_reusable_workflows", "uses_external_actions", "uses_local_actions")
-#: Upper bounds of the fixed bands of the number of jobs. Fixed values.
-JOB_BANDS = [("low", None, 3.0), ("moderate", 3.0, 7.0), ("high", 7.0, 15.0), ("very high", 15.0, None)]
 
 
 def _metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,9 +55,9 @@ def value_bands(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fixed_bands_range_join(spark: SparkSession, folder: str) -> DataFrame:
-    limits = spark.createDataFrame(JOB_BANDS, "label string, lo double, hi double")
-    found = bands.fixed_bands(_metrics(spark, folder), "language", "num_jobs", limits)
-    return found.groupBy("language", "label").agg(F.count("*").alias("workflows"))
+    """language, metric, label, workflows: the fixed bands of all metrics."""
+    limits = spark.createDataFrame(bands.guide(), "metric string, label string, lo double, hi double")
+    return bands.fixed_bands(_metrics(spark, folder), "language", limits).withColumnRenamed("count", "workflows")
 
 
 def descriptives_scoped(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,7 +203,7 @@ _PAIRS = """
     k AS (SELECT *, sum(t) OVER (PARTITION BY metric, group_1, group_2 ORDER BY value) - t + (t + 1) / 2.0 AS rank FROM h),
     q AS (SELECT metric, group_1, group_2, sum(c1 * rank)::DOUBLE AS r1, sum(t::DOUBLE ** 3 - t) AS ties FROM k GROUP BY ALL),
     w AS (SELECT p.*, r1 - n1 * (n1 + 1) / 2.0 AS u, sqrt(n1::DOUBLE * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2)::DOUBLE * (n1 + n2 - 1)))) AS sd FROM p JOIN q USING (metric, group_1, group_2))"""
-def _kruskal_sql(ranks: str) -> str:
+def kruskal_sql(ranks: str) -> str:
     return f"""
         {ranks},
         h AS (SELECT metric, value, count(*) AS t FROM g GROUP BY ALL),
@@ -217,7 +215,7 @@ def _kruskal_sql(ranks: str) -> str:
         SELECT metric, groups, n, round(h, 3) AS h, round(exp(-h / 2), 8) AS p_value, exp(-h / 2) < 0.05 AS significant FROM x"""
 
 
-def _rank_sql(ranks: str) -> str:
+def rank_sql(ranks: str) -> str:
     return f"""
         {ranks}, {_PAIRS},
         d AS (SELECT *, 2 * u / (n1::DOUBLE * n2) - 1 AS d FROM w)
@@ -225,7 +223,7 @@ def _rank_sql(ranks: str) -> str:
                CASE WHEN abs(d) < 0.147 THEN 'negligible' WHEN abs(d) < 0.33 THEN 'small' WHEN abs(d) < 0.474 THEN 'medium' ELSE 'large' END AS effect FROM d"""
 
 
-def _chi_sql(yes_no: str) -> str:
+def chi_sql(yes_no: str) -> str:
     return f"""
         WITH {yes_no},
         c AS (SELECT feature, language, count(*) FILTER (yes) AS y, count(*) FILTER (NOT yes) AS z FROM f WHERE language IS NOT NULL GROUP BY ALL),
@@ -236,7 +234,7 @@ def _chi_sql(yes_no: str) -> str:
                CASE WHEN ay = 0 OR az = 0 THEN 'no variation' WHEN l < 5 THEN 'expected count below 5' END AS note FROM x"""
 
 
-def _fisher_sql(yes_no: str) -> str:
+def fisher_sql(yes_no: str) -> str:
     return f"""
         WITH {yes_no},
         c AS (SELECT feature, language, count(*) FILTER (yes) AS y, count(*) FILTER (NOT yes) AS z FROM f WHERE language IS NOT NULL GROUP BY ALL),
@@ -271,7 +269,8 @@ ORACLES = {
         SELECT workflow_id, snapshot_day, num_steps, CASE WHEN num_steps IS NULL THEN '' WHEN num_steps <= p70 THEN 'low' WHEN num_steps <= p80 THEN 'moderate' WHEN num_steps <= p90 THEN 'high' ELSE 'very high' END AS band
         FROM workflow_metrics, t""",
     "fixed_bands_range_join": f"""
-        SELECT {_LANG} AS language, CASE WHEN num_jobs <= 3 THEN 'low' WHEN num_jobs <= 7 THEN 'moderate' WHEN num_jobs <= 15 THEN 'high' WHEN num_jobs > 15 THEN 'very high' END AS label, count(*) AS workflows FROM workflow_metrics GROUP BY ALL""",
+        WITH {_LONG}, b AS (SELECT * FROM (VALUES {", ".join(f"('{m}', '{x}', {'NULL' if lo is None else lo}::DOUBLE, {'NULL' if hi is None else hi}::DOUBLE)" for m, x, lo, hi in bands.guide())}) v(metric, label, lo, hi))
+        SELECT language, o.metric, label, count(*) AS workflows FROM o LEFT JOIN b ON b.metric = o.metric AND (lo IS NULL OR value > lo) AND (hi IS NULL OR value <= hi) GROUP BY ALL""",
     "descriptives_scoped": f"""
         WITH {_LONG}
         SELECT language, metric, count(*) AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(stddev_samp(value), 4) AS std, round(min(value), 4) AS min,
@@ -287,15 +286,15 @@ ORACLES = {
         SELECT language, {", ".join(f"round(100.0 * {x} / (low + moderate + high + very_high), 2) AS {x}" for x in ("low", "moderate", "high", "very_high"))} FROM c""",
     "value_histogram_steps": f"""
         WITH {_LONG} SELECT language, metric, value, count(*) AS cnt FROM o WHERE metric IN ('num_steps', 'dependency_ratio') GROUP BY ALL""",
-    "profile_kruskal": _kruskal_sql(_ranked("processed_workflows", PROFILE_NUMERIC)),
-    "profile_rank_tests": _rank_sql(_ranked("processed_workflows", PROFILE_NUMERIC)),
-    "profile_chi_square": _chi_sql(_yes_no(_SHA, PROFILE_BINARY)),
-    "profile_proportion_tests": _fisher_sql(_yes_no(_SHA, PROFILE_BINARY)),
+    "profile_kruskal": kruskal_sql(_ranked("processed_workflows", PROFILE_NUMERIC)),
+    "profile_rank_tests": rank_sql(_ranked("processed_workflows", PROFILE_NUMERIC)),
+    "profile_chi_square": chi_sql(_yes_no(_SHA, PROFILE_BINARY)),
+    "profile_proportion_tests": fisher_sql(_yes_no(_SHA, PROFILE_BINARY)),
     "notable_tests": f"""
-        SELECT 'rank' AS kind, count(*) AS tests, count(*) FILTER (effect <> 'negligible') AS notable FROM ({_rank_sql(_ranked("processed_workflows", PROFILE_NUMERIC))})
-        UNION ALL SELECT 'proportion', count(*), count(*) FILTER (effect <> 'negligible') FROM ({_fisher_sql(_yes_no(_SHA, PROFILE_BINARY))})""",
-    "kruskal_wallis": _kruskal_sql(_RANKS),
-    "mann_whitney_cliffs": _rank_sql(_RANKS),
+        SELECT 'rank' AS kind, count(*) AS tests, count(*) FILTER (effect <> 'negligible') AS notable FROM ({rank_sql(_ranked("processed_workflows", PROFILE_NUMERIC))})
+        UNION ALL SELECT 'proportion', count(*), count(*) FILTER (effect <> 'negligible') FROM ({fisher_sql(_yes_no(_SHA, PROFILE_BINARY))})""",
+    "kruskal_wallis": kruskal_sql(_RANKS),
+    "mann_whitney_cliffs": rank_sql(_RANKS),
     # 2 (1 - Phi(z)): exp(-z^2 / 2) sqrt(2 / pi) times the integral of exp(-z t - t^2 / 2), by Simpson's rule
     "mann_whitney_p": f"""
         {_RANKS}, {_PAIRS},
@@ -304,8 +303,8 @@ ORACLES = {
         i AS (SELECT *, list_sum(list_transform(range(0, 4001), lambda k: (CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-y * k * 0.01 / m - (k * 0.01 / m) ** 2 / 2))) * 0.01 / 3 / m AS s FROM m),
         v AS (SELECT *, least(1, exp(-y * y / 2) * sqrt(2 / pi()) * s) AS p FROM i)
         SELECT metric, group_1, group_2, round(z, 6) AS z, round(p, 10) AS p_value, CASE WHEN p < 1e-4 THEN printf('%.4e', p) ELSE printf('%.4f', p) END AS p_formatted FROM v""",
-    "chi_square_omnibus": _chi_sql(_BINARY),
-    "fisher_exact_cohens_h": _fisher_sql(_BINARY),
+    "chi_square_omnibus": chi_sql(_BINARY),
+    "fisher_exact_cohens_h": fisher_sql(_BINARY),
     "kde_log1p": f"""
         WITH {_LONG},
         v AS (SELECT language, ln(1 + value) AS v, count(*) AS c FROM o WHERE language IS NOT NULL AND metric = 'num_steps' AND value >= 0 GROUP BY ALL),

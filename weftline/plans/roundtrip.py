@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import pipeline, rules, workflow
+from weftline.operators import pipeline, rules, stats, workflow
+from weftline.operators.histogram import value_histogram
+from weftline.plans.metrics import fisher_sql, kruskal_sql
+from weftline.session import cut
 from weftline.sources.tables import table
 
 #: The lines of a step by the kind of its line item; {p} is the part.
@@ -86,7 +89,24 @@ def rule_roundtrip_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return rules.violation_matrix(_detail(spark, folder, True), ["o_orderkey"])
 
 
-QUERIES = {f.__name__: f for f in (yaml_roundtrip_profile, yaml_roundtrip_complexity, rule_roundtrip_detail, rule_roundtrip_scores, rule_roundtrip_ranking, rule_roundtrip_matrix)}
+def _by_status(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
+    return found.join(table(spark, folder, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status_group")), "o_orderkey")
+
+
+def rule_roundtrip_proportions(spark: SparkSession, folder: str) -> DataFrame:
+    """Violations of each rule compared between the statuses of orders."""
+    ids = [r.rule_id.replace("-", "_") for r in rules.RULES if r.enabled]
+    return stats.fisher(stats.contingency(_by_status(spark, folder, rule_roundtrip_matrix(spark, folder)), "status_group", ids))
+
+
+def rule_roundtrip_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores compared between the statuses of orders."""
+    scored = _by_status(spark, folder, rule_roundtrip_scores(spark, folder))
+    hist = cut(value_histogram(scored, "status_group", ["compliance_score", "total_violations", "weighted_severity"]))
+    return stats.kruskal_wallis(hist).withColumn("p_value", F.round("p_value", 8))
+
+
+QUERIES = {f.__name__: f for f in (rule_roundtrip_proportions, rule_roundtrip_ranks, yaml_roundtrip_profile, yaml_roundtrip_complexity, rule_roundtrip_detail, rule_roundtrip_scores, rule_roundtrip_ranking, rule_roundtrip_matrix)}
 
 #: i: line items with kind and order; j: jobs; o: orders that have any.
 _BASE = f"""
@@ -146,3 +166,12 @@ ORACLES = {
         SELECT row_number() OVER (ORDER BY round(severity * prevalence_pct / 100, 3) DESC, rule_id) AS rank, *, round(severity * prevalence_pct / 100, 3) AS risk_score FROM g""",
     "rule_roundtrip_matrix": f"WITH {_BASE} SELECT o_orderkey, " + ", ".join(f"coalesce({v}, false)::INT AS {r.replace('-', '_')}" for r, (_, _, v) in _ENABLED.items()) + " FROM o",
 }
+_IDS = [r.replace("-", "_") for r in _ENABLED]
+ORACLES["rule_roundtrip_proportions"] = fisher_sql(
+    f"m AS ({ORACLES['rule_roundtrip_matrix']}), b AS (SELECT o_orderstatus AS language, {', '.join(f'{i} = 1 AS {i}' for i in _IDS)} FROM m JOIN orders USING (o_orderkey)), f AS (UNPIVOT b ON {', '.join(_IDS)} INTO NAME feature VALUE yes)"
+)
+_SCORED = ("compliance_score", "total_violations", "weighted_severity")
+ORACLES["rule_roundtrip_ranks"] = kruskal_sql(
+    f"""WITH w AS ({ORACLES['rule_roundtrip_scores']}), l AS (SELECT o_orderstatus AS language, {', '.join(f'{c}::DOUBLE AS {c}' for c in _SCORED)} FROM w JOIN orders USING (o_orderkey)),
+    u AS (UNPIVOT l ON {', '.join(_SCORED)} INTO NAME metric VALUE value), g AS (SELECT * FROM u)"""
+)

@@ -9,12 +9,14 @@ from weftline.functions.numbers import share
 from weftline.functions.text import canonical_language
 from weftline.operators import classify, labels, sequences
 from weftline.operators.histogram import quantiles
-from weftline.operators.scopes import with_overall
+from weftline.operators.scopes import pivot_first, with_overall
 from weftline.session import cut
 from weftline.sources.tables import table
 
 #: Yes-or-no columns of a profile. Fixed values.
 TRIGGERS = ("has_push", "has_pull_request", "has_schedule", "has_workflow_dispatch")
+#: The label with which a workflow is expected to begin.
+FIRST = "Fetch Sources"
 CONSTRUCTS = ("has_checkout", "has_setup", "has_test", "has_build", "uses_cache", "uses_reusable_workflows", "uses_composite_actions")
 
 
@@ -70,14 +72,20 @@ def construct_frequency(spark: SparkSession, folder: str) -> DataFrame:
 
 def construct_absence(spark: SparkSession, folder: str) -> DataFrame:
     has = lambda *x: F.arrays_overlap("labels", F.array(*map(F.lit, x)))
-    fetch, test, build = has("Fetch Sources"), has("Run Unit Suite", "Run Integration Suite", "Run Smoke Suite"), has("Compile Modules", "Assemble Bundle")
+    fetch, test, build = has(FIRST), has("Run Unit Suite", "Run Integration Suite", "Run Smoke Suite"), has("Compile Modules", "Assemble Bundle")
     patterns = {
         "no_checkout": ~fetch, "no_test": ~test, "no_build": ~build, "test_without_build": test & ~build, "build_without_test": build & ~test,
-        "neither": ~test & ~build, "checkout_only": fetch & (F.size("labels") == 1), "not_first": fetch & (F.element_at("labels", 1) != "Fetch Sources"),
+        "neither": ~test & ~build, "checkout_only": fetch & (F.size("labels") == 1), "not_first": fetch & (F.element_at("labels", 1) != FIRST),
     }
     return sequences.absence(_merged(spark, folder), patterns).withColumnRenamed("scope", "language")
 
 
+def absence_pivot(spark: SparkSession, folder: str) -> DataFrame:
+    """A row per pattern with its percentage in each scope, as a report shows it."""
+    names = {"Overall": "overall", "Python": "python", "Java": "java", "C++": "cpp"}
+    return pivot_first(construct_absence(spark, folder), ["pattern"], "language", list(names), "percentage").withColumnsRenamed(names)
+
+
 def non_first_filter(spark: SparkSession, folder: str) -> DataFrame:
     return sequences.first_steps(_merged(spark, folder), F.col("key") == "Fetch Sources").withColumnRenamed("scope", "language")
 
@@ -134,8 +142,6 @@ def pinning_by_scope(spark: SparkSession, folder: str) -> DataFrame:
 #: Columns of a profile whose mean a summary shows, with its digits, and numbers of which it shows how many workflows have any. Fixed values.
 MEANS = {"completeness_score": ("avg_completeness_score", 3), "total_modularity_constructs": ("avg_modularity_constructs", 2)}
 ANY = {"pinned_to_sha": "pct_any_sha_pinned", "pinned_to_tag": "pct_any_tag_pinned", "unpinned": "pct_any_unpinned"}
-#: The label with which a workflow is expected to begin.
-FIRST = "Fetch Sources"
 
 
 def _number(column: str) -> Column:
@@ -180,7 +186,7 @@ def global_summary(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        arrow_normalise, sequence_first_occurrence, top_sequences, common_sequences, ngram_prefix_suffix, step_transitions, step_cooccurrence, construct_frequency, construct_absence, non_first_filter,
+        arrow_normalise, sequence_first_occurrence, top_sequences, common_sequences, ngram_prefix_suffix, step_transitions, step_cooccurrence, construct_frequency, construct_absence, absence_pivot, non_first_filter,
         label_display, trigger_x_construct, modularity_x_complexity, pinning_by_scope, language_summary, global_summary,
     )
 }
@@ -278,3 +284,5 @@ ORACLES = {
     "global_summary": f"""{_SUMMARY}
         SELECT * EXCLUDE (language, max_sequence_length, avg_modularity_constructs, top1_sequence, top1_pct) RENAME (workflow_count AS total_workflows, common_seq_count_5pct AS common_full_sequences_count) FROM a LEFT JOIN o USING (language), g WHERE language = 'Overall'""",
 }
+ORACLES["absence_pivot"] = f"""
+    SELECT pattern, {", ".join(f"max(percentage) FILTER (language = '{x}') AS {n}" for x, n in (("Overall", "overall"), ("Python", "python"), ("Java", "java"), ("C++", "cpp")))} FROM ({ORACLES['construct_absence']}) GROUP BY 1"""

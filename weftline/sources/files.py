@@ -34,21 +34,68 @@ def workflow_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def zipped_files(spark: SparkSession, archives: str) -> DataFrame:
-    """archive, path, content (bytes) of every file in the ZIP archives of a folder; a broken archive gives one row with a null path."""
+    """archive, path, content (bytes), error of every file in the ZIP archives of a folder.
+
+    An archive that cannot be opened gives one row with a null path; an entry that cannot be read
+    (encrypted, damaged, of an unknown method) a row with its path and no content. Both have an error.
+    """
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def row(archive, path, content, error):
+            return pd.DataFrame({"archive": [archive], "path": [path], "content": [content], "error": [error]})
+
         for batch in batches:
             for archive, content in zip(batch["path"], batch["content"]):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for name in z.namelist():
-                            if not name.endswith("/"):
-                                yield pd.DataFrame({"archive": [archive], "path": [name], "content": [z.read(name)]})
-                except zipfile.BadZipFile:
-                    yield pd.DataFrame({"archive": [archive], "path": [None], "content": [None]})
+                    opened = zipfile.ZipFile(io.BytesIO(content))
+                except Exception as error:  # whatever the archive holds, the task goes on
+                    yield row(archive, None, None, f"{type(error).__name__}: {error}")
+                    continue
+                with opened as z:
+                    for name in z.namelist():
+                        if name.endswith("/"):
+                            continue
+                        try:
+                            yield row(archive, name, z.read(name), None)
+                        except Exception as error:
+                            yield row(archive, name, None, f"{type(error).__name__}: {error}")
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(archives)
-    return found.select("path", "content").mapInPandas(entries, "archive string, path string, content binary")
+    return found.select("path", "content").mapInPandas(entries, "archive string, path string, content binary, error string")
+
+
+def extract(spark: SparkSession, archives: str, target: str, force: bool = False) -> DataFrame:
+    """The files of zipped_files(), kept as a Parquet table at `target`.
+
+    A complete table that is there already is not written again, unless forced.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+    if force or not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        zipped_files(spark, archives).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
+
+def without_content(files: DataFrame, key: str, content: str) -> tuple[DataFrame, DataFrame]:
+    """(files without their contents, contents by key): a narrow table for everything that reads no texts, and a side table to join."""
+    return files.drop(content), files.select(key, content)
+
+
+def robust(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """Delimited text read in the strictest of four ways that gives the required columns: tabs with quotes, commas with quotes, tabs without quotes, and lines whose surplus cells join the last column.
+
+    Raises ValueError where none does. A byte order mark before the header is dropped.
+    """
+    header = spark.read.text(path).limit(1).collect()
+    line = header[0][0].lstrip("\ufeff") if header else ""
+    for separator, quote in (("\t", '"'), (",", '"'), ("\t", "")):
+        names = [c.strip().strip(quote or " ").lstrip("\ufeff") for c in line.split(separator)]
+        if all(c in names for c in required):
+            rows = spark.read.option("header", "true").option("sep", separator).option("quote", quote).option("multiLine", bool(quote)).option("escape", quote or "\\").option("mode", "DROPMALFORMED").csv(path)
+            return rows.toDF(*(c.lstrip("\ufeff").strip() for c in rows.columns))
+    separator = "\t" if line.count("\t") >= line.count(",") else ","
+    if line.count(separator) + 1 < len(required):
+        raise ValueError(f"no way of reading {path} gives the columns {', '.join(required)}")
+    return ragged(spark.read.text(path).where(F.col("value") != F.lit(line)), required, separator)
 
 
 def delimited(spark: SparkSession, path: str, required: list[str]) -> DataFrame:

@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import cut
+
 
 def write_csv(rows: DataFrame, path: str, bom: bool = False) -> int:
     """Writes a CSV with every field quoted and reads it back; ValueError if rows or columns differ. Returns the number of rows.
 
-    With `bom` the first column's name begins with a byte order mark, as spreadsheets expect.
+    With `bom` the first column's name begins with a byte order mark, as spreadsheets expect. The rows
+    are computed once. Every row is compared by a hash of its texts; nulls and empty texts, and kinds
+    of line ends, are the same to a CSV.
     """
     if len(set(rows.columns)) < len(rows.columns):
         raise ValueError("column names repeat")
+    rows = cut(rows)
     out = rows.withColumnRenamed(rows.columns[0], "﻿" + rows.columns[0]) if bom else rows
-    out.write.mode("errorifexists").option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
+    out.write.mode("errorifexists").option("header", "true").option("quoteAll", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
     back = rows.sparkSession.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
-    want, got = rows.count(), back.count()
-    if got != want or [c.lstrip("﻿") for c in back.columns] != rows.columns:
-        raise ValueError(f"wrote {want} rows of {rows.columns}, read {got} of {back.columns}")
-    return got
+    plain = lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "\r\n?", "\n")
+    marks = lambda df: df.agg(F.count("*"), *(F.sum(F.xxhash64(F.lit(i), plain(F.col(f"`{c}`"))).cast("decimal(38,0)")) for i, c in enumerate(df.columns))).first()
+    want, got = marks(rows), marks(back)
+    if got != want or [c.lstrip("\ufeff") for c in back.columns] != rows.columns:
+        raise ValueError(f"wrote {want[0]} rows of {rows.columns}, read {got[0]} of {back.columns}, or other texts")
+    return got[0]
 
 
 def quarantine(files: DataFrame, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
