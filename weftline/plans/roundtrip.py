@@ -168,7 +168,7 @@ ORACLES = {
 }
 _IDS = [r.replace("-", "_") for r in _ENABLED]
 ORACLES["rule_roundtrip_proportions"] = fisher_sql(
-    f"m AS ({ORACLES['rule_roundtrip_matrix']}), b AS (SELECT o_orderstatus AS language, {', '.join(f'{i} = 1 AS {i}' for i in _IDS)} FROM m JOIN orders USING (o_orderkey)), f AS (UNPIVOT b ON {', '.join(_IDS)} INTO NAME feature VALUE yes)"
+    f"vm AS ({ORACLES['rule_roundtrip_matrix']}), b AS (SELECT o_orderstatus AS language, {', '.join(f'{i} = 1 AS {i}' for i in _IDS)} FROM vm JOIN orders USING (o_orderkey)), f AS (UNPIVOT b ON {', '.join(_IDS)} INTO NAME feature VALUE yes)"
 )
 _SCORED = ("compliance_score", "total_violations", "weighted_severity")
 ORACLES["rule_roundtrip_ranks"] = kruskal_sql(
