@@ -332,8 +332,9 @@ def _read(text: str | None) -> tuple[list[Finding], list[Scalar]]:
     """The credentials of a text in order, none inside another; its YAML values, where there may be any."""
     if not text:
         return [], []
-    low = _squeezed(text.lower())
-    hints, forms = [w for w in _HINTS if w in low], [w for w in _FORM_HINTS if w in text]
+    lowered = text.lower()
+    squeezed = _squeezed(lowered)
+    hints, forms = [w for w in _HINTS if w in squeezed], [w for w in _FORM_HINTS if w in text]
     if not hints and not forms:
         return [], []
     found: list[Finding] = []
@@ -346,24 +347,23 @@ def _read(text: str | None) -> tuple[list[Finding], list[Scalar]]:
             last = max(x.end() for x in _BODY.finditer(body))
             found.append(Finding(m.start(), stop if end and nearest < 0 else m.end() + last, "private key"))
     armoured, start, told = list(found), 0, False
-    for line in text.split("\n"):
-        if any(w in line for w in forms):
+    hinted = re.compile("|".join(hints)).search if hints else None
+    # lower case and squeezing leave line feeds as they are
+    for line, low, bare in zip(text.split("\n"), lowered.split("\n"), squeezed.split("\n")):
+        if forms and any(w in line for w in forms):
             found.extend(Finding(start + m.start(), start + m.end(), "token form") for m in _FORM.finditer(line) if literal(m[0]) and len(set(m[0])) > 7)
-        if hints:
-            low = line.lower()
-            squeezed = _squeezed(low)
-            if any(w in squeezed for w in hints):
-                found.extend(Finding(start + f.start, start + f.end, f.kind) for f in _in_line(line.rstrip("\r"), low))
-                told = told or any(_tells(m[1] or m[2]) for m in _KEYS.finditer(line)) or any(_tells(m[1]) for m in _BESIDE.finditer(line))
+        if hinted and hinted(bare):
+            found.extend(Finding(start + f.start, start + f.end, f.kind) for f in _in_line(line.rstrip("\r"), low))
+            told = told or any(_tells(m[1] or m[2]) for m in _KEYS.finditer(line)) or any(_tells(m[1]) for m in _BESIDE.finditer(line))
         start += len(line) + 1
-    for m in _BLOCK.finditer(text):
+    for m in _BLOCK.finditer(text) if told else ():
         if kind := sensitive(m[2]):
             depth = len(m[1].expandtabs(1))
             rest = _VALUE_LINE.match(text, m.end())
             value = rest[2].rstrip("\r \t")
             if rest and len(rest[1]) > depth and holds(value, kind) and not value.startswith(("-", "#")) and ": " not in value and not value.endswith(":"):
                 found.append(Finding(rest.start(2), rest.start(2) + len(value), "key name"))
-    for m in _NAMED.finditer(text):
+    for m in _NAMED.finditer(text) if told else ():
         if kind := sensitive(m[2]):
             stop = text.find("\n", m.end())
             line = text[m.end() : stop if stop >= 0 else len(text)].rstrip("\r")
