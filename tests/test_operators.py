@@ -84,6 +84,9 @@ def test_sequences(spark):
     assert top[("x", "A → B → C")] == (2, 66.67, 1) and top[("Overall", "A → B → C")][0] == 2 and ("y", "") not in top
     assert {(r.from_step, r.to_step): r["count"] for r in sequences.transitions(merged).where("scope = 'Overall'").collect()} == {("A", "B"): 2, ("B", "C"): 2, ("A", "A"): 1}
     assert {(r.step_a, r.step_b): r["count"] for r in sequences.pair_counts(merged).where("scope = 'x'").collect()} == {("A", "B"): 2, ("A", "C"): 2, ("B", "C"): 2}
+    wide = spark.createDataFrame([("x", [f"l{i:02}" for i in range(23)]), ("x", ["l00", "l22", "l00"])], "scope string, labels array<string>")
+    by_chunk = [sorted(map(tuple, sequences.pair_counts(sequences.merged(wide, "scope", "labels"), 1000, c).collect())) for c in (256, 7)]
+    assert by_chunk[0] == by_chunk[1] and len(by_chunk[0]) == 2 * 23 * 22 // 2
     assert sequences.end_ngrams(merged.limit(0)).collect() == [] and sequences.common_sequences(merged.limit(0)).collect() == []
 
 

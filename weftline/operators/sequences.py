@@ -37,7 +37,7 @@ def totals(merged_rows: DataFrame) -> DataFrame:
 def counted(merged_rows: DataFrame, keys: list[Column], most: int | None, per: list[str] = [], text: str = "key", of_all: bool = True) -> DataFrame:  # noqa: B006
     """scope, per..., key, count, percentage (of the scope's sequences), rank."""
     counts = with_overall(merged_rows.groupBy("scope", *keys).agg(F.sum("w").alias("count")), "scope", [*per, text], ["count"])
-    out = counts.join(F.broadcast(totals(merged_rows)), "scope").withColumn("percentage", share(F.col("count"), F.col("total")))
+    out = counts.join(totals(merged_rows), "scope").withColumn("percentage", share(F.col("count"), F.col("total")))
     return ranked(out, ["scope", *per], "count", text, most) if most else out
 
 
@@ -63,7 +63,7 @@ def end_ngrams(merged_rows: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), most:
     ]
     long = merged_rows.select("scope", "w", F.expr(f"inline(array({', '.join(grams)}))")).where("key is not null")
     counts = with_overall(long.groupBy("scope", "position", "n", "key").agg(F.sum("w").alias("count")), "scope", ["position", "n", "key"], ["count"])
-    out = counts.join(F.broadcast(totals(merged_rows)), "scope")
+    out = counts.join(totals(merged_rows), "scope")
     top = ranked(out, ["scope", "position", "n"], "count", "key", most)
     return top.select("scope", "position", "n", F.col("key").alias("ngram"), "count", share(F.col("count"), F.col("total")).alias("percentage"))
 
@@ -75,24 +75,38 @@ def transitions(merged_rows: DataFrame, most: int = 50) -> DataFrame:
     counts = with_overall(long.groupBy("scope", "from_step", "to_step").agg(F.sum("w").alias("count")), "scope", ["from_step", "to_step"], ["count"])
     whole = counts.groupBy("scope").agg(F.sum("count").alias("total"))
     top = ranked(counts.withColumn("key", F.struct("from_step", "to_step")), ["scope"], "count", "key", most)
-    return top.join(F.broadcast(whole), "scope").select("scope", "from_step", "to_step", "count", share(F.col("count"), F.col("total"), 3).alias("percentage"))
+    return top.join(whole, "scope").select("scope", "from_step", "to_step", "count", share(F.col("count"), F.col("total"), 3).alias("percentage"))
 
 
-def pair_counts(merged_rows: DataFrame, most: int = 30) -> DataFrame:
-    """scope, step_a < step_b, count, percentage of sequences holding both."""
+#: Labels of a set from which on its pairs are formed by chunks of this many.
+CHUNK = 256
+
+
+def pair_counts(merged_rows: DataFrame, most: int = 30, chunk: int = CHUNK) -> DataFrame:
+    """scope, step_a < step_b, count, percentage of sequences holding both.
+
+    A set of more than `chunk` labels is cut into chunks; each pair of chunks is a row of its own that
+    goes to any task, so no task forms all pairs of a long sequence.
+    """
     sets = merged_rows.select("scope", "w", F.array_sort(F.array_distinct("labels")).alias("s")).groupBy("scope", "s").agg(F.sum("w").alias("w"))
     pair = "flatten(transform(s, (a, i) -> transform(slice(s, i + 2, size(s)), b -> struct(a as step_a, b as step_b))))"
-    long = sets.select("scope", "w", F.expr(f"inline({pair})"))
+    long = sets.where(F.size("s") <= chunk).select("scope", "w", F.expr(f"inline({pair})"))
+    part = f"slice(s, {{0}} * {chunk} + 1, {chunk})"
+    chunks = sets.where(F.size("s") > chunk).select("scope", "w", "s", F.explode(F.expr(f"sequence(0, (size(s) - 1) div {chunk})")).alias("k"))
+    chunks = chunks.select("scope", "w", "s", "k", F.explode(F.expr(f"sequence(k, (size(s) - 1) div {chunk})")).alias("m"))
+    chunks = chunks.select("scope", "w", F.expr(part.format("k")).alias("own"), F.expr(part.format("m")).alias("other")).repartition(F.xxhash64("own", "other"))
+    cross = "flatten(transform(own, a -> transform(filter(other, b -> a < b), b -> struct(a as step_a, b as step_b))))"
+    long = long.unionByName(chunks.select("scope", "w", F.expr(f"inline({cross})")))
     counts = with_overall(long.groupBy("scope", "step_a", "step_b").agg(F.sum("w").alias("count")), "scope", ["step_a", "step_b"], ["count"])
     top = ranked(counts.withColumn("key", F.struct("step_a", "step_b")), ["scope"], "count", "key", most)
-    return top.join(F.broadcast(totals(merged_rows)), "scope").select("scope", "step_a", "step_b", "count", share(F.col("count"), F.col("total")).alias("percentage"))
+    return top.join(totals(merged_rows), "scope").select("scope", "step_a", "step_b", "count", share(F.col("count"), F.col("total")).alias("percentage"))
 
 
 def construct_frequency(merged_rows: DataFrame, common: float = 5.0) -> DataFrame:
     """scope, label, count of sequences holding it, percentage, is_common."""
     long = merged_rows.select("scope", "w", F.explode(F.array_distinct("labels")).alias("label"))
     counts = with_overall(long.groupBy("scope", "label").agg(F.sum("w").alias("count")), "scope", ["label"], ["count"])
-    out = counts.join(F.broadcast(totals(merged_rows)), "scope")
+    out = counts.join(totals(merged_rows), "scope")
     return out.select("scope", "label", "count", share(F.col("count"), F.col("total")).alias("percentage"), (F.col("count") * 100 >= common * F.col("total")).alias("is_common"))
 
 
