@@ -393,6 +393,17 @@ def test_long_chains(spark, one_task):
     assert out == {"chain": (n + 1, False), "ring": (None, True), "tail": (None, True), "self": (None, True), "fork": (6, False), "both": (None, True), "unreached": (None, True), "ladder": (7, False)}
 
 
+def test_aliases_that_loop_or_explode():
+    began = time.perf_counter()
+    loop = workflow.parse_document("a: &x {b: *x}\njobs: {}\n")
+    bomb = "a0: &a0 [x, x, x, x, x, x, x, x, x]\n" + "".join(f"a{i}: &a{i} [{', '.join([f'*a{i - 1}'] * 9)}]\n" for i in range(1, 12)) + "on: *a11\njobs: {}\n"
+    deep = workflow.parse_document("[" * 200_000 + "]" * 200_000)
+    assert loop["status"] == "extract_error" and "cycle" in loop["error"] and workflow.parse_document(bomb)["status"] == "extract_error" and deep["status"] == "parse_error"
+    shared = workflow.parse_document("a: &x {b: {c: 1}}\nd: [*x, *x]\njobs: {}\n")
+    assert (shared["max_nesting_depth"], shared["full_depth"]) == (2, 3)
+    assert time.perf_counter() - began < 5
+
+
 def test_walks_with_cycles():
     import random
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.numbers import chi_tail, exact_u, p_text, two_sided
@@ -28,6 +28,7 @@ def kruskal_wallis(hist: DataFrame) -> DataFrame:
     hist: group, metric, value, cnt. Metrics with fewer than three groups give no row; without any
     two different values h is null.
     """
+    hist = cut(hist)
     pooled = hist.groupBy("metric", "value").agg(F.sum("cnt").alias("cnt"))
     ranks = running(pooled, ["metric"]).select("metric", "value", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("rank"), F.col("cnt").alias("t"))
     ties = ranks.groupBy("metric").agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
@@ -88,7 +89,8 @@ def chi_square(table: DataFrame) -> DataFrame:
     Two groups get the continuity correction. Without variation the statistic is 0 and p 1; with an
     expected count below 5 the statistic is 0, p null, and the note says so.
     """
-    sums = cut(table.groupBy("feature").agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"), F.count("*").alias("groups")))
+    of_feature = Window.partitionBy("feature")  # a row per group
+    table = table.select("*", F.sum("yes").over(of_feature).alias("all_yes"), F.sum("no").over(of_feature).alias("all_no"), F.count("*").over(of_feature).alias("groups"))
     n = F.col("yes") + F.col("no")
     whole = (F.col("all_yes") + F.col("all_no")).cast("double")
     e1, e0 = n * F.col("all_yes") / whole, n * F.col("all_no") / whole
@@ -99,7 +101,7 @@ def chi_square(table: DataFrame) -> DataFrame:
         return F.pow(off, F.lit(2)) / F.nullif(expected, F.lit(0.0))
 
     both = part(F.col("yes"), e1) + part(F.col("no"), e0)
-    out = table.join(small(sums), "feature").groupBy("feature", "groups").agg(F.sum(both).alias("x"), F.min(F.least(e1, e0)).alias("least"), F.first("all_yes").alias("y"), F.first("all_no").alias("z"))
+    out = table.groupBy("feature", "groups").agg(F.sum(both).alias("x"), F.min(F.least(e1, e0)).alias("least"), F.first("all_yes").alias("y"), F.first("all_no").alias("z"))
     flat, thin = (F.col("y") == 0) | (F.col("z") == 0), F.col("least") < 5
     statistic = F.when(flat | thin, 0.0).otherwise(F.round("x", 4))
     tail = F.when(F.col("groups") == 3, F.exp(-F.col("x") / 2)).otherwise(chi_tail(F.col("x"), F.col("groups") - 1))
@@ -177,8 +179,8 @@ def kde_log1p(hist: DataFrame, points: int = 400, least: int = 10) -> DataFrame:
     hist: group, value, cnt of values from 0 on. Groups of fewer than `least` values or without
     spread give no rows. Each distinct value meets the grid inside its task and only grid sums are shuffled.
     """
-    logged = hist.where("value >= 0").withColumn("v", F.log1p("value"))
-    means = small(cut(logged.groupBy("group").agg(F.sum("cnt").alias("n"), (F.sum(F.col("v") * F.col("cnt")) / F.sum("cnt")).alias("mean"))))
+    logged = cut(hist.where("value >= 0").withColumn("v", F.log1p("value")))
+    means = logged.groupBy("group").agg(F.sum("cnt").alias("n"), (F.sum(F.col("v") * F.col("cnt")) / F.sum("cnt")).alias("mean"))
     squares = F.sum(F.pow(F.col("v") - F.col("mean"), F.lit(2)) * F.col("cnt"))
     spread = logged.join(means, "group").groupBy("group", "n").agg(squares.alias("s2")).withColumn("sd", F.sqrt(F.col("s2") / F.nullif(F.col("n") - 1, F.lit(0)))).where(f"n >= {least} and sd > 0")
     width = spread.withColumn("width", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))

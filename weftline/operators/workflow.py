@@ -29,15 +29,58 @@ DOCUMENT = (
 _COLUMNS = ("status", "error", "max_nesting_depth", "full_depth", "vertical_depth", "cycle_depth", "job_order", "events", "crons", "on_json", "permissions_json", "concurrency_json", "jobs")
 
 
-def _depth(node, lists: bool) -> int:
-    """Levels of nesting below a node; a list counts as one level and is entered only with `lists`."""
-    deepest, todo = 0, [(node, 0)]
+#: Nodes that a file may have once its aliases are written out.
+MOST_NODES = 5_000_000
+
+
+def _depths(root) -> tuple[int, int]:
+    """Levels of nesting below a node: through mappings only, where a list counts as one level, and through lists too.
+
+    Nodes that aliases share are visited once. ValueError where aliases form a cycle or stand for more
+    than MOST_NODES nodes.
+    """
+    done: dict[int, tuple[int, int, int]] = {}  # levels through mappings, through all, nodes
+    todo = [(root, False)]
+    open_: set[int] = set()
     while todo:
-        at, d = todo.pop()
-        deepest = max(deepest, d)
-        inner = at.values() if isinstance(at, dict) else at if lists and isinstance(at, list) else ()
-        todo.extend((x, d + 1) for x in inner if isinstance(x, (dict, list)))
-    return deepest
+        node, closing = todo.pop()
+        inner = [x for x in (node.values() if isinstance(node, dict) else node) if isinstance(x, (dict, list))]
+        if closing:
+            open_.discard(id(node))
+            found = [done[id(x)] for x in inner]
+            below = max((d for d, _, _ in found), default=-1) if isinstance(node, dict) else -1
+            size = len(node) + 1 + sum(n for _, _, n in found)
+            if size > MOST_NODES:
+                raise ValueError(f"aliases stand for more than {MOST_NODES} nodes")
+            done[id(node)] = (below + 1, max((d for _, d, _ in found), default=-1) + 1, size)
+        elif id(node) in open_:
+            raise ValueError("aliases form a cycle")
+        elif id(node) not in done:
+            open_.add(id(node))
+            todo.append((node, True))
+            todo.extend((x, False) for x in inner)
+    return done[id(root)][:2]
+
+
+#: Levels of nesting that the parser, which is recursive, is given.
+MOST_LEVELS = 5_000
+
+
+def _too_deep(text: str, loader) -> bool:
+    """Whether a text is nested deeper than MOST_LEVELS; read event by event, and only if it has signs enough for it."""
+    import yaml
+
+    if len(text) < 2 * MOST_LEVELS or sum(map(text.count, "[{-?")) < MOST_LEVELS and " " * MOST_LEVELS not in text:
+        return False
+    depth = 0
+    for event in yaml.parse(text, Loader=loader):
+        if isinstance(event, yaml.CollectionStartEvent):
+            depth += 1
+            if depth > MOST_LEVELS:
+                return True
+        elif isinstance(event, yaml.CollectionEndEvent):
+            depth -= 1
+    return False
 
 
 def _needs(job) -> list[str]:
@@ -183,8 +226,11 @@ def parse_document(text: str | None) -> dict:
     out = dict.fromkeys(_COLUMNS)
     if not text or not text.strip():
         return out | {"status": "empty"}
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
     try:
-        doc = yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+        if _too_deep(text, loader):
+            raise ValueError(f"nested deeper than {MOST_LEVELS} levels")
+        doc = yaml.load(text, Loader=loader)
     except Exception as error:  # whatever the parser meets, the file is set aside
         return out | {"status": "parse_error", "error": str(error)}
     if not isinstance(doc, dict):
@@ -193,12 +239,13 @@ def parse_document(text: str | None) -> dict:
     if not isinstance(jobs, dict):
         return out | {"status": "missing_jobs", "error": "no mapping of jobs"}
     try:
+        shallow, deep = _depths(doc)  # first, as it refuses what cannot be walked
         on = doc.get("on", doc.get(True))
         events, crons = _events(on)
         needs = {str(k): _needs(v) for k, v in jobs.items()}
         dump = lambda k: json.dumps(doc[k], default=str) if k in doc else None
         return out | {
-            "status": "ok", "max_nesting_depth": _depth(doc, False), "full_depth": _depth(doc, True), "vertical_depth": chain_depth(needs), "cycle_depth": chain_depth(needs, 1), "job_order": job_order(needs),
+            "status": "ok", "max_nesting_depth": shallow, "full_depth": deep, "vertical_depth": chain_depth(needs), "cycle_depth": chain_depth(needs, 1), "job_order": job_order(needs),
             "events": events, "crons": crons, "on_json": json.dumps(on, default=str) if on is not None else None, "permissions_json": dump("permissions"), "concurrency_json": dump("concurrency"),
             "jobs": [_job(k, v) for k, v in jobs.items()],
         }

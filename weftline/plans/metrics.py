@@ -138,7 +138,7 @@ def _profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def profile_kruskal(spark: SparkSession, folder: str) -> DataFrame:
-    found = stats.kruskal_wallis(cut(value_histogram(_profiles(spark, folder), "language", list(PROFILE_NUMERIC))))
+    found = stats.kruskal_wallis(value_histogram(_profiles(spark, folder), "language", list(PROFILE_NUMERIC)))
     return found.withColumn("p_value", F.round("p_value", 8))
 
 

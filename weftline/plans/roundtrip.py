@@ -102,7 +102,7 @@ def rule_roundtrip_proportions(spark: SparkSession, folder: str) -> DataFrame:
 def rule_roundtrip_ranks(spark: SparkSession, folder: str) -> DataFrame:
     """Scores compared between the statuses of orders."""
     scored = _by_status(spark, folder, rule_roundtrip_scores(spark, folder))
-    hist = cut(value_histogram(scored, "status_group", ["compliance_score", "total_violations", "weighted_severity"]))
+    hist = value_histogram(scored, "status_group", ["compliance_score", "total_violations", "weighted_severity"])
     return stats.kruskal_wallis(hist).withColumn("p_value", F.round("p_value", 8))
 
 
