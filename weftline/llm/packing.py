@@ -106,16 +106,16 @@ def pack(items: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
     none). Null sizes count as 0. Repeated rows are items of their own. Every item comes out, and no
     bin is filled beyond the capacity. bin_id has no gaps.
 
-    Only the number of items per size (at most `capacity` of them) reaches the driver, where plan()
-    decides how many bins get which sizes. Each item then finds its bin from its number among the
-    items of its size; these are numbered in buckets by a hash, so that no size, however common, is
-    sorted in one task.
+    `items` is read three times, so it should be a written table. Only the number of items per size (at
+    most `capacity` of them) reaches the driver, where plan() decides how many bins get which sizes.
+    Each item then finds its bin from its number among the items of its size; these are numbered in
+    buckets by a hash, so that no size, however common, is sorted in one task.
     """
     if not 0 < capacity <= MAX_CAPACITY:
         raise ValueError(f"capacity must be between 1 and {MAX_CAPACITY}")
     sized = items.select(F.col(item).alias("item"), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("bigint").alias("whole"))
     cutting = f"transform(sequence(0L, greatest(whole - 1, 0L) div {capacity}), k -> struct(k as piece, k * {capacity} as first, least({capacity}, whole - k * {capacity}) as tokens))"
-    parts = cut(sized.select("item", F.explode(F.expr(cutting)).alias("p")).select("item", "p.*"))
+    parts = sized.select("item", F.explode(F.expr(cutting)).alias("p")).select("item", "p.*")
     histogram = {r["tokens"]: r["n"] for r in parts.groupBy("tokens").agg(F.count("*").alias("n")).collect()}
     rows, bins = plan(capacity, {s: n for s, n in histogram.items() if s > 0})
     buckets = max(1, -(-max(histogram.values(), default=0) // BUCKET))
