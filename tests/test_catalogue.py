@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from weftline.plans import catalogue
+from weftline.plans import catalogue, reports
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -57,3 +57,9 @@ def test_entry(spark):
 def test_lines_of_all_documents(spark, sql):
     lines = sum(r.lines for r in entry.queries()["classify_lines"](spark, FOLDER).collect())
     assert lines == sql.execute("SELECT sum(len(string_split(text, chr(10)))) FROM documents").fetchone()[0]
+
+
+@pytest.mark.parametrize("name, heads", [("metrics_report", 5), ("patterns_report", 6), ("sample_report", 2), ("compliance_report", 2)])
+def test_reports(spark, name, heads):
+    text = getattr(reports, name)(entry.ship(spark), FOLDER)
+    assert sum(set(line) == {"="} for line in text.splitlines()) == 2 * heads and len(text) > 500
