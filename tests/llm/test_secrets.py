@@ -1,5 +1,7 @@
 """Credentials: what is found, what is not, and masking that changes nothing else."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,20 @@ def test_settings():
     values = settings("a: |\n  x=1\n  y=2\nb: 3\n")
     around = enclosing(values)
     assert [holder(values, around, p) and holder(values, around, p).path[-1] for p in (0, 7, 9, 10, 15, 20)] == [None, "a", "x", "a", "y", "b"]
+
+
+LONG = ["password=", "auth=", "token: ", "http ", "docker login ", "mysql -p", "https://hooks/", "://a:b@", "a b ", "cat <<EOF\n", "'", '"', "pat.", "key: ", "a=1\n", "eyJaaaaaaaa.", "-----BEGIN PRIVATE KEY-----\n"]
+
+
+@pytest.mark.parametrize("unit", LONG)
+def test_long_lines_do_not_hang(unit):
+    began = time.perf_counter()
+    for text in (unit * (100_000 // len(unit)), "pass: |\n  " + unit.replace("\n", "\n  ") * (100_000 // len(unit))):
+        findings(text)
+    assert time.perf_counter() - began < 5
+
+
+def test_tool_and_flag():
+    for text in ("docker login -u a -p 'aB3!xyz' h && podman login --password qW3!xyz h", "docker x; login y; curl -u ci:aB3!xyz h", "mysql a | mysql -paB3!xyz"):
+        assert [f.kind for f in findings(text)][-1:] == ["command"]
+    assert findings("login -p aB3!xyz docker") == [] and findings("docker -p aB3!xyz login") == []

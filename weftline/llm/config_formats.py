@@ -56,10 +56,16 @@ def _inside(text: str, value: Scalar) -> Iterator[Scalar]:
     if found := entries(text, value.start, value.end, value.path):
         yield from found[0]
         return
-    for m in _HERE.finditer(text, value.start, value.end):
-        stop = re.compile(rf"^[ \t]*{m[2]}[ \t]*\r?$", re.M).search(text, m.end(), value.end)
-        if stop and (found := entries(text, m.end(), stop.start(), value.path)):
+    at, missing = value.start, set()
+    while m := _HERE.search(text, at, value.end):
+        at = m.end()
+        stop = None if m[2] in missing else re.compile(rf"^[ \t]*{m[2]}[ \t]*\r?$", re.M).search(text, at, value.end)
+        if stop is None:
+            missing.add(m[2])
+            continue
+        if found := entries(text, at, stop.start(), value.path):
             yield from found[0]
+        at = stop.end()
 
 
 def settings(text: str) -> list[Scalar]:

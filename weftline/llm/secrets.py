@@ -66,10 +66,13 @@ _SCHEME = re.compile(r"(?i)\b(?:bearer|basic|token|apikey)\s+[\"']?([^\s\"'\\,;<
 # key, operator and the rest: after a quote up to its end, else up to a blank or what ends a word there
 _ASSIGN = re.compile(r"(?<![\w$%{.\-])(?:--?D?|-P|[$]env:)?[\"']?([A-Za-z_][\w.\-]*?)[\"']?[ \t]*(:=|=>|==|[:=])(?=[ \t\"'\S])[ \t]*")
 _OPTION = re.compile(r"(?<!\S)--?([A-Za-z][\w-]*)[ \t]+(?=\S)")
-_LOGIN = re.compile(r"\b(?:docker|podman|helm|buildah|skopeo|oras|crane|nerdctl|az|oc|cf|vault|npm|twine|registry|heroku)\b.*\blogin\b.*?(?<!\S)(?:-p|--password|--pass|-P)[ =]\s*")
+_LOGIN_TOOL = re.compile(r"\b(?:docker|podman|helm|buildah|skopeo|oras|crane|nerdctl|az|oc|cf|vault|npm|twine|registry|heroku)\b")
+_LOGIN_WORD = re.compile(r"\blogin\b")
+_LOGIN_FLAG = re.compile(r"(?<!\S)(?:-p|--password|--pass|-P)[ =]\s*")
 _SSHPASS = re.compile(r"\bsshpass\s+-p\s*")
-_MYSQL = re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^|;]*?\s-p(?=[^\s-])")
-_USERPASS = re.compile(r"(?:\bcurl\b|\bwget\b|\bhttp\b|\bhttps\b)[^|;]*?(?:\s-u|\s--user|\s-U|\s--proxy-user|\s-a)[ =]?[\"']?([^\s:\"']+):")
+_PART = re.compile(r"[^|;]+")  # of a line of commands
+_MYSQL_TOOL, _MYSQL_FLAG = re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b"), re.compile(r"\s-p(?=[^\s-])")
+_FETCH_TOOL, _FETCH_FLAG = re.compile(r"\b(?:curl|wget|https?)\b"), re.compile(r"(?:\s-u|\s--user|\s-U|\s--proxy-user|\s-a)[ =]?[\"']?([^\s:\"']+):")
 _NETRC = re.compile(r"(?:^|\s)(?:password|passwd)\s+(?=\S)")
 _CALL = re.compile(r"(?i)\b(?:add_?password|set_?password|basic_?auth|with_?credentials|httpbasicauth|login|authenticate)\s*\((.*)")
 _LAST_ARG = re.compile(r"([\"'])((?:(?!\1)[^\\]|\\.)*)\1\s*\)")
@@ -81,6 +84,7 @@ _CALL_OUT = re.compile(r"^(?:\$|%\w+%$|%\(|\{\{|\{%|`|@\{|\$\{|#\{)|\$\{|\$\(|\{
 _BLANKED = re.compile(r"^[\W_]*$|^(.)\1*$|^[xX*.\-_#]+$|^<.*>$|^\[.*\]$|^\(.*\)$")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _KEY_LINE = re.compile(r"[ \t]*(?:- +)*[\"']?[\w.\-]+[\"']?[ \t]*:(?:[ \t]|$)")
+_BLANKS = re.compile(r"[ \t]*")
 _MARKED = re.compile(r"[&!][^\s\"']*[ \t]+")
 _VALUE_LINE = re.compile(r"(?:[ \t]*\r?\n)*([ ]*)([^\n]*)")
 _WORDS = re.compile(r"(?:(?<![A-Za-z])b|B)64(?!\d)|[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -90,7 +94,7 @@ _LINE_PART = re.compile(r"[^\s](?:[^\r\n]*[^\s])?")
 _WRAPPED = re.compile(r"[A-Za-z0-9+/_.~\-]{16,}={0,2}")
 _WRAPPED_END = re.compile(r"[A-Za-z0-9+/_.~\-]+={0,2}|={1,2}")
 #: In a line, the last two words of what may be a key or a section, and the names that stand beside values.
-_KEYS = re.compile(r"((?:[\w.\-]+ +)?[\w.\-]+)[\"']?\s*(?:[:=\]]|$)|\?[ \t]+[\"']?([\w.\- ]+)")
+_KEYS = re.compile(r"(?<![\w.\-])((?:[\w.\-]++ ++)?[\w.\-]++)[\"']?\s*(?:[:=\]]|$)|\?[ \t]+[\"']?([\w.\- ]+)")
 _BESIDE = re.compile(r"\b(?:name|key)[\"']?[ \t]*:\s*(?:[&!]\S+[ \t]+)*[\"']?((?:[\w.\-]+ *)+)")
 _COMPACT = re.compile(r"[A-Za-z0-9_+/=!@#$%^&*~.\-]+")
 _HEX = re.compile(r"[0-9a-fA-F]+")
@@ -138,6 +142,11 @@ def literal(value: str) -> bool:
     return len(value) >= 4 and not (_CALL_OUT.search(value) or _BLANKED.match(value) or PLACEHOLDER.search(value))
 
 
+def _mixed(value: str) -> bool:
+    """Whether a value has signs of two kinds among digits, lower and upper case."""
+    return sum(any(map(f, value)) for f in (str.isdigit, str.islower, str.isupper)) >= 2
+
+
 def _random(value: str, least: int) -> bool:
     digits, lower, upper = (any(map(f, value)) for f in (str.isdigit, str.islower, str.isupper))
     return len(value) >= least and not re.search(r"\s", value) and digits + lower + upper >= 2 and (digits or not value.isalpha() or len(value) >= 16)
@@ -171,6 +180,22 @@ def _value(line: str, at: int, stops: str) -> tuple[int, int]:
     return at, end
 
 
+def _flag(line: str, tool: re.Pattern, flag: re.Pattern) -> re.Match | None:
+    """The first flag behind its tool in the same part of a line of commands."""
+    for part in _PART.finditer(line):
+        if (m := tool.search(line, part.start(), part.end())) and (found := flag.search(line, m.end(), part.end())):
+            return found
+    return None
+
+
+def _after_login(line: str) -> re.Match | None:
+    """The first flag with a password behind the last login, of a tool named before it, that any such flag follows."""
+    tool = _LOGIN_TOOL.search(line)
+    flags = list(_LOGIN_FLAG.finditer(line, tool.end())) if tool else []
+    logins = [m.end() for m in _LOGIN_WORD.finditer(line, tool.end()) if m.end() <= flags[-1].start()] if flags else []
+    return next((f for f in flags if f.start() >= logins[-1]), None) if logins else None
+
+
 def _in_line(line: str, low: str) -> Iterator[Finding]:
     stripped = line.lstrip()
     url = "://" in line
@@ -196,33 +221,47 @@ def _in_line(line: str, low: str) -> Iterator[Finding]:
             if literal(value) and (_random(value, 12) or _login(value)):
                 yield Finding(*m.span(1), "header")
     whole_line = _KEY_LINE.match(line)
+    value_at = -1 if whole_line is None else _BLANKS.match(line, whole_line.end()).end()  # of a key that begins its line
+    reached = 0, ""  # the end of the last value and what ends such
+    covered, dull = 0, set()  # up to where a credential reaches; ends of values that lack kinds of signs
     for m in _ASSIGN.finditer(line):
         kind = sensitive(m[1])
-        if not kind:
+        if not kind or m.start() < covered:
             continue
         at = m.end()
         while tagged := _MARKED.match(line, at):
             at = tagged.end()
-        yaml_value = whole_line is not None and m.end() == whole_line.end() + len(line[whole_line.end() :]) - len(line[whole_line.end() :].lstrip(" \t"))
-        a, b = _value(line, at, "\n" if yaml_value else " \t;,)}]&|<>\"'\\" if m[2] in ("=", "==") else " \t,;)}]\"'")
+        yaml_value = m.end() == value_at
+        stops = "\n" if yaml_value else " \t;,)}]&|<>\"'\\" if m[2] in ("=", "==") else " \t,;)}]\"'"
+        if at < reached[0] and stops == reached[1] and line[at] not in "\"'\\":
+            a, b = at, reached[0]  # inside a value that was read already
+        else:
+            a, b = _value(line, at, stops)
+            if "{{" not in line:
+                reached = b, stops
         value = line[a:b]
         if yaml_value and not (a > at):
             value = re.split(r"[ \t]+#", value, maxsplit=1)[0].rstrip()
-        if m[2] == ":" and not yaml_value and line[m.end() - 1 : m.end()] == ":" and a == at and not re.search(r"[\"']$", line[: m.end() - 1]):
+        if m[2] == ":" and not yaml_value and line[m.end() - 1 : m.end()] == ":" and a == at and line[m.end() - 2 : m.end() - 1] not in ("'", '"'):
             continue  # a colon inside a word
+        if kind != "pass" and b in dull:
+            continue
         if holds(value, kind):
-            yield Finding(a, a + len(value), "key name")
+            covered = a + len(value)
+            yield Finding(a, covered, "key name")
+        elif kind != "pass" and not _mixed(value):
+            dull.add(b)  # what ends there and begins later lacks them too
     for m in _OPTION.finditer(line) if "-" in line else ():
         if (kind := sensitive(m[1])) and m[1].lower() not in ("auth",):
             a, b = _value(line, m.end(), " \t;|&)")
             if holds(line[a:b], kind) and not line[a:b].startswith("-"):
                 yield Finding(a, b, "command")
-    for pattern, word in ((_LOGIN, "login"), (_SSHPASS, "sshpass"), (_MYSQL, "m")):
-        if word in line and (m := pattern.search(line)):
+    for m in (_after_login(line) if "login" in line else None, _SSHPASS.search(line) if "sshpass" in line else None, _flag(line, _MYSQL_TOOL, _MYSQL_FLAG) if "m" in line else None):
+        if m:
             a, b = _value(line, m.end(), " \t;|&)")
             if literal(line[a:b]):
                 yield Finding(a, b, "command")
-    if ("curl" in line or "wget" in line or "http" in line) and (m := _USERPASS.search(line)):
+    if ("curl" in line or "wget" in line or "http" in line) and (m := _flag(line, _FETCH_TOOL, _FETCH_FLAG)):
         a, b = _value(line, m.end(), " \t;|\"'")
         if literal(line[a:b]) and literal(m[1] + "    ") and "//" not in m[1]:
             yield Finding(a, b, "command")
