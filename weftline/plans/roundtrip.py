@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from weftline.operators import pipeline, rules, stats, workflow
 from weftline.operators.histogram import value_histogram
 from weftline.plans.metrics import fisher_sql, kruskal_sql
-from weftline.session import cut
 from weftline.sources.tables import table
 
 #: The lines of a step by the kind of its line item; {p} is the part.
