@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import canonical_language
 from weftline.operators import bands, classify, dag, pipeline, rules, sampling, workflow
-from weftline.session import cut, shared_dir, spread
+from weftline.session import cut, once, shared_dir, spread
 from weftline.sources import files as sources
 from weftline.sources import sinks
 from weftline.sources.tables import table
@@ -19,8 +19,13 @@ PREFERRED = ("ci.yml", "test.yml", "tests.yml", "build.yml", "main.yml", "workfl
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spread(table(spark, folder, "yaml_reference").select("workflow_id", "collected_at", "language", "full_workflow_yaml"))
-    return rows.select("workflow_id", "collected_at", canonical_language(F.col("language")).alias("language"), F.col("full_workflow_yaml").alias("text"), workflow.parsed(F.col("full_workflow_yaml")).alias("doc"))
+    """workflow_id, collected_at, language, text, doc of every file; parsed once for all queries of an application."""
+
+    def parsed() -> DataFrame:
+        rows = spread(table(spark, folder, "yaml_reference").select("workflow_id", "collected_at", "language", "full_workflow_yaml"))
+        return rows.select("workflow_id", "collected_at", canonical_language(F.col("language")).alias("language"), F.col("full_workflow_yaml").alias("text"), workflow.parsed(F.col("full_workflow_yaml")).alias("doc"))
+
+    return once(spark, f"parsed files of {folder}", parsed)
 
 
 def line_count(spark: SparkSession, folder: str) -> DataFrame:

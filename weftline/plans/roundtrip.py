@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.operators import pipeline, rules, stats, workflow
 from weftline.operators.histogram import value_histogram
 from weftline.plans.metrics import fisher_sql, kruskal_sql
+from weftline.session import once
 from weftline.sources.tables import table
 
 #: The lines of a step by the kind of its line item; {p} is the part.
@@ -29,6 +30,11 @@ _KIND = "CASE (l_partkey + l_linenumber) % 11 " + " ".join(f"WHEN {i} THEN '{k}'
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of _written(), written and parsed once for all queries of an application."""
+    return once(spark, f"orders as files of {folder}", lambda: _written(spark, folder))
+
+
+def _written(spark: SparkSession, folder: str) -> DataFrame:
     """o_orderkey, text, doc: jobs are suppliers, each needing the one before it, steps line items in order of part and kind."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_returnflag")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
+_kept: dict[tuple[str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table `name` of this application: made and written at its first use, read from then on.
+
+    For what several queries need and is dear to make, such as parsed files.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _kept:
+        _kept[key] = cut(make())
+    return _kept[key]
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """The rows of a plain scan over all cores, for costly row-local work.
 
