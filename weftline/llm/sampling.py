@@ -54,8 +54,9 @@ def systematic(units: DataFrame, unit: str, category: str, probability: str, see
     summed = placed.withColumn("upto", F.sum("part").over(inside)).join(totals, F.col("c").eqNullSafe(F.col("c2")) & (F.col("bucket") == F.col("bucket2")))
     start = F.pmod(_draw(seed, F.lit("start")), F.lit(UNIT)).cast("decimal(38,0)")
     until = F.col("base") + F.col("ahead") + F.col("upto") + start
-    crossed = F.floor(until / UNIT) > F.floor((until - F.col("part")) / UNIT)
-    return summed.select("row.*", "draw", crossed.alias("chosen"))
+    # whole division: that of decimals would round
+    crossed = F.expr(f"until div {UNIT} > (until - part) div {UNIT}")
+    return summed.withColumn("until", until).select("row.*", "draw", crossed.alias("chosen"))
 
 
 def _repairs(plan: list[tuple], got: dict, size: int) -> tuple[dict, set]:
@@ -168,8 +169,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 #: t: targets; u: usable units; s: the sample size; plan: what is wanted of each stratum.
 _PLAN = r"""
-    t AS (SELECT stratum, language, target_bp, min_rows, regexp_replace(regexp_replace(lower(stratum), 'cpp|c\\+\\+', 'cplusplus', 'g'), '[^a-z]', '', 'g') AS k FROM sample_targets),
-    u AS (SELECT DISTINCT m.workflow_id, t.stratum FROM sample_metadata m JOIN t ON t.k = regexp_replace(regexp_replace(lower(m.stratum), 'cpp|c\\+\\+', 'cplusplus', 'g'), '[^a-z]', '', 'g')),
+    t AS (SELECT stratum, language, target_bp, min_rows, regexp_replace(regexp_replace(lower(stratum), 'cpp|c\+\+', 'cplusplus', 'g'), '[^a-z]', '', 'g') AS k FROM sample_targets),
+    u AS (SELECT DISTINCT m.workflow_id, t.stratum FROM sample_metadata m JOIN t ON t.k = regexp_replace(regexp_replace(lower(m.stratum), 'cpp|c\+\+', 'cplusplus', 'g'), '[^a-z]', '', 'g')),
     s AS (SELECT count(DISTINCT workflow_id) // 10 AS s FROM u),
     n AS (SELECT stratum, count(DISTINCT workflow_id) AS n FROM u GROUP BY 1),
     plan AS (SELECT t.stratum, t.language, t.target_bp::BIGINT AS target_bp, t.min_rows::BIGINT AS min_rows, coalesce(n.n, 0) AS available, greatest(t.min_rows, t.target_bp * s.s // 10000)::BIGINT AS wanted, t.target_bp::BIGINT * s.s / 10000 AS exact, s.s FROM t CROSS JOIN s LEFT JOIN n USING (stratum))"""
